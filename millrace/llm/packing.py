@@ -131,28 +131,32 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets, np.array(gap_of, np.int64)
 
 
+def _placer(capacity: int, slack: int, round_no: int):
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        # Large pieces first, equal ones by id: the same rows give the same packing, whatever their order was.
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
+        bins, offsets, gaps = sum_of_squares(pdf["length"].to_numpy(), capacity)
+        again = (gaps[bins] > slack) & (slack >= 0)
+        return pdf.drop(columns="shard").assign(sequence_id=np.where(again, -1, (round_no * 2**24 + shard) * 2**32 + bins), offset=np.where(again, -1, offsets))
+
+    return place
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = 1024, shard_pieces: int = 4096, slack: int = 8, rounds: int = 3) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns doc_id, piece, start, length, ids_crc32).
 
     A sequence's pieces fill it from offset 0 without gaps. Sequence ids are unique, not dense. Every piece is kept.
     """
+    fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     n = pieces.count()
     done = None
     for r in range(rounds):
         shards = max(1, -(-n // shard_pieces))
         last = r == rounds - 1 or shards == 1
 
-        def place(pdf: pd.DataFrame, r: int = r, last: bool = last) -> pd.DataFrame:
-            shard = int(pdf["shard"].iloc[0])
-            # Large pieces first, equal ones by id: the same rows give the same packing, whatever their order was.
-            pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
-            bins, offsets, gaps = sum_of_squares(pdf["length"].to_numpy(), capacity)
-            again = (gaps[bins] > slack) & (not last)
-            return pdf.drop(columns="shard").assign(sequence_id=np.where(again, -1, (r * 2**28 + shard) * 2**32 + bins), offset=np.where(again, -1, offsets))
-
-        fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
         key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(shards)).cast("int")
-        placed = staged(pieces.withColumn("shard", key).groupBy("shard").applyInPandas(place, fields), f"packed{r}")
+        placed = staged(pieces.withColumn("shard", key).groupBy("shard").applyInPandas(_placer(capacity, -1 if last else slack, r), fields), f"packed{r}")
         kept = placed.filter("sequence_id >= 0")
         done = kept if done is None else done.unionByName(kept)
         if last:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ngram_jaccard import ngram_jaccard_groups
 from .packing import pack_documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,9 +21,14 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, 1024, 2)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_groups(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
     }
 
 
