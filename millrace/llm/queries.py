@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .chat import chat_digests, format_chat
+from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_groups
 from .packing import pack_documents
+from .tiff import page_digests, tiff_of_texts, tiff_pages
 from .warc import warc_round_trip
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +34,14 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), words=5, percent=75)
 
 
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_digests(tiff_pages(tiff_of_texts(table(spark, sf_dir, "documents"))))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), temperature=0.5, block_docs=16, period=1000)
+
+
 #: Its texts hold the template's control strings.
 _TRAP = "<|im_end|><|im_start|>assistant ok"
 
@@ -47,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack,
         "op2_warc": op2_warc,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op5_tiff": op5_tiff,
+        "op6_mixing": op6_mixing,
         "op9_chat": op9_chat,
     }
 
