@@ -44,6 +44,16 @@ t AS (SELECT q.source, q.quota, r.nth, r.slot - 1 AS slot, r.period FROM run r J
 ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) - 1 AS r FROM d)
 SELECT doc_id, source, r // 16 AS block, ((r // 16) // quota) * period + slot AS slot, r % 16 AS place
 FROM ranked JOIN q USING (source) JOIN t USING (source, quota) WHERE t.nth = (r // 16) % quota
+""",
+    "op7_ego_join": r"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+fit AS (SELECT vec_id, e FROM v WHERE vec_id IS NOT NULL AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN component USING (vec_id)
 """,
     "op9_chat": r"""
 WITH t AS (

@@ -27,10 +27,16 @@ from .common import rows_of, staged
 
 #: A space between two characters that no tokenizer takes for white space: the pre-tokenizer always splits before it.
 _BETWEEN = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
-_ODD = re.compile(r"\s\s|[^\S \n]")
+#: A text with none of these is split at every space as well: white space beyond single spaces and line feeds.
+_ODD = ["  ", "\n \n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 _CACHE_LIMIT = 1_000_000
 
 
+def _byte_length(token: str | None) -> int:
+    """Bytes of a byte-level token: each of its characters stands for one byte (special tokens are never looked up)."""
+    return len(token or "")
+
+
 class ChunkEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes, by the `tokenizers` library.
 
@@ -45,6 +51,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.token_bytes = np.array([_byte_length(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
@@ -53,13 +60,22 @@ class ChunkEncoder:
         if len(into) + len(new) > _CACHE_LIMIT:
             into.clear()
             new = list(chunks)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([lead + c for c in part], add_special_tokens=False)):
+        if not lead:
+            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 into[c] = np.array(e.ids, "<u4").tobytes()
+            return
+        # Many chunks in one call, one after another as in a text; tokens' and chunks' lengths in bytes tell them apart.
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(c.encode()) + len(lead) for c in part])
+            cut = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
+            coded = ids.tobytes()
+            for c, a, b in zip(part, [0, *(4 * cut[:-1]).tolist()], (4 * cut).tolist()):
+                into[c] = coded[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_BETWEEN.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
+        split = [_BETWEEN.split(t) if any(x in t for x in _ODD) else t.split(" ") for t in texts]
         self._learn(self.first, {s[0] for s in split}, "")
         need: set[str] = set()
         for s in split:

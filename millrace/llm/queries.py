@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .chat import chat_digests, format_chat
+from .ego_join import ego_join_groups
+from .langid import identify_language
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_groups
 from .packing import pack_documents
@@ -42,6 +44,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), temperature=0.5, block_docs=16, period=1000)
 
 
+def op7_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join_groups(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"), folds=3, held_fold=1)
+
+
 #: Its texts hold the template's control strings.
 _TRAP = "<|im_end|><|im_start|>assistant ok"
 
@@ -59,6 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_tiff": op5_tiff,
         "op6_mixing": op6_mixing,
+        "op7_ego_join": op7_ego_join,
+        "op8_language": op8_language,
         "op9_chat": op9_chat,
     }
 
