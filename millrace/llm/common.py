@@ -81,8 +81,12 @@ def _powers(base: np.uint64, n: int, kept: dict = {}) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the white-space separated words of the texts, in order.
+#: Bytes that end a word where punctuation does: all of ASCII but letters and digits.
+_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(texts: list[bytes], punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the white-space separated words of the texts, in order; with punctuation, that separates too.
 
     Returns (hash, index of its text, first byte, end byte) per word; byte places are in b"\\n".join(texts).
     """
@@ -90,7 +94,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     if not len(texts):
         e = np.empty(0, np.int64)
         return e.astype(np.uint64), e, e, e
-    space = _SPACE[joined]
+    space = (_PUNCTUATION if punctuation else _SPACE)[joined]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])

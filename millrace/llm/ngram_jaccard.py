@@ -99,8 +99,8 @@ def _batch(columns: list[np.ndarray], *names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(names))
 
 
-def prefix_keys(s: np.ndarray, often: np.ndarray, counts: np.ndarray, percent: int, most_pairs_of: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and, for each, size << 32 | place of the last shingle << 2 | (shingles - 1) << 1 | probe."""
+def prefix_keys(s: np.ndarray, often: np.ndarray, counts: np.ndarray, percent: int, most_pairs_of: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index keys of a set, for each size << 32 | place of the last shingle << 2 | (shingles - 1) << 1 | probe, and the set's thousandths of rare shingles."""
     n = len(s)
     least = -(-percent * n // 100)
     one, two = n - least + 1, n - least + 2
@@ -122,7 +122,7 @@ def prefix_keys(s: np.ndarray, often: np.ndarray, counts: np.ndarray, percent: i
             i, j = np.triu_indices(min(len(f), two - r), 1)
             keys.append(mix64(f[i] * _K[50] + f[j] * _K[51]))
             metas.append(base | ((r + j.astype(np.int64)) << 2) | 2)
-    return np.concatenate(keys).view(np.int64), np.concatenate(metas)
+    return np.concatenate(keys).view(np.int64), np.concatenate(metas), 1000 * r // n
 
 
 def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -144,24 +144,25 @@ def _indexer(frequent, words: int, percent: int):
         for batch in batches:
             texts = [(t or "").encode() for t in rows_of(batch, "text")]
             for a, b in byte_blocks(texts, 1 << 21):
-                keys, classes, metas = [], [], []
+                keys, classes, metas, rares = [], [], [], []
                 for s in shingle_sets(texts[a:b], words):
                     if len(s) and (c := _class_of(s)) not in seen:
                         if len(seen) >= 1 << 20:
                             seen.clear()
                         seen.add(c)
-                        k, m = prefix_keys(s, often, counts, percent)
+                        k, m, rare = prefix_keys(s, often, counts, percent)
                         keys.append(k)
                         metas.append(m)
                         classes.append(np.full(len(k), c, np.int64))
+                        rares.append(np.full(len(k), rare, np.int32))
                 if keys:
-                    yield _batch([np.concatenate(keys), np.concatenate(classes), np.concatenate(metas)], "key", "class", "meta")
+                    yield _batch([np.concatenate(keys), np.concatenate(classes), np.concatenate(metas), np.concatenate(rares)], "key", "class", "meta", "rare")
 
     return run
 
 
 def _stars(percent: int):
-    """Of entries sorted by key and class, those whose key several classes have, with the key's first class as pivot.
+    """Of entries sorted by key, those whose key several classes have, with the key's first class as pivot.
 
     One row of a key is held at a time, so a key that very many classes share takes no more memory.
     """
@@ -221,7 +222,7 @@ def _packed_sets(words: int):
     return run
 
 
-def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, frequent_from: int = 64) -> DataFrame:
+def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, frequent_from: int = 64, star_rounds: int = 4) -> DataFrame:
     """Groups documents linked by shingle sets of Jaccard coefficient >= percent / 100.
 
     Returns doc_id, n_shingles (set size), set_id (64-bit identity of the set, null if empty), component_id (smallest
@@ -245,8 +246,9 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     frequent = spark.sparkContext.broadcast((token[order], count[order]))
 
     known = docs.filter("doc_id is not null")
-    index = known.select("text").mapInArrow(_indexer(frequent, words, percent), "key long, class long, meta long")
-    shared = staged(index.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_stars(percent), "key long, class long, meta long, pivot long"), "shared")
+    index = known.select("text").mapInArrow(_indexer(frequent, words, percent), "key long, class long, meta long, rare int")
+    # A key's first entry is its pivot: a set of the fewest rare shingles, which among near copies is the one most like all.
+    shared = staged(index.repartition("key").sortWithinPartitions("key", "rare", "class").mapInArrow(_stars(percent), "key long, class long, meta long, pivot long"), "shared")
     reps = rows.filter("doc_id is not null and class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
@@ -259,13 +261,33 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         met = pairs.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a")
         return staged(met.select("a", "b", "set_a", "set_b").mapInArrow(_shared_enough(percent), "a long, b long"), f"links-{label}")
 
-    star = shared.filter("pivot is not null").groupBy(F.col("class").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    links = verified(star, "star")
-    first = connected_components(links)
-    marked = shared.join(first.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "meta", F.coalesce("root", "class").alias("root"))
-    split = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    open_ = staged(marked.join(split, "key"), "open")
-    rest = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key and x.class < y.class and x.root <> y.root and " + _may_link_sql(percent))).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    # Stars: each class with the pivot that it meets at most keys, until a round finds little.
+    links, tried, met = None, None, shared.filter("pivot is not null")
+    for r in range(star_rounds):
+        counted = met.groupBy("class", "pivot").agg(F.count("*").alias("keys"), F.first(F.expr("meta >> 32")).alias("n"))
+        # Few common keys make a link unlikely; the last step looks at those.
+        best = counted.filter(f"keys * 300 >= n * {100 - percent}").select(F.col("pivot").alias("a"), F.col("class").alias("b"), "keys")
+        best = best if tried is None else best.join(tried, ["a", "b"], "left_anti")
+        star = staged(best.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b"), f"star{r}")
+        tried = star if tried is None else tried.unionByName(star)
+        found = verified(star, f"star{r}")
+        links = found if links is None else links.unionByName(found)
+        roots = connected_components(links)
+        marked = shared.select("key", "class", "meta").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        # Entries of a key whose classes are all in one component are done; of the others another class becomes the pivot.
+        turn = F.struct(F.xxhash64("class", F.lit(r)).alias("turn"), "class", "meta", "root")
+        split = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(turn).alias("pivot")).filter("lo <> hi").select("key", "pivot")
+        open_ = staged(marked.join(split, "key"), "open")
+        if found.count() * 20 < star.count() or not star.count():
+            break
+        met = open_.filter("root <> pivot.root").filter(_may_link_sql(percent).replace("x.meta", "meta").replace("y.meta", "pivot.meta")).select("class", F.col("pivot.class").alias("pivot"), "meta")
+    # The rest: sets in different components that share a key. All shingles of the 1-prefixes are keys, so their common
+    # ones are counted, and a pair that reaches the threshold has a least number of them.
+    size, other = "(any_value(x.meta) >> 32)", "(any_value(y.meta) >> 32)"
+    need = f"ceil({percent} * ({size} + {other}) / {100 + percent}.0D) - greatest(ceil({percent} * {size} / 100.0D), ceil({percent} * {other} / 100.0D)) + 1"
+    pairs = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key and x.class < y.class and x.root <> y.root"))
+    rest = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.expr("count_if((x.meta & 2L) = 0)").alias("common"), F.expr(f"bool_or({_may_link_sql(percent)})").alias("met"), F.expr(need).alias("need"))
+    rest = rest.filter("met and common >= need").select("a", "b")
     links = links.unionByName(verified(rest, "rest"))
     roots = connected_components(links)
     named = reps.join(roots.withColumnRenamed("node", "class"), "class")
