@@ -187,8 +187,8 @@ def _stars(percent: int):
             last = starts[-1]
             shown = bool(several[-1]) or (shown and last == 0)
             held = (key[last], cls[last], meta[last])
-            mask = ~(other & _may_link(meta, meta[pivot], percent))
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep]), pa.array(meta[keep]), pa.array(cls[pivot][keep], mask=mask[keep])], ["key", "class", "meta", "pivot"])
+            may = _may_link(meta, meta[pivot], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep]), pa.array(meta[keep]), pa.array(cls[pivot][keep], mask=~other[keep]), pa.array(may[keep])], ["key", "class", "meta", "pivot", "may"])
 
     return run
 
@@ -222,7 +222,7 @@ def _packed_sets(words: int):
     return run
 
 
-def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, frequent_from: int = 64, star_rounds: int = 4) -> DataFrame:
+def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, frequent_from: int = 64, star_rounds: int = 2) -> DataFrame:
     """Groups documents linked by shingle sets of Jaccard coefficient >= percent / 100.
 
     Returns doc_id, n_shingles (set size), set_id (64-bit identity of the set, null if empty), component_id (smallest
@@ -248,7 +248,7 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known = docs.filter("doc_id is not null")
     index = known.select("text").mapInArrow(_indexer(frequent, words, percent), "key long, class long, meta long, rare int")
     # A key's first entry is its pivot: a set of the fewest rare shingles, which among near copies is the one most like all.
-    shared = staged(index.repartition("key").sortWithinPartitions("key", "rare", "class").mapInArrow(_stars(percent), "key long, class long, meta long, pivot long"), "shared")
+    shared = staged(index.repartition("key").sortWithinPartitions("key", "rare", "class").mapInArrow(_stars(percent), "key long, class long, meta long, pivot long, may boolean"), "shared")
     reps = rows.filter("doc_id is not null and class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
@@ -264,9 +264,9 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Stars: each class with the pivot that it meets at most keys, until a round finds little.
     links, tried, met = None, None, shared.filter("pivot is not null")
     for r in range(star_rounds):
-        counted = met.groupBy("class", "pivot").agg(F.count("*").alias("keys"), F.first(F.expr("meta >> 32")).alias("n"))
+        counted = met.groupBy("class", "pivot").agg(F.count("*").alias("keys"), F.first(F.expr("meta >> 32")).alias("n"), F.bool_or("may").alias("may"))
         # Few common keys make a link unlikely; the last step looks at those.
-        best = counted.filter(f"keys * 300 >= n * {100 - percent}").select(F.col("pivot").alias("a"), F.col("class").alias("b"), "keys")
+        best = counted.filter(f"may and keys * 300 >= n * {100 - percent}").select(F.col("pivot").alias("a"), F.col("class").alias("b"), "keys")
         best = best if tried is None else best.join(tried, ["a", "b"], "left_anti")
         star = staged(best.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b"), f"star{r}")
         tried = star if tried is None else tried.unionByName(star)
@@ -280,7 +280,7 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         open_ = staged(marked.join(split, "key"), "open")
         if found.count() * 20 < star.count() or not star.count():
             break
-        met = open_.filter("root <> pivot.root").filter(_may_link_sql(percent).replace("x.meta", "meta").replace("y.meta", "pivot.meta")).select("class", F.col("pivot.class").alias("pivot"), "meta")
+        met = open_.filter("root <> pivot.root").select("class", F.col("pivot.class").alias("pivot"), "meta", F.expr(_may_link_sql(percent).replace("x.meta", "meta").replace("y.meta", "pivot.meta")).alias("may"))
     # The rest: sets in different components that share a key. All shingles of the 1-prefixes are keys, so their common
     # ones are counted, and a pair that reaches the threshold has a least number of them.
     size, other = "(any_value(x.meta) >> 32)", "(any_value(y.meta) >> 32)"

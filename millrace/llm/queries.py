@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_groups
 from .packing import pack_documents
 from .tiff import page_digests, tiff_of_texts, tiff_pages
+from .toxicity import score_toxicity
 from .warc import warc_round_trip
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +63,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chat(turns.unionByName(trap)))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_fold=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ego_join": op7_ego_join,
         "op8_language": op8_language,
         "op9_chat": op9_chat,
+        "op10_toxicity": op10_toxicity,
     }
 
 

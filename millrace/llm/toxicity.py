@@ -320,7 +320,7 @@ def _scored(shared):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_per_label: int = 800, max_chars: int = 12_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_per_label: int = 800, max_chars: int = 8_000) -> DataFrame:
     """Scores each whole text: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
     Trains on labelled rows outside the held-out fold: of each label about max_per_label rows at most (those whose hashed
