@@ -14,6 +14,7 @@ from .langid import identify_language
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_groups
 from .packing import pack_documents
+from .quality import score_quality
 from .tiff import page_digests, tiff_of_texts, tiff_pages
 from .toxicity import score_toxicity
 from .warc import warc_round_trip
@@ -37,6 +38,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), words=5, percent=75)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_digests(tiff_pages(tiff_of_texts(table(spark, sf_dir, "documents"))))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack,
         "op2_warc": op2_warc,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_quality": op4_quality,
         "op5_tiff": op5_tiff,
         "op6_mixing": op6_mixing,
         "op7_ego_join": op7_ego_join,
