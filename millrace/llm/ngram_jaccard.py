@@ -262,7 +262,7 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return staged(met.select("a", "b", "set_a", "set_b").mapInArrow(_shared_enough(percent), "a long, b long"), f"links-{label}")
 
     # Stars: each class with the pivot that it meets at most keys, until a round finds little.
-    links, tried, met = None, None, shared.filter("pivot is not null")
+    links, tried, met, base = None, None, shared.filter("pivot is not null"), shared.select("key", "class", "meta")
     for r in range(star_rounds):
         counted = met.groupBy("class", "pivot").agg(F.count("*").alias("keys"), F.first(F.expr("meta >> 32")).alias("n"), F.bool_or("may").alias("may"))
         # Few common keys make a link unlikely; the last step looks at those.
@@ -272,12 +272,13 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         tried = star if tried is None else tried.unionByName(star)
         found = verified(star, f"star{r}")
         links = found if links is None else links.unionByName(found)
-        roots = connected_components(links)
-        marked = shared.select("key", "class", "meta").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        roots = staged(connected_components(links).select(F.col("node").alias("class"), "root"), "roots")
+        marked = base.join(F.broadcast(roots) if roots.count() <= _BROADCAST_IDS else roots, "class", "left").select("key", "class", "meta", F.coalesce("root", "class").alias("root")).repartition("key")
         # Entries of a key whose classes are all in one component are done; of the others another class becomes the pivot.
         turn = F.struct(F.xxhash64("class", F.lit(r)).alias("turn"), "class", "meta", "root")
         split = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(turn).alias("pivot")).filter("lo <> hi").select("key", "pivot")
         open_ = staged(marked.join(split, "key"), "open")
+        base = open_.select("key", "class", "meta")
         if found.count() * 20 < star.count() or not star.count():
             break
         met = open_.filter("root <> pivot.root").select("class", F.col("pivot.class").alias("pivot"), "meta", F.expr(_may_link_sql(percent).replace("x.meta", "meta").replace("y.meta", "pivot.meta")).alias("may"))
