@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession
+from . import plans
+from .plans import registry
 
-Query = Callable[[SparkSession, str], DataFrame]
+for _module in sorted(m.name for m in pkgutil.iter_modules(plans.__path__) if m.name.endswith("_queries")):
+    importlib.import_module(f"{plans.__name__}.{_module}")
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries():
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
