@@ -133,8 +133,8 @@ def _compared(dim: int, cosine: float, eps: float):
 
 def _close_pairs(boxes: DataFrame, n_blocks: int, eps: float) -> DataFrame:
     """Pairs (a <= b) of blocks whose boxes are at most eps apart, found from the top of the interval tree down."""
-    least = lambda x, y: F.zip_with(x, y, F.least)
-    most = lambda x, y: F.zip_with(x, y, F.greatest)
+    least = lambda x, y: F.zip_with(x, y, lambda p, q: F.least(p, q))
+    most = lambda x, y: F.zip_with(x, y, lambda p, q: F.greatest(p, q))
     levels = [boxes.select(F.col("block").alias("node"), "lo", "hi")]
     while n_blocks > 1:
         n_blocks = -(-n_blocks // _FAN)
