@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Persian and Arabic digits, and what they stand for.
 FOREIGN_DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩"
@@ -107,12 +108,12 @@ def flat_text(html: str | None) -> str | None:
     return "\n".join(x for i, x in enumerate(lines) if x or (i and lines[i - 1])).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(flat_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -151,7 +152,7 @@ class _Clean(HTMLParser):
         self.handle_data(f"&#{name};")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sanitized_html(html: pd.Series) -> pd.Series:
     """Allowed tags and safe links only; script-like elements go with their content, other tags are unwrapped."""
 
