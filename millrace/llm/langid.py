@@ -43,7 +43,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         grams[g] += c
                 tables[n] = grams
             for order, table in tables.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table)), pa.array([order] * len(table), pa.int32()), pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], ["lang", "order", "unit", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table), pa.string()), pa.array([order] * len(table), pa.int32()), pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], ["lang", "order", "unit", "n"])
 
 
 def fit_language_model(rows: DataFrame, max_docs: int = 8000, max_words: int = 60_000, max_grams: int = 20_000) -> tuple[list[str], dict[int, dict[str, int]], np.ndarray]:
@@ -113,6 +113,19 @@ class Scorer:
         get = self.place.__getitem__
         return np.array([self.matrix[np.fromiter(map(get, words), np.int64, len(words))].sum(0) if words else np.zeros(self.fixed.shape[1]) for words in texts])
 
+    def totals(self, texts: list[list[str]], slice_words: int = 50_000) -> np.ndarray:
+        """sums() of whole texts; a very long text goes in slices, so the number of unseen words at once stays bounded."""
+        out = np.zeros((len(texts), self.fixed.shape[1]))
+        parts = [(i, w[a : a + slice_words]) for i, w in enumerate(texts) for a in range(0, len(w), slice_words)]
+        held, size = [], 0
+        for i, w in [*parts, (-1, [])]:
+            if held and (i < 0 or size + len(w) > 2 * slice_words):
+                np.add.at(out, [k for k, _ in held], self.sums([x for _, x in held]))
+                held, size = [], 0
+            held.append((i, w))
+            size += len(w)
+        return out
+
 
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +141,7 @@ def _predicted(model):
                     preds += ["und"] * len(words)
                     probs += [0.0] * len(words)
                     continue
-                # A very long text is scored in slices of words, so the number of unseen ones stays bounded.
-                totals = np.array([np.sum([scorer.sums([w[i : i + 100_000]])[0] for i in range(0, len(w), 100_000)], axis=0) for w in words]) if max(map(len, words)) > 5000 else scorer.sums(words)
+                totals = scorer.totals(words)
                 for w, total in zip(words, totals):
                     if not w:
                         preds.append("und")
@@ -139,7 +151,7 @@ def _predicted(model):
                     best = int(p.argmax())
                     preds.append(languages[best])
                     probs.append(float(p[best] / p.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("held_out")), pa.array(preds), pa.array(probs, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("held_out")), pa.array(preds, pa.string()), pa.array(probs, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
