@@ -143,7 +143,7 @@ def _predicted(model):
                     continue
                 totals = scorer.totals(words)
                 for w, total in zip(words, totals):
-                    if not w:
+                    if not any(c.isalpha() for x in w for c in x):  # the pattern also takes signs such as superscript digits
                         preds.append("und")
                         probs.append(0.0)
                         continue
