@@ -262,9 +262,9 @@ def txt34(t: Inputs):
     return t.part.select("p_partkey", F.when(F.array_contains(words, "promo"), "offer").when(F.contains(F.lower("p_type"), F.lit("eco")), "green").otherwise("other").alias("category"))
 
 
-@query("txt38_number_prefix", "SELECT p_partkey FROM part WHERE starts_with(upper(replace(replace(p_name, '-', ''), ' ', '')), 'PART1')")
+@query("txt38_number_prefix", "SELECT p_partkey FROM part WHERE starts_with(upper(replace(replace(p_name, '-', ''), ' ', '')), 'SMALLR')")
 def txt38(t: Inputs):
-    return t.part.filter(F.upper(F.regexp_replace("p_name", "[- ]", "")).startswith("PART1")).select("p_partkey")
+    return t.part.filter(F.upper(F.regexp_replace("p_name", "[- ]", "")).startswith("SMALLR")).select("p_partkey")
 
 
 @query("txt44_stems", "SELECT p_partkey, regexp_extract(p_type, '^([A-Z]+)', 1) AS head, nullif(regexp_extract(p_name, '([0-9]+)$', 1), '') AS tail FROM part")

@@ -171,11 +171,11 @@ def jn20(t: Inputs):
     return t.message.filter("from_customer").join(mark, "request_id").filter("mark is null or created_at > mark").groupBy(F.col("request_id").alias("id")).agg(F.count("*").alias("unread"))
 
 
-@query("jn23_longest_prefix", "SELECT p.p_type AS name, arg_max(b.prefix, length(b.prefix)) AS prefix FROM (SELECT DISTINCT p_type FROM part) p JOIN (SELECT DISTINCT string_split(p_type, ' ')[1] AS prefix FROM part UNION SELECT DISTINCT array_to_string(string_split(p_type, ' ')[1:2], ' ') FROM part WHERE p_size < 20) b ON p.p_type = b.prefix OR starts_with(p.p_type, b.prefix || ' ') GROUP BY 1")
+@query("jn23_longest_prefix", "SELECT p.p_name AS name, arg_max(b.prefix, length(b.prefix)) AS prefix FROM (SELECT DISTINCT p_name FROM part) p JOIN (SELECT DISTINCT string_split(p_name, ' ')[1] AS prefix FROM part UNION SELECT DISTINCT array_to_string(string_split(p_name, ' ')[1:2], ' ') FROM part WHERE p_size < 20) b ON p.p_name = b.prefix OR starts_with(p.p_name, b.prefix || ' ') GROUP BY 1")
 def jn23(t: Inputs):
-    w = F.split("p_type", " ")
+    w = F.split("p_name", " ")
     prefixes = t.part.select(w[0].alias("prefix")).union(t.part.filter("p_size < 20").select(F.array_join(F.slice(w, 1, 2), " ")))
-    return R.longest_prefix(t.part.select(F.col("p_type").alias("name")).distinct(), prefixes, "name", "prefix")
+    return R.longest_prefix(t.part.select(F.col("p_name").alias("name")).distinct(), prefixes, "name", "prefix")
 
 
 @query("jn30_reconciled", "SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, a.v AS before, b.v AS after, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS state FROM (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 5 <> 0) a FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 6 <> 0) b ON a.c_custkey = b.c_custkey WHERE a.v IS DISTINCT FROM b.v")
