@@ -42,29 +42,29 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(raws, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "digest", "raw", "dim"])
 
 
-def _unit(raws: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws), np.float64).reshape(-1, dim)
+def _unit(raws: list[bytes], dim: int, kind: str = "<f8") -> np.ndarray:
+    x = np.frombuffer(b"".join(raws), kind).reshape(-1, dim).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _celled(axes: np.ndarray, eps: float, cells: int):
+def _celled(axes: np.ndarray, eps: float, cells: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim = len(axes)
         for batch in batches:
             if batch.num_rows:
                 turned = _unit(rows_of(batch, "raw"), dim) @ axes
                 cell = np.floor(turned[:, :cells] / eps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rep")), batch.column(batch.schema.get_field_index("n")), pa.array(list(cell), pa.list_(pa.int32())), pa.array([t.tobytes() for t in turned], pa.binary())], ["rep", "n", "cell", "turned"])
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rep")), batch.column(batch.schema.get_field_index("n")), pa.array(list(cell), pa.list_(pa.int32())), pa.array([np.frombuffer(r, np.float64).astype(kind).tobytes() for r in rows_of(batch, "raw")], pa.binary())], ["rep", "n", "cell", "raw"])
 
     return run
 
 
-def _blocked(dim: int):
+def _blocked(axes: np.ndarray, kind: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
-        m = np.frombuffer(b"".join(pdf["turned"]), np.float64).reshape(-1, dim)
-        return pd.DataFrame({"block": [key[0]], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "counts": [pdf["n"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()], "lo": [m.min(0)], "hi": [m.max(0)]})
+        m = _unit(pdf["raw"].tolist(), len(axes), kind) @ axes
+        return pd.DataFrame({"block": [key[0]], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "counts": [pdf["n"].to_numpy(np.int64).tobytes()], "vectors": [b"".join(pdf["raw"])], "lo": [m.min(0)], "hi": [m.max(0)]})
 
     return run
 
@@ -93,9 +93,9 @@ def _stars(linked: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def _compared(dim: int, cosine: float, eps: float):
+def _compared(axes: np.ndarray, kind: str, cosine: float, eps: float):
     def matrix(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.frombuffer(row.ids, np.int64), np.frombuffer(row.counts, np.int64), np.frombuffer(row.vectors, np.float64).reshape(-1, dim)
+        return np.frombuffer(row.ids, np.int64), np.frombuffer(row.counts, np.int64), _unit([row.vectors], len(axes), kind) @ axes
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [matrix(r) for r in pdf.sort_values("side").itertuples()]
@@ -162,7 +162,7 @@ def ego_join_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     The principal axes are fitted on about `axes_sample` vectors; they decide how much is skipped, never what is found.
     """
-    spark = vectors.sparkSession
+    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"  # what is moved around keeps the input's precision
     parsed = staged(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).mapInArrow(_parsed, "vec_id long, digest binary, raw binary, dim int"), "vectors")
     lengths = parsed.filter("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
     if lengths is None:
@@ -176,7 +176,7 @@ def ego_join_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     axes = np.linalg.eigh(np.cov(x, rowvar=False, bias=True).reshape(dim, dim))[1][:, ::-1].copy()
     eps = float(np.sqrt(2 - 2 * cosine))
 
-    celled = classes.select("rep", "n", "raw").mapInArrow(_celled(axes, eps, cells), "rep long, n long, cell array<int>, turned binary")
+    celled = classes.select("rep", "n", "raw").mapInArrow(_celled(axes, eps, cells, kind), "rep long, n long, cell array<int>, raw binary")
     # Ranks in the grid order: place in a range of the sorted sequence plus the sizes of the ranges before.
     parts = max(1, -(-usable // 20_000))
     ordered = celled.repartitionByRange(parts, "cell", "rep").sortWithinPartitions("cell", "rep").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
@@ -184,11 +184,11 @@ def ego_join_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = ordered.groupBy("part").agg(F.count("*").alias("size")).select("part", before.alias("before"))
     ranked = ordered.join(sizes, "part").withColumn("rank", F.col("before") + F.col("at")).withColumn("block", F.floor(F.col("rank") / block_vectors))
-    blocks = staged(ranked.select("block", "rank", "rep", "n", "turned").groupBy("block").applyInPandas(_blocked(dim), "block long, ids binary, counts binary, vectors binary, lo array<double>, hi array<double>"), "blocks")
+    blocks = staged(ranked.select("block", "rank", "rep", "n", "raw").groupBy("block").applyInPandas(_blocked(axes, kind), "block long, ids binary, counts binary, vectors binary, lo array<double>, hi array<double>"), "blocks")
     pairs = staged(_close_pairs(blocks.select("block", "lo", "hi"), blocks.count(), eps), "block-pairs")
     sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(pairs.filter("a <> b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("block")))
     tiles = sides.join(blocks.select("block", "ids", "counts", "vectors"), "block").select("a", "b", "side", "ids", "counts", "vectors")
-    found = staged(tiles.groupBy("a", "b").applyInPandas(_compared(dim, cosine, eps), "kind int, a long, b long"), "found")
+    found = staged(tiles.groupBy("a", "b").applyInPandas(_compared(axes, kind, cosine, eps), "kind int, a long, b long"), "found")
 
     roots = connected_components(found.filter("kind = 1").select("a", "b"))
     linked = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
