@@ -8,6 +8,9 @@ The rule looks at one piece at a time, so Spark deals the pieces by a hash into
 and every shard runs the rule on its own. Sequences that a shard leaves with more than `slack` free places are
 opened again and their pieces go to the next round, where the far fewer pieces meet in fewer shards. No shard
 depends on a key of the data, so hot keys make no hot task.
+
+Packing in the order of a mix takes stretches of consecutive pieces for shards, in one round, so that no piece leaves
+its stretch.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import rows_of, staged
+from .mixing import mix_sources
 
 #: A space between two characters that no tokenizer takes for white space: the pre-tokenizer always splits before it.
 _BETWEEN = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
@@ -187,3 +191,69 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, shard_pieces: int = 409
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = 4096) -> DataFrame:
     """Tokenizes, cuts and packs documents. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack_pieces(staged(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces"), capacity, shard_pieces)
+
+
+def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, pieces (an array of piece, start, length, ids_crc32, as token_pieces gives them)."""
+    struct = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = ChunkEncoder(tokenizer)
+        tail = np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            ids, sources, texts = rows_of(batch, "doc_id"), rows_of(batch, "source"), rows_of(batch, "text")
+            for at in range(0, len(ids), 256):
+                ends, out = [0], ([], [], [], [])
+                for coded in _ENCODERS[tokenizer].encode([t or "" for t in texts[at : at + 256]]):
+                    coded += tail
+                    n = len(coded) // 4
+                    first = (n - 1) % capacity + 1
+                    for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity))):
+                        for to, x in zip(out, (piece, a, b - a, zlib.crc32(coded[4 * a : 4 * b]))):
+                            to.append(x)
+                    ends.append(len(out[0]))
+                items = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(out, struct)], fields=list(struct))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256], pa.int64()), pa.array(sources[at : at + 256], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["doc_id", "source", "pieces"])
+
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    return named.mapInArrow(run, "doc_id long, source string, pieces array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
+
+
+def _stretch_placer(capacity: int):
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        stretch = int(pdf["stretch"].iloc[0])
+        pdf = pdf.sort_values(["length", "at"], ascending=[False, True])
+        bins, offsets, gaps = sum_of_squares(pdf["length"].to_numpy(), capacity)
+        first = np.full(len(gaps), np.iinfo(np.int64).max)
+        np.minimum.at(first, bins, pdf["at"].to_numpy())
+        return pdf.drop(columns=["stretch", "at"]).assign(sequence_id=stretch * 2**32 + first.argsort().argsort()[bins], offset=offsets)
+
+    return place
+
+
+def pack_in_order(pieces: DataFrame, capacity: int = 1024, stretch_pieces: int = 4096) -> DataFrame:
+    """Packs pieces (columns of token_pieces, and slot and place of their document) in stretches of consecutive ones.
+
+    Adds sequence_id and offset, drops slot and place. A stretch holds stretch_pieces pieces in the order (slot, place,
+    piece), the last one what is left. Sequence ids grow with the stretch and, within it, with a sequence's first piece.
+    Places are counted in ranges of 1024 slots, whose sizes are then added up.
+    """
+    ranged = pieces.withColumn("range", F.expr("slot div 1024"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("slot", "place", "piece")) - 1
+    at = ranged.withColumn("nth", nth).join(ranges, "range").withColumn("at", F.col("before") + F.col("nth"))
+    fields = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    stretched = at.select(*fields, "at", F.expr(f"at div {int(stretch_pieces)}").alias("stretch"))
+    return stretched.groupBy("stretch").applyInPandas(_stretch_placer(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def pack_mixed(docs: DataFrame, tokenizer: str, mix: dict, capacity: int = 1024, end_id: int = 2, stretch_pieces: int = 4096) -> DataFrame:
+    """Tokenizes and cuts documents, puts them in the order of mix_sources(**mix) and packs that order in stretches.
+
+    Only lengths and checksums are shuffled, no texts. Returns the columns of pack_documents.
+    """
+    mixed = mix_sources(staged(document_pieces(docs, tokenizer, capacity, end_id), "documents"), keep=True, **mix)
+    pieces = mixed.select("slot", "place", F.col("row.doc_id").alias("doc_id"), F.inline("row.pieces"))
+    return pack_in_order(staged(pieces, "pieces"), capacity, stretch_pieces)
