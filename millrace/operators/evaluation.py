@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -42,19 +45,62 @@ def recall_of(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     return exact.select("query_id").distinct().join(both, "query_id", "left").select("query_id", F.round(F.coalesce("common", F.lit(0)) / float(k), 6).alias("recall"))
 
 
-def permutation_test(df: DataFrame, group: str, a: str, b: str, rounds: int = 10_000, seed: int = 1373, most: int = 100_000) -> DataFrame:
-    """Paired sign-flip test per group: n, mean difference, p. A group of more than `most` pairs uses the normal approximation."""
-    stats = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.col(a) - F.col(b)).alias("mean"), F.sum((F.col(a) - F.col(b)) ** 2).alias("squares"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf[a] - pdf[b]).sort_values().to_numpy(float)
-        rng = np.random.default_rng(seed)
-        extreme = sum(int((np.abs((rng.integers(0, 2, (min(500, rounds - i), len(d))) * 2 - 1) @ d) >= abs(d.sum()) - 1e-12).sum()) for i in range(0, rounds, 500))
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "p": [(extreme + 1) / (rounds + 1)]})
-
-    small = df.join(stats.filter(F.col("n") <= most).select(group), group, "left_semi").select(group, a, b)
-    exact = small.groupBy(group).applyInPandas(run, f"{group} {dict(df.dtypes)[group]}, p double")
-    return stats.join(exact, group, "left").select(group, "n", F.round("mean", 6).alias("mean"), F.coalesce(F.round("p", 4), F.round(normal_two_sided(F.col("mean") * F.col("n") / F.sqrt("squares")), 4)).alias("p"))
+def _flipped(rounds: int, seed: int):
+    """Of rows g, d, m, h (m pairs of group g that differ by d; h a hash of both): partial sums g, round, s over sign flips.
+
+    The signs of m equal differences add up to 2 x - m, x being binomial of m and 1/2; h and the seed name the draw, so it
+    does not depend on the rows' order or partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {}
+        kind = None
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for g, s in held.values():
+                yield pa.RecordBatch.from_arrays([pa.array([g] * rounds, kind), pa.array(np.arange(rounds)), pa.array(s)], ["g", "round", "s"])
+            held.clear()
+
+        for batch in batches:
+            g, d, m, h = (batch.column(i) for i in range(4))
+            kind = g.type
+            for group, size, n, name in zip(g.to_pylist(), d.to_pylist(), m.to_pylist(), h.to_pylist()):
+                rng = np.random.default_rng([seed, name & (2**64 - 1)])
+                if n == 1:
+                    x = np.unpackbits(np.frombuffer(rng.bytes((rounds + 7) // 8), np.uint8))[:rounds]
+                else:
+                    x = rng.binomial(n, 0.5, rounds)
+                key = repr(group)
+                if key not in held:
+                    if len(held) >= 256:
+                        yield from given()
+                    held[key] = (group, np.zeros(rounds))
+                held[key][1][:] += size * (2.0 * x - n)
+        yield from given()
+
+    return run
+
+
+def permutation_test(df: DataFrame, group: str, a: str, b: str, rounds: int = 10_000, seed: int = 1373) -> DataFrame:
+    """Paired sign-flip test per group: n, mean difference, p, on all pairs of any number.
+
+    Pairs with a null or NaN member do not count (a group of none has no p); a null group is a group. The pairs of a group
+    that differ by the same amount are one row of the work; rows go to tasks by group and amount, so a large group is no
+    hot task, and a task holds the sums of 256 groups at most.
+    """
+    difference = F.col(a) - F.col(b)
+    pairs = df.select(F.col(group).alias("g"), F.when(~F.isnan(difference.cast("double")), difference).alias("x"))
+    x = F.col("x").cast("double")
+    stats = pairs.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.sum(x).alias("total"), F.sum(F.abs(x)).alias("scale"))
+    amounts = pairs.filter(x != 0).groupBy("g", F.abs(x).alias("d")).agg(F.count("*").alias("m")).withColumn("h", F.xxhash64("g", "d"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = T.StructType([T.StructField("g", pairs.schema["g"].dataType), T.StructField("round", T.LongType()), T.StructField("s", T.DoubleType())])
+    sums = amounts.repartition(tasks, "g", "d").mapInArrow(_flipped(rounds, seed), fields).groupBy("g", "round").agg(F.sum("s").alias("s"))
+    # Sums of doubles differ in their last digits by order; equal sums count as extreme.
+    far = sums.alias("s").join(stats.alias("t"), F.expr("s.g <=> t.g")).groupBy("t.g").agg(F.count_if(F.expr("abs(s.s) >= abs(t.total) - 1e-12 * t.scale")).alias("far"))
+    # A group of equal pairs only has no sums: every flip is as extreme as it is.
+    p = F.when(F.expr("t.n > 0"), (F.coalesce("f.far", F.lit(rounds)) + 1) / F.lit(rounds + 1))
+    return stats.alias("t").join(far.alias("f"), F.expr("t.g <=> f.g"), "left").select(F.col("t.g").alias(group), "n", F.round("mean", 6).alias("mean"), F.round(p, 4).alias("p"))
 
 
 def normal_two_sided(z: Column) -> Column:

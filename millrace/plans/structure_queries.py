@@ -170,7 +170,7 @@ def evl12(t: Inputs):
 
 @query("evl11_permutation_test")
 def evl11(t: Inputs):
-    return E.permutation_test(t.lineitem, "l_returnflag", "l_discount", "l_tax", rounds=1000)
+    return E.permutation_test(t.lineitem, "l_returnflag", "l_discount", "l_tax")
 
 
 @query("evl13_weight_grid", """WITH s AS (SELECT l_orderkey % 2 AS fold, l_orderkey AS query_id, l_linenumber AS item, l_discount AS a, l_tax AS b, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS target FROM lineitem),
