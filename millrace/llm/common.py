@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, carry: Sequence[str], text_col: str) -> tuple[list, list[str]]:
+    """The columns of docs that go through an operator's Arrow step beside doc_id and text, and all carried ones' fields.
+
+    A carried text column is the operator's own `text`, so that it is not moved twice.
+    """
+    names = [c for c in carry if c != "text" or text_col != "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return [F.col(c) for c in names], [f"`{c}` {kinds[c]}" for c in carry]
+
+
 def crc_mod(id_col: str, m: int):
     """crc32 of the id's decimal text, modulo m (null id: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(m)

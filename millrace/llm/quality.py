@@ -8,14 +8,14 @@ sample, a logistic scorer of hashed word shapes and shape pairs learns these lab
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, mix64, rows_of, staged, word_hashes
+from .common import byte_blocks, carried, mix64, rows_of, staged, word_hashes
 
 BUCKETS = 1 << 14
 LABELLERS = ("words with symbols", "capitals", "repeats", "variety", "word length", "sentence ends", "symbol characters", "symbol endings")
@@ -132,7 +132,7 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(_code(votes))], ["doc_id", "pattern"])
 
 
-def _scored(shared):
+def _scored(shared, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, posterior = shared.value
         for batch in batches:
@@ -141,23 +141,26 @@ def _scored(shared):
                 votes, features = described(texts[a:b])
                 score = np.array([_score(w, f) for f in features])
                 weak = np.array([posterior.get(int(c), 0.5) for c in _code(votes)])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(weak), pa.array(score), pa.array(score >= 0.5)], ["doc_id", "weak_label", "score", "keep"])
+                more = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in carry]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(weak), pa.array(score), pa.array(score >= 0.5), *more], ["doc_id", "weak_label", "score", "keep", *carry])
 
     return run
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, sample_chars: int = 20_000) -> DataFrame:
-    """Scores each whole text: doc_id, weak_label (posterior of good), score (0 to 1), keep (score >= 0.5).
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, sample_chars: int = 20_000, carry: Sequence[str] = ()) -> DataFrame:
+    """Scores each whole text: doc_id, weak_label (posterior of good), score (0 to 1), keep (score >= 0.5), then the columns named in carry.
 
     The label model uses the votes on all documents. The scorer learns from about `sample` documents at most (those whose
     hashed id is lowest) with texts of up to sample_chars characters. A text without words scores 0 and is not kept. Null
     ids and repeated rows stay; other columns are ignored; an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    more, fields = carried(docs, carry, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
     voted = staged(base.mapInArrow(_voted, "doc_id long, pattern long"), "votes")
     found = voted.groupBy("pattern").count().orderBy("pattern").toPandas()
     if found.empty:
-        return base.select("doc_id", F.lit(0.5).alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
+        return rows.select("doc_id", F.lit(0.5).alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("keep"), *carry)
     codes, counts = found["pattern"].to_numpy(), found["count"].to_numpy(float)
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
     good, _ = label_model(patterns, counts)
@@ -168,4 +171,4 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     target = np.array([posterior.get(int(c), 0.5) for c in _code(votes)])
     w = train_scorer(features, target) if len(features) else np.zeros(BUCKETS + 1)
     shared = docs.sparkSession.sparkContext.broadcast((w, posterior))
-    return base.mapInArrow(_scored(shared), "doc_id long, weak_label double, score double, keep boolean")
+    return rows.mapInArrow(_scored(shared, list(carry)), ", ".join(["doc_id long, weak_label double, score double, keep boolean", *fields]))

@@ -9,14 +9,14 @@ the highest and some random windows of a clean one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, crc_mod, mix64, rows_of, staged, word_hashes
+from .common import byte_blocks, carried, crc_mod, mix64, rows_of, staged, word_hashes
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -307,7 +307,7 @@ def train(texts: list[str | None], toxic: np.ndarray, epochs: int = 12, batch: i
     return net
 
 
-def _scored(shared):
+def _scored(shared, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
@@ -315,13 +315,14 @@ def _scored(shared):
             sizes = [b"\0" * len(t or "") for t in texts]
             logits = np.concatenate([net.scores(texts[a:b]) for a, b in byte_blocks(sizes, 1 << 21)] or [np.empty(0)]) if net else np.full(len(texts), -np.inf)
             p = np.where(np.isfinite(logits), _sigmoid(logits), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("held_out")), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            of = lambda name: batch.column(batch.schema.get_field_index(name))
+            yield pa.RecordBatch.from_arrays([of("doc_id"), of("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *map(of, carry)], ["doc_id", "held_out", "score", "predicted", *carry])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_per_label: int = 800, max_chars: int = 8_000) -> DataFrame:
-    """Scores each whole text: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_per_label: int = 800, max_chars: int = 8_000, carry: Sequence[str] = ()) -> DataFrame:
+    """Scores each whole text: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), then the columns named in carry.
 
     Trains on labelled rows outside the held-out fold: of each label about max_per_label rows at most (those whose hashed
     id is lowest), texts of more than max_chars characters left out. A text without words, null or empty, scores 0, as
@@ -340,4 +341,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         if sample["label"].nunique() == 2:
             net = train(sample["text"].tolist(), sample["label"].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    return base.select("doc_id", "text", held("doc_id").alias("held_out")).mapInArrow(_scored(shared), "doc_id long, held_out boolean, score double, predicted int")
+    schema = "doc_id long, held_out boolean, score double, predicted int"
+    more, fields = carried(docs, carry, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more).withColumn("held_out", held("doc_id"))
+    return rows.mapInArrow(_scored(shared, list(carry)), ", ".join([schema, *fields]))
