@@ -2,12 +2,13 @@
 
 Documents become pieces of at most `capacity` tokens (only longer documents are cut; a cut document's first piece takes
 the remainder, all others are full). A piece is placed where the sum, over residual gaps g, of N(g)^2 becomes smallest,
-N(g) being the number of open sequences with g free places; a new sequence is one of the choices.
+N(g) being the number of open sequences with g free places; a new sequence is one of the choices. Of equal choices the
+one that leaves the smallest gap is taken, and of sequences with equal gaps the one that got its last piece last.
 
 The rule looks at one piece at a time, so Spark deals the pieces by a hash into shards of a bounded number of pieces
 and every shard runs the rule on its own. Sequences that a shard leaves with more than `slack` free places are
-opened again and their pieces go to the next round, where the far fewer pieces meet in fewer shards. No shard
-depends on a key of the data, so hot keys make no hot task.
+opened again and their pieces go to the next round, where the far fewer pieces meet in fewer shards. The hash is that of
+a row number, so repeated rows and hot keys make no hot task.
 
 Packing in the order of a mix takes stretches of consecutive pieces for shards, in one round, so that no piece leaves
 its stretch.
@@ -23,17 +24,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, staged
+from .common import byte_blocks, rows_of, staged
 from .mixing import mix_sources
 
 #: A space between two characters that no tokenizer takes for white space: the pre-tokenizer always splits before it.
 _BETWEEN = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
-#: A text with none of these is split at every space as well: white space beyond single spaces and line feeds.
-_ODD = ["  ", "\n \n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+#: A text without a match is split before every space: it has no white space beyond single spaces and line feeds.
+_ODD = "[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  |\n \n|\n $"
+#: The pre-tokenizer also splits between a letter and one of these.
+_WORD_END = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-@\\[-`{-~\n])"
+#: Chunks remembered by a worker.
 _CACHE_LIMIT = 1_000_000
+#: Bytes of text that are split into chunks at once; a longer text goes in parts cut between words.
+_BLOCK = 1 << 23
 
 
 def _byte_length(token: str | None) -> int:
@@ -41,12 +48,64 @@ def _byte_length(token: str | None) -> int:
     return len(token or "")
 
 
+class _Chunks:
+    """Ids of chunks, one after another in an array; each distinct chunk is encoded once, up to a bounded number."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.token_bytes = np.array([_byte_length(tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size())])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.used = 0
+        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.number), self.used
+        while n + len(chunks) > len(self.start):
+            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        while m + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.ids[m : m + len(ids)] = ids
+        self.start[n : n + len(chunks)] = m + np.cumsum(sizes) - sizes
+        self.size[n : n + len(chunks)] = sizes
+        self.number.update(zip(chunks, range(n, n + len(chunks))))
+        self.used += len(ids)
+
+    def _learn(self, chunks: list[str]) -> None:
+        joins = lambda c: len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()
+        spaced = [c for c in chunks if joins(c)]
+        # Many chunks in one call, one after another as in a text; tokens' and chunks' lengths in bytes tell them apart.
+        for i in range(0, len(spaced), 2000):
+            part = spaced[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
+            self._keep(part, ids, np.diff(cut, prepend=0))
+        if alone := [c for c in chunks if not joins(c)]:
+            coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+            self._keep(alone, np.concatenate(coded), np.array([len(c) for c in coded]))
+
+    def of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size, in ids, of each chunk."""
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [c for c in distinct if c not in self.number]
+        if len(self.number) + len(new) > _CACHE_LIMIT:
+            self._forget()
+            new = distinct
+        self._learn(new)
+        at = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        return self.start[at], self.size[at]
+
+
 class ChunkEncoder:
-    """Token ids of whole texts as little-endian 32-bit bytes, by the `tokenizers` library.
+    """Token ids of whole texts, those of the `tokenizers` library's plain call.
 
-    A byte-level BPE never merges across the space in front of a word, so a text's ids are those of its
-    space-separated chunks (each with its leading space) one after another. Chunks repeat, so each is encoded once and
-    kept, up to a bounded number.
+    A byte-level BPE never merges across the places where its pre-tokenizer splits. Such are the space in front of a word
+    and the end of a word before punctuation, so a text's ids are those of its chunks between these places, one after
+    another. Arrow splits the texts and finds the distinct chunks; numpy gathers the ids. Control strings of the tokenizer in a text become their own ids, as in the plain call.
     """
 
     def __init__(self, path: str):
@@ -54,70 +113,100 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.token_bytes = np.array([_byte_length(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _learn(self, into: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        new = list(chunks.difference(into))
-        if len(into) + len(new) > _CACHE_LIMIT:
-            into.clear()
-            new = list(chunks)
-        if not lead:
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                into[c] = np.array(e.ids, "<u4").tobytes()
-            return
-        # Many chunks in one call, one after another as in a text; tokens' and chunks' lengths in bytes tell them apart.
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(c.encode()) + len(lead) for c in part])
-            cut = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
-            coded = ids.tobytes()
-            for c, a, b in zip(part, [0, *(4 * cut[:-1]).tolist()], (4 * cut).tolist()):
-                into[c] = coded[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_BETWEEN.split(t) if any(x in t for x in _ODD) else t.split(" ") for t in texts]
-        self._learn(self.first, {s[0] for s in split}, "")
-        need: set[str] = set()
-        for s in split:
-            need.update(s[1:])
-        self._learn(self.rest, need, " ")
-        get = self.rest.__getitem__
-        return [self.first[s[0]] + b"".join(map(get, s[1:])) for s in split]
+        self.chunks = _Chunks(self.tokenizer)
+        control = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.control_ids = {c: np.array([i], np.uint32) for c, i in control.items()}
+        self.control = re.compile("(" + "|".join(map(re.escape, control)) + ")") if control else None
+
+    def _split(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that hold no control string, each by its chunks."""
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+        marked = pc.replace_substring(pc.replace_substring_regex(column.filter(pa.array(~odd)), _WORD_END, "\\1\0\\2"), " ", "\0 ")
+        by_hand = [_BETWEEN.split(t) for t, o in zip(texts, odd) if o]
+        out: list = [None] * len(texts)
+        for rows, lists in ((np.flatnonzero(~odd), pc.split_pattern(marked, "\0")), (np.flatnonzero(odd), pa.array([[c[0], *(" " + x for x in c[1:])] for c in by_hand], pa.list_(pa.string())))):
+            if not len(rows):
+                continue
+            start, size = self.chunks.of(lists.flatten())
+            before = np.concatenate([[0], np.cumsum(size)])
+            ids = self.chunks.ids[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+            offsets = lists.offsets.to_numpy()
+            ends = before[offsets - offsets[0]]
+            for row, a, b in zip(rows.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+                out[row] = ids[a:b]
+        return out
+
+    def _parts(self, text: str) -> list[str]:
+        """A very long text in parts, cut between words where the pre-tokenizer always splits."""
+        parts, at = [], 0
+        while len(text) - at > _BLOCK and (found := _BETWEEN.search(text, at + _BLOCK)):
+            parts.append(text[at : found.start()])
+            at = found.start()
+        return [*parts, text[at:]]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text (unsigned 32-bit), in order."""
+        for a, b in byte_blocks([b"\0" * len(t) for t in texts], _BLOCK):
+            flat: list[str] = []
+            layout: list[list[int | np.ndarray]] = []
+            for t in texts[a:b]:
+                own: list[int | np.ndarray] = []
+                for piece in self.control.split(t) if self.control and self.control.search(t) else (t,):
+                    if piece in self.control_ids:
+                        own.append(self.control_ids[piece])
+                        continue
+                    for part in self._parts(piece):
+                        own.append(len(flat))
+                        flat.append(part)
+                layout.append(own)
+            if b - a == 1 and len(flat) > 1:
+                coded = [self._split([x])[0] for x in flat]
+            else:
+                coded = self._split(flat)
+            for own in layout:
+                found = [coded[x] if isinstance(x, int) else x for x in own]
+                yield found[0] if len(found) == 1 else np.concatenate(found)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
+_PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32.
+def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
+    """One row per document: doc_id, source, pieces (an array of piece, start, length, ids_crc32).
 
-    Null text counts as empty (its only token is end_id). Null ids stay null; repeated rows give repeated pieces.
-    Other columns are ignored. An empty table gives an empty result.
+    Null text counts as empty (its only token is end_id). Null ids and sources stay null; repeated rows stay. Other columns
+    are ignored. An empty table gives an empty result. Without source_col all sources are null.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = ChunkEncoder(tokenizer)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = rows_of(batch, "doc_id"), rows_of(batch, "text")
-            for at in range(0, len(ids), 256):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for i, coded in zip(ids[at : at + 256], _ENCODERS[tokenizer].encode([t or "" for t in texts[at : at + 256]])):
-                    coded += tail
-                    n = len(coded) // 4
-                    first = (n - 1) % capacity + 1
-                    for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity))):
-                        for to, x in zip(out, (i, piece, a, b - a, zlib.crc32(coded[4 * a : 4 * b]))):
-                            to.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, sources = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "source"))
+            ends, out = [0], ([], [], [], [])
+            for coded in _ENCODERS[tokenizer].encode([t or "" for t in rows_of(batch, "text")]):
+                coded = coded.astype("<u4", copy=False)
+                n = len(coded) + 1
+                first = (n - 1) % capacity + 1
+                for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity))):
+                    crc = zlib.crc32(np.ascontiguousarray(coded[a:b]))
+                    for to, x in zip(out, (piece, a, b - a, zlib.crc32(tail, crc) if b == n else crc)):
+                        to.append(x)
+                ends.append(len(out[0]))
+            items = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PIECE)], fields=list(_PIECE))
+            yield pa.RecordBatch.from_arrays([ids, sources, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["doc_id", "source", "pieces"])
+
+    source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), F.col(text_col).cast("string").alias("text"))
+    return named.mapInArrow(run, "doc_id long, source string, pieces array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, with the cases of document_pieces."""
+    return document_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, None).select("doc_id", F.inline("pieces"))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +244,7 @@ def _placer(capacity: int, slack: int, round_no: int):
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
         # Large pieces first, equal ones by id: the same rows give the same packing, whatever their order was.
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "no_id", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True, True], kind="stable")
         bins, offsets, gaps = sum_of_squares(pdf["length"].to_numpy(), capacity)
         again = (gaps[bins] > slack) & (slack >= 0)
         return pdf.drop(columns="shard").assign(sequence_id=np.where(again, -1, (round_no * 2**24 + shard) * 2**32 + bins), offset=np.where(again, -1, offsets))
@@ -164,20 +253,23 @@ def _placer(capacity: int, slack: int, round_no: int):
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 1024, shard_pieces: int = 4096, slack: int = 8, rounds: int = 3) -> DataFrame:
-    """Adds sequence_id and offset to pieces (columns doc_id, piece, start, length, ids_crc32).
+    """Adds sequence_id and offset to pieces (columns doc_id, piece, start, length, ids_crc32 and row, a number of its document's row).
 
-    A sequence's pieces fill it from offset 0 without gaps. Sequence ids are unique, not dense. Every piece is kept.
+    A sequence's pieces fill it from offset 0 without gaps. Sequence ids are unique, not dense. Every piece is kept; row
+    only deals them to shards and is dropped.
     """
-    fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    fields = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long"
     n = pieces.count()
+    # pandas would turn ids with nulls among them into floating point numbers.
+    pieces = pieces.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "piece", "start", "length", "ids_crc32", "row")
     done = None
     for r in range(rounds):
         shards = max(1, -(-n // shard_pieces))
         last = r == rounds - 1 or shards == 1
 
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(shards)).cast("int")
+        key = F.pmod(F.xxhash64("row", "piece", F.lit(r)), F.lit(shards)).cast("int")
         placed = staged(pieces.withColumn("shard", key).groupBy("shard").applyInPandas(_placer(capacity, -1 if last else slack, r), fields), f"packed{r}")
-        kept = placed.filter("sequence_id >= 0")
+        kept = placed.filter("sequence_id >= 0").select(F.expr("if(no_id, null, doc_id)").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done
@@ -189,35 +281,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, shard_pieces: int = 409
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = 4096) -> DataFrame:
-    """Tokenizes, cuts and packs documents. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(staged(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces"), capacity, shard_pieces)
-
+    """Tokenizes, cuts and packs documents. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, pieces (an array of piece, start, length, ids_crc32, as token_pieces gives them)."""
-    struct = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = ChunkEncoder(tokenizer)
-        tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids, sources, texts = rows_of(batch, "doc_id"), rows_of(batch, "source"), rows_of(batch, "text")
-            for at in range(0, len(ids), 256):
-                ends, out = [0], ([], [], [], [])
-                for coded in _ENCODERS[tokenizer].encode([t or "" for t in texts[at : at + 256]]):
-                    coded += tail
-                    n = len(coded) // 4
-                    first = (n - 1) % capacity + 1
-                    for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity))):
-                        for to, x in zip(out, (piece, a, b - a, zlib.crc32(coded[4 * a : 4 * b]))):
-                            to.append(x)
-                    ends.append(len(out[0]))
-                items = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(out, struct)], fields=list(struct))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256], pa.int64()), pa.array(sources[at : at + 256], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["doc_id", "source", "pieces"])
-
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, source string, pieces array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
+    Null text, null ids, repeated rows and other columns as in document_pieces; an empty table gives an empty result.
+    """
+    cut = document_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, None)
+    pieces = staged(cut.select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline("pieces")), "pieces")
+    return pack_pieces(pieces, capacity, shard_pieces)
 
 
 def _stretch_placer(capacity: int):
@@ -244,9 +314,12 @@ def pack_in_order(pieces: DataFrame, capacity: int = 1024, stretch_pieces: int =
     ranges = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
     nth = F.row_number().over(Window.partitionBy("range").orderBy("slot", "place", "piece")) - 1
     at = ranged.withColumn("nth", nth).join(ranges, "range").withColumn("at", F.col("before") + F.col("nth"))
-    fields = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    stretched = at.select(*fields, "at", F.expr(f"at div {int(stretch_pieces)}").alias("stretch"))
-    return stretched.groupBy("stretch").applyInPandas(_stretch_placer(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    fields = ["piece", "start", "length", "ids_crc32"]
+    # pandas would turn ids with nulls among them into floating point numbers.
+    named = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), *fields]
+    stretched = at.select(*named, "at", F.expr(f"at div {int(stretch_pieces)}").alias("stretch"))
+    packed = stretched.groupBy("stretch").applyInPandas(_stretch_placer(capacity), "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.select(F.expr("if(no_id, null, doc_id)").alias("doc_id"), *fields, "sequence_id", "offset")
 
 
 def pack_mixed(docs: DataFrame, tokenizer: str, mix: dict, capacity: int = 1024, end_id: int = 2, stretch_pieces: int = 4096) -> DataFrame:

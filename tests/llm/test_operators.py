@@ -28,7 +28,7 @@ def edge_rows():
     return [
         (1, None, "en", "a"), (2, "", None, None), (3, " \n\t ", "en", "a"), (4, "one two", "en", "b"), (5, "One TWO", "de", "b"),
         (6, word * 3, "en", "a"), (7, word * 3, "en", "a"), (7, word * 3, "en", "a"), (None, word * 3, "en", "a"), (8, word * 2000, None, "a"),
-        (9, "!!! $$$ 123", "en", None), (10, "é ü ñ 漢字 \U0001f600", "fr", "c"), (11, "x" * 50_000, "en", "c"),
+        (9, "!!! $$$ 123", "en", None), (12, "a <|endoftext|> b<|endoftext|>", "en", "a"), (10, "é ü ñ 漢字 \U0001f600", "fr", "c"), (11, "x" * 50_000, "en", "c"),
     ]
 
 
@@ -48,7 +48,6 @@ def check_packing(rows, texts, capacity=1024):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     by_seq, by_doc = {}, {}
     for r in rows:
         by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -86,10 +85,25 @@ def test_packing_is_tight(spark):
 def test_chunks_encode_as_whole_texts():
     e = packing.ChunkEncoder(TOKENIZER)
     r = random.Random(3)
-    alphabet = ["a", "b", " ", "  ", "\n", "\t", "'s", "1", "é", "　", "!", "\xa0", "foo", "\r\n", "<|endoftext|>"]
+    alphabet = ["a", "b", " ", "  ", "\n", "\t", "'s", "1", "é", "　", "!", "\xa0", "foo", "\r\n", "<|endoftext|>", "\n ", "\x85", "word.", "\0"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     for t, coded in zip(texts, e.encode(texts)):
-        assert e.tokenizer.encode(t, add_special_tokens=False).ids == np.frombuffer(coded, "<u4").tolist(), repr(t)
+        assert e.tokenizer.encode(t, add_special_tokens=False).ids == coded.tolist(), repr(t)
+
+
+def test_very_long_texts_encode_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "_BLOCK", 40)
+    e = packing.ChunkEncoder(TOKENIZER)
+    for t in ("hello world,  foo\n x <|endoftext|> é " * 30, "x" * 300, " " * 200, "a b " * 100):
+        (coded,) = e.encode([t])
+        assert e.tokenizer.encode(t, add_special_tokens=False).ids == coded.tolist()
+
+
+def test_repeated_rows_make_no_hot_shard(spark):
+    pieces = packing.document_pieces(docs(spark, [(None, "same text", "en", "a")] * 500), TOKENIZER).select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline("pieces"))
+    keys = pieces.select(F.pmod(F.xxhash64("row", "piece", F.lit(0)), F.lit(8)).alias("k")).groupBy("k").count().collect()
+    assert len(keys) == 8 and max(r["count"] for r in keys) < 120
+    assert packing.pack_documents(docs(spark, [(None, "same text", "en", "a"), (2**60 + 1, "x", "en", "a")] * 50), TOKENIZER, shard_pieces=8).filter(f"doc_id = {2**60 + 1}").count() == 50
 
 
 def test_sum_of_squares_rule():
