@@ -1,10 +1,10 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters with four numbers: its log odds of being in a toxic document and its frequency in the training documents
-(word inputs), and sum and maximum of the log odds of its character n-grams (character inputs). Two gated recurrent layers read a window of words in both directions, attention pools the states,
-and a linear layer gives the window's score. Windows overlap by half and cover the whole text; a document scores as its
-highest window. Labels are the documents', so training takes the highest window of a toxic document as its example, and
-the highest and some random windows of a clean one.
+A word enters with a learned embedding of itself (word input) and the summed learned embeddings of its character 4- and
+5-grams (character input); words and n-grams are known by 64-bit hashes. Two gated recurrent layers read a window of words in
+both directions, attention pools the states, and a linear layer gives the window's score. Windows overlap by half and
+cover the whole text; a document scores as its highest window. Labels are the documents', so training takes the highest
+window of a toxic document as its example, and the highest and some random windows of a clean one.
 """
 
 from __future__ import annotations
@@ -20,8 +20,13 @@ from .common import byte_blocks, carried, crc_mod, mix64, rows_of, staged, word_
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
+#: Numbers in an embedding.
+SIZE = 4
+INPUTS = 2 * SIZE
 _C = np.random.default_rng(11).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BITS = 22
+#: Words whose n-grams are hashed at once.
+_WORDS = 20_000
 
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,42 +81,48 @@ def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, first, np.minimum(WINDOW, counts[doc] - nth * STRIDE)
 
 
-class Features:
-    """What a word looks like to the network: log odds and frequency of the word itself, and log odds of its n-grams."""
-
-    def __init__(self, words: np.ndarray, grams: np.ndarray, word_odds: np.ndarray, word_docs: np.ndarray, gram_odds: np.ndarray):
-        self.words, self.grams = words, grams
-        self.word = np.stack([np.append(word_odds, 0), np.append(np.log1p(word_docs) / 4, 0)], 1)
-        self.gram_odds = gram_odds
-        self.filter = np.zeros(1 << _BITS, bool)
-        self.filter[grams >> np.uint64(64 - _BITS)] = True
-
-    def of(self, h: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A row of inputs for each of the distinct words, given by hash and place in the bytes."""
-        g, owner = grams_of(data, begin, end)
-        maybe = self.filter[g >> np.uint64(64 - _BITS)]
-        g, owner = g[maybe], owner[maybe]
-        at = _lookup(self.grams, g)
-        hit = at < len(self.grams)
-        return gathered(self.word[_lookup(self.words, h)], owner[hit], self.gram_odds[at[hit]])
-
-
-def gathered(word: np.ndarray, owner: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """Inputs: the word's own two numbers, sum and maximum of its n-grams' log odds."""
-    most = np.zeros(len(word))
-    np.maximum.at(most, owner, odds)
-    return np.concatenate([word, (np.bincount(owner, odds, len(word)) / 8)[:, None], most[:, None]], 1).astype(np.float32)
-
-
-INPUTS = 4
+class Inputs:
+    """The words and n-grams with an embedding, and the embeddings: word_table (last row: any other word) and gram_table."""
+
+    def __init__(self, words: np.ndarray, grams: np.ndarray, rng: np.random.Generator):
+        self.words, self.grams = words, grams  # sorted hashes
+        draw = lambda n: (rng.standard_normal((n, SIZE)) * 0.02).astype(np.float32)
+        self.word_table, self.gram_table = draw(len(words) + 1), draw(len(grams))
+        self.word_table[-1] = 0
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "filter"}
+
+    def known(self, h: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words, given by hash and place in the bytes: row of each in word_table, and pairs (word, row in gram_table)."""
+        if "filter" not in self.__dict__:
+            self.filter = np.zeros(1 << _BITS, bool)
+            self.filter[self.grams >> np.uint64(64 - _BITS)] = True
+        owners, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(0, len(h), _WORDS):
+            g, owner = grams_of(data, begin[i : i + _WORDS], end[i : i + _WORDS])
+            maybe = self.filter[g >> np.uint64(64 - _BITS)]
+            g, owner = g[maybe], owner[maybe]
+            at = _lookup(self.grams, g)
+            hit = at < len(self.grams)
+            owners.append(owner[hit] + i)
+            rows.append(at[hit])
+        return _lookup(self.words, h), np.concatenate(owners), np.concatenate(rows)
+
+    def vectors(self, word: np.ndarray, owner: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """A row of inputs for each word: its own embedding, then the sum of its n-grams'."""
+        x = np.empty((len(word), 2 * SIZE), np.float32)
+        x[:, :SIZE] = self.word_table[word]
+        for k in range(SIZE):
+            x[:, SIZE + k] = np.bincount(owner, self.gram_table[gram, k], len(word))
+        return x
 
 
 class Network:
     """The parameters, the forward pass and, for training, the backward pass."""
 
-    def __init__(self, features: Features, seed: int = 5):
-        rng = np.random.default_rng(seed)
-        self.features = features
+    def __init__(self, inputs: Inputs, rng: np.random.Generator):
+        self.inputs = inputs
         draw = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
         p = {"va": draw(2 * HIDDEN), "wo": draw(2 * HIDDEN), "bo": np.full(1, -1.0, np.float32)}
         for side in "fb":
@@ -136,7 +147,7 @@ class Network:
         return out
 
     def forward(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: dict | None = None, gates: dict | None = None) -> np.ndarray:
-        """Scores (before the sigmoid) of windows of word indices into x."""
+        """Scores (before the sigmoid) of windows of word indices into x, rows of inputs."""
         states = []
         for side in "fb":
             trail = [] if keep is not None else None
@@ -156,10 +167,12 @@ class Network:
         return x @ self.p["W" + side] + self.p["b" + side]
 
     def gradients(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean log loss by the parameters, and by the inputs (key "x")."""
         keep: dict = {}
         d = ((_sigmoid(self.forward(x, ids, mask, keep)) - target) / len(target)).astype(np.float32)
         h, a, pooled, H = keep["h"], keep["a"], keep["pooled"], HIDDEN
         g = {"wo": pooled.T @ d, "bo": d.sum(keepdims=True)}
+        dx = np.zeros((WINDOW, len(ids), INPUTS), np.float32)
         dp = d[:, None] * self.p["wo"]
         da = (h * dp).sum(2)
         ds = a * (da - (a * da).sum(0))
@@ -180,10 +193,13 @@ class Network:
                 du = np.concatenate([dz, dr, dn * r], 1)
                 dg = np.concatenate([dz, dr, dn], 1)
                 dW += x[ids[:, t]].T @ dg
+                dx[t] += dg @ self.p["W" + side].T
                 db += dg.sum(0)
                 dU += before.T @ du
                 dh = np.where(m, go * z + du @ U.T, full)
             g["U" + side], g["b" + side], g["W" + side] = dU, db, dW
+        flat, token = dx.reshape(-1, INPUTS), ids.T.ravel()
+        g["x"] = np.stack([np.bincount(token, flat[:, k], len(x)) for k in range(INPUTS)], 1)
         return g
 
     def windows(self, x: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray, most: int = 4096) -> np.ndarray:
@@ -201,7 +217,7 @@ class Network:
         if not len(h):
             return out
         first, ids = distinct(h)
-        x = self.features.of(h[first], data, begin[first], end[first])
+        x = self.inputs.vectors(*self.inputs.known(h[first], data, begin[first], end[first]))
         of, start, size = windows_of(np.bincount(doc, minlength=len(texts)))
         logits = self.windows(x, ids, start, size)
         heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
@@ -218,87 +234,87 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], ids
 
 
-def _log_odds(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
-    """Log odds of being in a toxic document, damped where few documents speak."""
-    odds = np.log((bad + 0.25) / (n_bad + 0.5)) - np.log((good + 0.25) / (n_good + 0.5))
-    return np.clip(odds * (bad + good) / (bad + good + 3), -4, 4)
-
-
-def _in_documents(unit: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (unit, document) once each; and the units of at least so many documents and such log odds, with their odds and numbers of documents; the odds of each pair as the other documents give them (0: not kept)."""
-    order = np.lexsort((doc, unit))
-    unit, doc = unit[order], doc[order]
-    once = np.concatenate([[True], (unit[1:] != unit[:-1]) | (doc[1:] != doc[:-1])])
-    unit, doc = unit[once], doc[once]
-    units, inverse = np.unique(unit, return_inverse=True)
-    bad = np.bincount(inverse, toxic[doc], len(units))
-    good = np.bincount(inverse, minlength=len(units)) - bad
-    n_bad, n_good = toxic.sum(), len(toxic) - toxic.sum()
-    odds = _log_odds(bad, good, n_bad, n_good)
-    keep = (bad + good >= least) & (odds >= floor)
-    own = toxic[doc]
-    others = np.where(keep[inverse], _log_odds(bad[inverse] - own, good[inverse] - (1 - own), n_bad, n_good), 0)
-    return units[keep], odds[keep], (bad + good)[keep], others, np.stack([unit, doc.astype(np.uint64)], 1)
+def _vocabulary(h: np.ndarray, doc: np.ndarray, first: np.ndarray, ids: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words, and of the n-grams, that occur in at least so many documents (n-grams: words times documents)."""
+    pairs = np.unique(ids * (int(doc[-1]) + 1) + doc) if len(h) else ids
+    documents = np.bincount(pairs // (int(doc[-1]) + 1) if len(h) else pairs, minlength=len(first))
+    units, often = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for i in range(0, len(first), _WORDS):
+        some = first[i : i + _WORDS]
+        grams, owner = grams_of(data, begin[some], end[some])
+        units, inverse = np.unique(np.concatenate([units, grams]), return_inverse=True)
+        often = np.bincount(inverse, np.concatenate([often, documents[owner + i]]), len(units)).astype(np.int64)
+    return np.sort(h[first][documents >= least]), units[often >= least]
 
 
-def train(texts: list[str | None], toxic: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
+def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch: int = 32, rate: float = 0.01, table_rate: float = 3.0, decay: float = 1e-3, least: int = 3, seed: int = 5) -> Network:
     """Trains on documents and their labels (1: toxic).
 
-    The log odds that a training document sees leave its own label out; so they are as telling as those of a new document.
+    Words and n-grams in fewer than `least` documents get no embedding of their own. The layers are trained by Adam; the
+    embeddings by plain steps, so that what few documents have moves little. Steps get smaller towards the end; there are
+    about `steps` of them, but at most 20 rounds over the documents. A fifth of the documents (of 100 or more) only
+    settles where the score is 0.5.
     """
     rng = np.random.default_rng(seed)
-    toxic = np.asarray(toxic, np.float64)
+    every = np.asarray(toxic, np.float64)
+    aside = np.zeros(len(texts), bool)
+    for label in (0, 1):
+        of_label = np.flatnonzero(every == label)
+        aside[rng.permutation(of_label)[: len(of_label) // 5 if len(texts) >= 100 else 0]] = True
+    others = [t for t, a in zip(texts, aside) if a]
+    texts, toxic = [t for t, a in zip(texts, aside) if not a], every[~aside]
     h, doc, data, begin, end = words_of(texts)
     first, ids = distinct(h) if len(h) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    words, word_odds, word_docs, word_others, pair = _in_documents(h, doc, toxic, 2, -9)
-    # Inputs of each word in each document: `of_pair` says which pair an occurrence is.
-    at_word = np.searchsorted(h[first], pair[:, 0]) if len(first) else np.empty(0, np.int64)
-    in_doc = pair[:, 1].astype(np.int64)
-    key = np.searchsorted(at_word * len(texts) + in_doc, ids * len(texts) + doc)
-    grams, owner = grams_of(data, begin[first], end[first])
+    net = Network(Inputs(*_vocabulary(h, doc, first, ids, data, begin, end, least), rng), rng)
+    word, owner, gram = net.inputs.known(h[first], data, begin[first], end[first])
     order = np.argsort(owner, kind="stable")
-    grams, owner = grams[order], owner[order]
-    size = np.bincount(owner, minlength=len(first))
-    many = size[at_word]
-    flat = np.repeat((np.cumsum(size) - size)[at_word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    of_pair = np.repeat(np.arange(len(pair)), many)
-    gram_units, gram_odds, _, gram_others, gram_pair = _in_documents(grams[flat], in_doc[of_pair], toxic, 3, 0.7)
-    # The others' log odds of an n-gram in a document go to every word of the document that has it.
-    names, number = np.unique(gram_pair[:, 0], return_inverse=True)
-    where = np.searchsorted(number * len(texts) + gram_pair[:, 1].astype(np.int64), np.searchsorted(names, grams[flat]) * len(texts) + in_doc[of_pair])
-    docs_of = np.append(word_docs, 0)[_lookup(words, pair[:, 0])]
-    x = gathered(np.stack([word_others, np.log1p(np.maximum(docs_of - 1, 0)) / 4], 1), of_pair, np.maximum(gram_others[where], 0))
-
-    net = Network(Features(words, gram_units, word_odds, word_docs, gram_odds), seed)
+    owner, gram = owner[order], gram[order]
+    grams_from = np.searchsorted(owner, np.arange(len(word) + 1))
     of, start, length = windows_of(np.bincount(doc, minlength=len(texts)))
     if not len(of):
         return net
     step = np.arange(WINDOW)
-    mask = step < length[:, None]
-    inside = key[np.minimum(start[:, None] + step, len(key) - 1)]
     heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    score = np.where(mask, np.maximum(x[:, 0], x[:, 3])[inside], -9).max(1)  # the first choice: most telling word
     clean = np.flatnonzero(toxic[of] == 0)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     ticks = 0
+    scores = lambda: net.windows(net.inputs.vectors(word, owner, gram), ids, start, length)
+    epochs = min(20, -(-steps * batch // (2 * len(heads))))
     for epoch in range(epochs):
-        if epoch:
-            score = net.windows(x, key, start, length)
+        # Before anything is learned, one window of a document is as good as another.
+        score = scores() if epoch else rng.random(len(of))
         best = np.array([a + int(score[a:b].argmax()) for a, b in zip(heads, [*heads[1:], len(of)])])
         other = rng.choice(clean, min(len(clean), len(best)), replace=False)
         chosen = rng.permutation(np.unique(np.concatenate([best, other])))
         for i in range(0, len(chosen), batch):
             part = chosen[i : i + batch]
+            at = np.minimum(start[part, None] + step, len(ids) - 1)
+            own, local = np.unique(ids[at], return_inverse=True)
+            many = grams_from[own + 1] - grams_from[own]
+            to = np.repeat(np.arange(len(own)), many)
+            which = gram[np.repeat(grams_from[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+            g = net.gradients(net.inputs.vectors(word[own], to, which), local.reshape(at.shape), step < length[part, None], toxic[of[part]])
             ticks += 1
-            for k, g in net.gradients(x, inside[part], mask[part], toxic[of[part]]).items():
+            left = 1 - (epoch + i / len(chosen)) / epochs
+            dx = g.pop("x")
+            net.inputs.word_table *= 1 - decay
+            net.inputs.gram_table *= 1 - decay
+            for k in range(SIZE):
+                net.inputs.word_table[:, k] -= left * table_rate * np.bincount(word[own], dx[:, k], len(net.inputs.word_table))
+                if len(which):
+                    net.inputs.gram_table[:, k] -= left * table_rate * np.bincount(which, dx[to, SIZE + k], len(net.inputs.gram_table))
+            for k, grad in g.items():
                 m, v = moment[k]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                net.p[k] -= (rate * (m / (1 - 0.9**ticks)) / (np.sqrt(v / (1 - 0.99**ticks)) + 1e-8)).astype(np.float32)
-    # Move the bias so that 0.5 parts the training documents best.
-    top = np.maximum.reduceat(net.windows(x, key, start, length), heads)
+                m += 0.1 * (grad - m)
+                v += 0.01 * (grad * grad - v)
+                net.p[k] -= (left * rate * (m / (1 - 0.9**ticks)) / (np.sqrt(v / (1 - 0.99**ticks)) + 1e-8)).astype(np.float32)
+    # Move the bias so that 0.5 parts the documents kept aside best, and is as far from them as it can be.
+    top, y = (net.scores(others), every[aside]) if others else (np.maximum.reduceat(scores(), heads), toxic[of[heads]])
+    top, y = top[np.isfinite(top)], y[np.isfinite(top)]
+    if not len(top):
+        return net
     order = np.argsort(top)
-    s, y = top[order], toxic[of[heads]][order]
+    s, y = top[order], y[order]
     wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
     cut = np.flatnonzero(wrong == wrong.min())
     middle = np.concatenate([[s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]])
@@ -321,13 +337,31 @@ def _scored(shared, carry: list[str]):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_per_label: int = 800, max_chars: int = 8_000, carry: Sequence[str] = ()) -> DataFrame:
+def _shortened(most_words: int, seed: int = 17):
+    """A text of more words is represented by random stretches of WINDOW words, so many words in all, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in rows_of(batch, "text"):
+                words = text.split()
+                if len(words) > most_words:
+                    at = np.sort(np.random.default_rng(seed).choice(len(words) // WINDOW, most_words // WINDOW, replace=False)) * WINDOW
+                    text = " ".join(w for a in at.tolist() for w in words[a : a + WINDOW])
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), pa.array(out, pa.string())], ["label", "text"])
+
+    return run
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_per_label: tuple[int, int] = (3200, 1600), max_words: int = 800, carry: Sequence[str] = ()) -> DataFrame:
     """Scores each whole text: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), then the columns named in carry.
 
-    Trains on labelled rows outside the held-out fold: of each label about max_per_label rows at most (those whose hashed
-    id is lowest), texts of more than max_chars characters left out. A text without words, null or empty, scores 0, as
-    do all if there are no rows of both labels to learn from. Null labels are left out; null ids are not held out;
-    repeated rows stay; other columns are ignored; an empty table gives an empty result.
+    Trains on labelled rows outside the held-out fold: of label 0 and 1 at most max_per_label rows, those whose hash of id
+    and text is lowest, equal rows once. Of a text with more than max_words words the training sees that many, in random
+    stretches; scores are of whole texts. A text without words, null or empty, scores 0, as do all if there are no rows
+    of both labels to learn from. Null labels are left out; null ids are not held out; repeated rows stay; other columns
+    are ignored; an empty table gives an empty result.
     """
     held = lambda c: F.coalesce(crc_mod(c, folds) == held_fold, F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -335,11 +369,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     net = None
     if len(counts) == 2:
-        share = F.when(F.col("label") == 1, F.lit(min(1.0, max_per_label / counts[1]))).otherwise(F.lit(min(1.0, max_per_label / counts[0])))
-        picked = staged(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share * (1 << 30)), "picked")
-        sample = base.join(picked, "doc_id").filter(F.length("text") <= max_chars).select("doc_id", "label", "text").toPandas().sort_values(["doc_id", "label", "text"])
-        if sample["label"].nunique() == 2:
-            net = train(sample["text"].tolist(), sample["label"].to_numpy())
+        # About a fifth more than wanted by a hash of the id, then exactly so many of distinct rows.
+        share = F.when(F.col("label") == 1, F.lit(min(1.0, 1.2 * max_per_label[1] / counts[1]))).otherwise(F.lit(min(1.0, 1.2 * max_per_label[0] / counts[0])))
+        likely = staged(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share * (1 << 30)).distinct(), "likely")
+        met = base.filter("text is not null").join(likely, "doc_id").select("label", "text").distinct().withColumn("turn", F.xxhash64("text", "label"))
+        sample = None
+        for label, most in enumerate(max_per_label):
+            part = met.filter(F.col("label") == label).orderBy("turn", "text").limit(most)
+            sample = part if sample is None else sample.unionByName(part)
+        short = sample.select("label", "text").mapInArrow(_shortened(max_words), "label int, text string").toPandas().sort_values(["label", "text"])
+        if short["label"].nunique() == 2:
+            net = train(short["text"].tolist(), short["label"].to_numpy())
+            del short
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = "doc_id long, held_out boolean, score double, predicted int"
     more, fields = carried(docs, carry, text_col)

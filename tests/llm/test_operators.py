@@ -416,11 +416,15 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(docs(spark, rows), labels.limit(0)).filter("score > 0").count() == 0
 
 
+def small_network(rng):
+    net = toxicity.Network(toxicity.Inputs(np.empty(0, np.uint64), np.empty(0, np.uint64), rng), rng)
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    return net
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(4)
-    f = toxicity.Features(*[np.empty(0, np.uint64)] * 2, *[np.empty(0)] * 3)
-    net = toxicity.Network(f)
-    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    net = small_network(rng)
     x, ids = rng.standard_normal((20, toxicity.INPUTS)), rng.integers(0, 20, (5, toxicity.WINDOW))
     mask = np.arange(toxicity.WINDOW) < np.array([32, 3, 10, 1, 20])[:, None]
     y = np.array([1.0, 0, 1, 0, 1])
@@ -430,9 +434,9 @@ def test_toxicity_gradients():
         return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
     g = net.gradients(x, ids, mask, y)
-    for k in net.p:
-        flat = net.p[k].reshape(-1)
-        for i in rng.choice(len(flat), min(3, len(flat)), replace=False):
+    for k, values in {**net.p, "x": x}.items():
+        flat = values.reshape(-1)
+        for i in rng.choice(len(flat), min(6, len(flat)), replace=False):
             old = flat[i]
             flat[i] = old + 1e-2
             up = loss()
@@ -442,6 +446,41 @@ def test_toxicity_gradients():
             assert abs((up - down) / 2e-2 - g[k].reshape(-1)[i]) < 2e-3, k
 
 
+def test_toxicity_scores_by_brute_force():
+    """Window by window and word by word, with dictionaries and plain loops."""
+    r = random.Random(8)
+    words = [f"{a}{b}" for a in ("lo", "wei", "qu", "é", "toxi") for b in ("na", "rem", "c", "schen", "x")]
+    texts = [" ".join(r.choice(words) for _ in range(r.choice([0, 1, 5, 31, 32, 33, 49, 200]))) + r.choice(["", ".", " ,, "]) for _ in range(60)]
+    net = toxicity.train(texts, np.array([int("toxi" in t[:40]) for t in texts]), steps=10)
+    inputs, p, H = net.inputs, net.p, toxicity.HIDDEN
+    row, gram_row = {int(h): i for i, h in enumerate(inputs.words)}, {int(h): i for i, h in enumerate(inputs.grams)}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def vector(word):
+        h, _, data, begin, end = toxicity.words_of([word])
+        grams, _ = toxicity.grams_of(data, begin, end)
+        own = inputs.word_table[row.get(int(h[0]), -1)]
+        return np.concatenate([own, sum((inputs.gram_table[gram_row[int(g)]] for g in grams if int(g) in gram_row), np.zeros(toxicity.SIZE))])
+
+    def window(x):
+        states = np.zeros((len(x), 2 * H))
+        for k, side in enumerate("fb"):
+            h = np.zeros(H)
+            for t in range(len(x)) if side == "f" else reversed(range(len(x))):
+                gate, hu = x[t] @ p["W" + side] + p["b" + side], h @ p["U" + side]
+                z, q = sig(gate[:H] + hu[:H]), sig(gate[H : 2 * H] + hu[H : 2 * H])
+                h = (1 - z) * np.tanh(gate[2 * H :] + q * hu[2 * H :]) + z * h
+                states[t, k * H : (k + 1) * H] = h
+        a = np.exp(states @ p["va"] - (states @ p["va"]).max())
+        return (a / a.sum()) @ states @ p["wo"] + p["bo"][0]
+
+    for text, score in zip(texts, net.scores(texts)):
+        x = [vector(w) for w in text.lower().replace(".", " ").replace(",", " ").split()]
+        starts = range(0, max(1, len(x) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if x else []
+        want = max((window(np.array(x[a : a + toxicity.WINDOW])) for a in starts), default=-np.inf)
+        assert score == want or abs(score - want) < 1e-3, text
+
+
 def test_windows_cover_whole_texts():
     for n in (0, 1, 31, 32, 33, 48, 49, 1000):
         doc, first, size = toxicity.windows_of(np.array([n, 5]))
