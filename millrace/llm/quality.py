@@ -3,7 +3,7 @@
 Overlapping heuristic labellers each vote good, bad or not at all. All documents' vote patterns are counted (at most
 3^labellers patterns), and expectation-maximisation on the counts finds each labeller's accuracy and the share of good
 documents, with the labellers independent given the class. The posterior of its pattern labels a document. On a bounded
-sample, a logistic scorer of hashed word shapes and shape pairs learns these labels; it then scores every whole text.
+sample, a logistic scorer of hashed words, word shapes and shape pairs learns these labels; it then scores every whole text.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, carried, mix64, rows_of, staged, word_hashes
+from .common import byte_blocks, carried, mix64, rows_of, shortened, staged, word_hashes
 
-BUCKETS = 1 << 14
+#: Buckets of word shapes and their pairs, and of words.
+SHAPES, WORDS = 1 << 14, 1 << 17
+BUCKETS = SHAPES + WORDS
 LABELLERS = ("words with symbols", "capitals", "repeats", "variety", "word length", "sentence ends", "symbol characters", "symbol endings")
 _UPPER, _LOWER, _DIGIT, _OTHER, _SYMBOL, _STOP, _WIDE = 1, 2, 3, 4, 5, 6, 7
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -27,63 +29,85 @@ _KIND[[ord(c) for c in ".,;:?'\"()-"]] = _STOP
 _MIX = np.random.default_rng(3).integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def described(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Votes (texts x labellers: 1 good, -1 bad, 0 none) and the hashed features of each text (one bucket per word and per pair)."""
-    votes, features = np.zeros((len(texts), len(LABELLERS)), np.int8), []
-    for a, b in byte_blocks(texts):
-        part = texts[a:b]
-        h, doc, begin, end = word_hashes(part)
-        n = len(part)
-        words = np.bincount(doc, minlength=n).astype(float)
-        data = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
+class _Words:
+    """The words of some texts: hash, text, length in bytes, counts of kinds of bytes, kinds of the first and last byte."""
+
+    def __init__(self, texts: list[bytes]):
+        self.n = len(texts)
+        self.hash, self.doc, begin, end = word_hashes(texts)
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         kind = _KIND[data]
-        total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-        within = lambda mask: (s := total(mask))[end] - s[begin]
-        per_doc = lambda x: np.bincount(doc, x, n)
-        size = end - begin
-        upper, lower, symbol = within(kind == _UPPER), within(kind == _LOWER), within(kind == _SYMBOL)
-        again = np.concatenate([[False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])]) if len(h) else np.zeros(0, bool)
-        distinct = np.bincount(np.unique(np.stack([doc.astype(np.uint64), h], 1), axis=0)[:, 0].astype(np.int64), minlength=n) if len(h) else np.zeros(n)
-        last = kind[end - 1]
+
+        def within(which: int) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(kind == which)])
+            return total[end] - total[begin]
+
+        self.size = end - begin
+        self.upper, self.lower, self.symbol = within(_UPPER), within(_LOWER), within(_SYMBOL)
+        self.first, self.last, self.stop = kind[begin], kind[end - 1], data[end - 1] == 46
+        same = (self.hash[1:] == self.hash[:-1]) & (self.doc[1:] == self.doc[:-1])
+        self.again = np.concatenate([[False], same]) if len(self.hash) else same
+
+    def per_text(self, x: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.doc, x, self.n).astype(float)
+
+
+def voted(texts: list[bytes]) -> np.ndarray:
+    """Votes (texts x labellers: 1 good, -1 bad, 0 none)."""
+    votes = np.zeros((len(texts), len(LABELLERS)), np.int8)
+    for a, b in byte_blocks(texts):
+        w = _Words(texts[a:b])
+        words = w.per_text()
+        distinct = np.bincount((np.unique((w.doc.astype(np.uint64) << np.uint64(40)) | (w.hash >> np.uint64(24))) >> np.uint64(40)).astype(np.int64), minlength=w.n)
         some = np.maximum(words, 1)
-        letters = np.maximum(per_doc(upper + lower), 1)
-        with_symbol, capital, repeat = per_doc(symbol > 0) / some, per_doc(upper) / letters, per_doc(again) / some
-        ends = per_doc(data[end - 1] == 46) / some
-        long_enough = words >= 20
-        mean = per_doc(size) / some
+        letters, size = np.maximum(w.per_text(w.upper + w.lower), 1), np.maximum(w.per_text(w.size), 1)
+        capital, ends, mean, long_enough = w.per_text(w.upper) / letters, w.per_text(w.stop) / some, size / some, words >= 20
         v = votes[a:b]
         # Six labellers know a defect and say nothing otherwise; two know ordinary prose.
-        v[:, 0] = np.where(with_symbol > 0.2, -1, 0)
+        v[:, 0] = np.where(w.per_text(w.symbol > 0) / some > 0.2, -1, 0)
         v[:, 1] = np.where((capital > 0.5) & (letters > 20), -1, 0)
-        v[:, 2] = np.where(repeat > 0.2, -1, 0)
+        v[:, 2] = np.where(w.per_text(w.again) / some > 0.2, -1, 0)
         v[:, 3] = np.where(long_enough & (distinct / some < 0.2), -1, 0)
         v[:, 4] = np.where((mean > 15) | (mean < 2), -1, np.where((mean > 3) & (mean < 10), 1, 0))
         v[:, 5] = np.where(long_enough & (ends < 0.005), -1, np.where((ends > 0.02) & (ends < 0.6), 1, 0))
-        v[:, 6] = np.where(per_doc(symbol) / np.maximum(per_doc(size), 1) > 0.04, -1, 0)
-        v[:, 7] = np.where(per_doc(last == _SYMBOL) / some > 0.15, -1, 0)
+        v[:, 6] = np.where(w.per_text(w.symbol) / size > 0.04, -1, 0)
+        v[:, 7] = np.where(w.per_text(w.last == _SYMBOL) / some > 0.15, -1, 0)
         v[words == 0] = 0
+    return votes
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, bucket and value of each bucket that a text has: the root of the bucket's share of the text's words."""
+    texts_, buckets, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for a, b in byte_blocks(texts):
+        w = _Words(texts[a:b])
+        if not len(w.hash):
+            continue
         # A word's shape: kinds of its first and last byte, its case, its length, symbols, and whether it repeats the word before.
-        shape = kind[begin].astype(np.int64) if len(h) else np.zeros(0, np.int64)
-        case = np.where((upper > 0) & (lower == 0) & (upper + lower > 1), 2, np.where(upper > 0, 1, 0))
-        for part_, k in ((last, 8), (case, 3), (np.digitize(size, [2, 4, 7, 12]), 5), (np.minimum(symbol, 2), 3), (again, 2)):
-            shape = shape * k + part_.astype(np.int64)
-        one = mix64((shape.astype(np.uint64) + np.uint64(1)) * _MIX[0]) % np.uint64(BUCKETS)
-        two = mix64((shape[:-1].astype(np.uint64) + np.uint64(1)) * _MIX[0] + (shape[1:].astype(np.uint64) + np.uint64(1)) * _MIX[1]) % np.uint64(BUCKETS) if len(h) else one
-        stop = np.cumsum(words).astype(int)
-        for s, e in zip([0, *stop[:-1]], stop):
-            features.append(np.concatenate([one[s:e], two[s : max(s, e - 1)]]).astype(np.int64))
-    return votes, features
+        case = np.where((w.upper > 0) & (w.lower == 0) & (w.upper + w.lower > 1), 2, np.where(w.upper > 0, 1, 0))
+        shape = w.first.astype(np.int64)
+        for part, k in ((w.last, 8), (case, 3), (np.digitize(w.size, [2, 4, 7, 12]), 5), (np.minimum(w.symbol, 2), 3), (w.again, 2)):
+            shape = shape * k + part.astype(np.int64)
+        shape = shape.astype(np.uint64) + np.uint64(1)
+        one = mix64(shape * _MIX[0]) % np.uint64(SHAPES)
+        two = mix64(shape[:-1] * _MIX[0] + shape[1:] * _MIX[1]) % np.uint64(SHAPES)
+        inside = w.doc[1:] == w.doc[:-1]
+        word = np.uint64(SHAPES) + (w.hash >> np.uint64(40)) % np.uint64(WORDS)
+        cell, count = np.unique(np.concatenate([w.doc, w.doc[:-1][inside], w.doc]) * BUCKETS + np.concatenate([one, two[inside], word]).astype(np.int64), return_counts=True)
+        texts_.append(cell // BUCKETS + a)
+        buckets.append(cell % BUCKETS)
+        values.append(np.sqrt(count / w.per_text()[cell // BUCKETS]))
+    return np.concatenate(texts_), np.concatenate(buckets), np.concatenate(values)
 
 
 #: P(vote | class) that the label model starts from, for votes -1, 0, 1: what a labeller says is likelier right than wrong.
 PRIOR = np.array([[0.3, 0.4, 0.3], [0.01, 0.39, 0.6]])
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 100, strength: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200, strength: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of good for each vote pattern (patterns x labellers), and P(vote | class) as (labellers, class, vote + 1).
 
-    Starts from PRIOR, which names the classes; it also counts like `strength` times the documents, so that no labeller ends
-    up worse than guessing.
+    Starts from PRIOR, which names the classes and counts like `strength` documents.
     """
     n = patterns.shape[1]
     table, share = np.tile(PRIOR, (n, 1, 1)), np.array([0.2, 0.8])
@@ -91,23 +115,19 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 100, stre
         log = np.log(share) + np.stack([np.log(table[np.arange(n), c, patterns + 1]).sum(1) for c in (0, 1)], 1)
         good = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         by_class = np.stack([counts * (1 - good), counts * good])
-        table = PRIOR * strength * counts.sum() * share[:, None] + np.stack([(patterns == vote).T @ by_class.T for vote in (-1, 0, 1)], 2)
+        table = PRIOR * strength * share[:, None] + np.stack([(patterns == vote).T @ by_class.T for vote in (-1, 0, 1)], 2)
         table /= table.sum(2, keepdims=True)
         share = (by_class.sum(1) + 1) / (counts.sum() + 2)
     return good, table
 
 
-def train_scorer(features: list[np.ndarray], target: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the buckets (and the bias, last) of a logistic scorer of relative bucket frequencies."""
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    flat = rows * BUCKETS + np.concatenate(features) if len(rows) else rows
-    cell, count = np.unique(flat, return_counts=True)
-    row, column = cell // BUCKETS, cell % BUCKETS
-    value = np.sqrt(count / np.maximum(np.bincount(rows, minlength=len(features)), 1)[row])
+def train_scorer(texts: list[bytes], target: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights of the buckets (and the bias, last) of a logistic scorer of hashed()."""
+    row, column, value = hashed(texts)
     w, m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[column], len(features)) + w[-1], -30, 30)))
-        d = (p - target) / len(features)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[column], len(texts)) + w[-1], -30, 30)))
+        d = (p - target) / len(texts)
         g = np.append(np.bincount(column, value * d[row], BUCKETS), d.sum()) + decay * w
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
@@ -115,60 +135,71 @@ def train_scorer(features: list[np.ndarray], target: np.ndarray, steps: int = 30
     return w
 
 
-def _score(w: np.ndarray, f: np.ndarray) -> float:
-    if not len(f):
-        return 0.0
-    bucket, count = np.unique(f, return_counts=True)
-    return float(1 / (1 + np.exp(-np.clip((np.sqrt(count / len(f)) * w[bucket]).sum() + w[-1], -30, 30))))
+def scored(w: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Scores of texts; 0 for a text without words."""
+    row, column, value = hashed(texts)
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[column], len(texts)) + w[-1], -30, 30)))
+    return np.where(np.bincount(row, minlength=len(texts)) > 0, p, 0.0)
 
 
 def _code(votes: np.ndarray) -> np.ndarray:
     return (votes.astype(np.int64) + 1) @ 3 ** np.arange(votes.shape[1])
 
 
-def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's pattern of votes, and a hash of id and text."""
     for batch in batches:
-        votes, _ = described([(t or "").encode() for t in rows_of(batch, "text")])
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(_code(votes))], ["doc_id", "pattern"])
+        votes = voted([(t or "").encode() for t in rows_of(batch, "text")])
+        yield pa.RecordBatch.from_arrays([pa.array(_code(votes)), batch.column(batch.schema.get_field_index("turn"))], ["pattern", "turn"])
+
+
+def _examples(most_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = rows_of(batch, "text")
+            yield pa.RecordBatch.from_arrays([pa.array(_code(voted([t.encode() for t in texts]))), pa.array([shortened(t, most_words) for t in texts], pa.string())], ["pattern", "text"])
+
+    return run
 
 
 def _scored(shared, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, posterior = shared.value
         for batch in batches:
-            ids, texts = rows_of(batch, "doc_id"), [(t or "").encode() for t in rows_of(batch, "text")]
+            texts = [(t or "").encode() for t in rows_of(batch, "text")]
             for a, b in byte_blocks(texts, 1 << 22):
-                votes, features = described(texts[a:b])
-                score = np.array([_score(w, f) for f in features])
-                weak = np.array([posterior.get(int(c), 0.5) for c in _code(votes)])
-                more = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in carry]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(weak), pa.array(score), pa.array(score >= 0.5), *more], ["doc_id", "weak_label", "score", "keep", *carry])
+                score = scored(w, texts[a:b])
+                weak = np.array([posterior.get(int(c), 0.5) for c in _code(voted(texts[a:b]))])
+                of = lambda name: batch.column(batch.schema.get_field_index(name)).slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([of("doc_id"), pa.array(weak), pa.array(score), pa.array(score >= 0.5), *map(of, carry)], ["doc_id", "weak_label", "score", "keep", *carry])
 
     return run
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, sample_chars: int = 20_000, carry: Sequence[str] = ()) -> DataFrame:
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, sample_words: int = 3200, carry: Sequence[str] = ()) -> DataFrame:
     """Scores each whole text: doc_id, weak_label (posterior of good), score (0 to 1), keep (score >= 0.5), then the columns named in carry.
 
-    The label model uses the votes on all documents. The scorer learns from about `sample` documents at most (those whose
-    hashed id is lowest) with texts of up to sample_chars characters. A text without words scores 0 and is not kept. Null
-    ids and repeated rows stay; other columns are ignored; an empty table gives an empty result.
+    The label model uses the votes on all documents. The scorer learns from `sample` different texts at most, those whose
+    hash is lowest; of a text with more than sample_words words it sees that many, in random stretches, while the label
+    is that of the whole text. A text without words scores 0 and is not kept. Equal texts score alike. Null ids and repeated
+    rows stay; other columns are ignored; an empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
     more, fields = carried(docs, carry, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
-    voted = staged(base.mapInArrow(_voted, "doc_id long, pattern long"), "votes")
-    found = voted.groupBy("pattern").count().orderBy("pattern").toPandas()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *more)
+    base = docs.select(text.alias("text")).withColumn("turn", F.xxhash64("text"))
+    patterns_ = staged(base.mapInArrow(_patterns, "pattern long, turn long"), "votes")
+    found = patterns_.groupBy("pattern").count().orderBy("pattern").toPandas()
     if found.empty:
         return rows.select("doc_id", F.lit(0.5).alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("keep"), *carry)
     codes, counts = found["pattern"].to_numpy(), found["count"].to_numpy(float)
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
     good, _ = label_model(patterns, counts)
     posterior = dict(zip(codes.tolist(), good.tolist()))
-    share = int(min(1.0, sample / counts.sum()) * (1 << 30))
-    picked = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share).filter(F.length("text").between(1, sample_chars)).toPandas().sort_values(["doc_id", "text"])
-    votes, features = described([t.encode() for t in picked["text"]])
-    target = np.array([posterior.get(int(c), 0.5) for c in _code(votes)])
-    w = train_scorer(features, target) if len(features) else np.zeros(BUCKETS + 1)
+    # The sample-th lowest hash; equal texts count once.
+    lowest = patterns_.select("turn").distinct().orderBy("turn").limit(sample).agg(F.max("turn")).first()[0]
+    picked = base.filter((F.col("turn") <= lowest) & (F.length("text") > 0)).dropDuplicates(["turn"]).select("text").mapInArrow(_examples(sample_words), "pattern long, text string").toPandas().sort_values(["text", "pattern"])
+    target = np.array([posterior.get(int(c), 0.5) for c in picked["pattern"]])
+    w = train_scorer([t.encode() for t in picked["text"]], target) if len(picked) else np.zeros(BUCKETS + 1)
     shared = docs.sparkSession.sparkContext.broadcast((w, posterior))
     return rows.mapInArrow(_scored(shared, list(carry)), ", ".join(["doc_id long, weak_label double, score double, keep boolean", *fields]))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, carried, crc_mod, mix64, rows_of, staged, word_hashes
+from .common import byte_blocks, carried, crc_mod, mix64, rows_of, shortened, staged, word_hashes
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -337,19 +337,11 @@ def _scored(shared, carry: list[str]):
     return run
 
 
-def _shortened(most_words: int, seed: int = 17):
-    """A text of more words is represented by random stretches of WINDOW words, so many words in all, in their order."""
-
+def _shortened(most_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in rows_of(batch, "text"):
-                words = text.split()
-                if len(words) > most_words:
-                    at = np.sort(np.random.default_rng(seed).choice(len(words) // WINDOW, most_words // WINDOW, replace=False)) * WINDOW
-                    text = " ".join(w for a in at.tolist() for w in words[a : a + WINDOW])
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), pa.array(out, pa.string())], ["label", "text"])
+            short = pa.array([shortened(t, most_words, WINDOW) for t in rows_of(batch, "text")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), short], ["label", "text"])
 
     return run
 

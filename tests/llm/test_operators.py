@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -170,8 +171,6 @@ def by_force(rows, percent=75):
     sets = {}
     for i, t in rows:
         w = "".join(c.lower() if c.isascii() else c for c in t or "").split(" ") if t else []
-        import re
-
         w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if x]
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     label = {i: i for i in sets}
@@ -240,15 +239,85 @@ def test_quality_against_labels(spark):
     assert good >= 0.995 and bad >= 0.9
 
 
-def test_label_model_finds_accuracies():
+def noisy_votes():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.7
-    votes = np.stack([np.where(rng.random(20_000) < a, np.where(truth, 1, -1), np.where(truth, -1, 1)) * (rng.random(20_000) < 0.8) for a in (0.95, 0.8, 0.7)], 1)
+    return truth, np.stack([np.where(rng.random(20_000) < a, np.where(truth, 1, -1), np.where(truth, -1, 1)) * (rng.random(20_000) < 0.8) for a in (0.95, 0.8, 0.7)], 1)
+
+
+def test_label_model_finds_accuracies():
+    """At production parameters."""
+    truth, votes = noisy_votes()
     patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    good, table = quality.label_model(patterns, counts.astype(float), strength=0.01)
-    assert ((good[inverse.ravel()] >= 0.5) == truth).mean() > 0.85
-    right = [table[k, 1, 2] / (table[k, 1, 2] + table[k, 1, 0]) for k in range(3)]
-    assert right[0] > right[1] > right[2] > 0.6
+    good, table = quality.label_model(patterns, counts.astype(float))
+    assert ((good[inverse.ravel()] >= 0.5) == truth).mean() > 0.9
+    for k, accuracy in enumerate((0.95, 0.8, 0.7)):
+        assert abs(table[k, 1, 2] / (table[k, 1, 2] + table[k, 1, 0]) - accuracy) < 0.05
+
+
+def em_by_document(votes, steps=200, strength=10.0):
+    """The label model without pattern counts: plain loops over documents."""
+    share, table = [0.2, 0.8], [quality.PRIOR.copy() for _ in range(votes.shape[1])]
+    for _ in range(steps):
+        like = np.array([[share[c] * np.prod([table[k][c][v + 1] for k, v in enumerate(row)]) for c in (0, 1)] for row in votes])
+        good = like[:, 1] / like.sum(1)
+        new = [quality.PRIOR * strength * np.array(share)[:, None] for _ in table]
+        for row, g in zip(votes, good):
+            for k, v in enumerate(row):
+                new[k][0][v + 1] += 1 - g
+                new[k][1][v + 1] += g
+        table = [t / t.sum(1, keepdims=True) for t in new]
+        share = [(len(votes) - good.sum() + 1) / (len(votes) + 2), (good.sum() + 1) / (len(votes) + 2)]
+    return good
+
+
+def votes_by_hand(text):
+    words = re.split("[\x20\x09-\x0d]+", text)
+    words = [w for w in words if w]
+    if not words:
+        return [0] * 8
+    n, raw = len(words), [w.encode() for w in words]
+    symbols = set("!$%&*#@^~|<>=+_{}[]\\/")
+    count = lambda w: sum(c in symbols for c in w)
+    upper, letters, size = sum("A" <= c <= "Z" for w in words for c in w), sum(c.isascii() and c.isalpha() for w in words for c in w), sum(map(len, raw))
+    mean, ends = size / n, sum(w[-1] == "." for w in words) / n
+    return [
+        -(sum(count(w) > 0 for w in words) / n > 0.2),
+        -(upper / max(1, letters) > 0.5 and letters > 20),
+        -(sum(a == b for a, b in zip(words, words[1:])) / n > 0.2),
+        -(n >= 20 and len(set(words)) / n < 0.2),
+        -1 if mean > 15 or mean < 2 else int(3 < mean < 10),
+        -1 if n >= 20 and ends < 0.005 else int(0.02 < ends < 0.6),
+        -(sum(map(count, words)) / size > 0.04),
+        -(sum(w[-1] in symbols for w in words) / n > 0.15),
+    ]
+
+
+def test_quality_query_by_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in Q.op4_quality(spark, SMALL).collect()}
+    votes = np.array([votes_by_hand(t or "") for _, t in rows])
+    texts = [(t or "").encode() for _, t in rows]
+    assert (quality.voted(texts) == votes).all()
+    weak = em_by_document(votes)
+    assert all(abs(got[i].weak_label - g) < 1e-6 for (i, _), g in zip(rows, weak))
+    # The scorer, from the same examples, bucket by bucket.
+    once = sorted({t: g for (_, t), g in zip(rows, weak) if t}.items())
+    w = quality.train_scorer([t.encode() for t, _ in once], np.array([g for _, g in once]))
+    for (i, _), text in zip(rows, texts):
+        _, bucket, value = quality.hashed([text])
+        score = 1 / (1 + np.exp(-(sum(v * w[b] for b, v in zip(bucket, value)) + w[-1]))) if len(bucket) else 0
+        assert abs(got[i].score - score) < 1e-6 and got[i].keep == (got[i].score >= 0.5)
+
+
+def test_quality_features_by_hand():
+    text = "The the the dog. #1 ÉCOLE $$ A"
+    words = text.split()
+    _, bucket, value = quality.hashed([b"other words", text.encode()])
+    of, bucket, value = quality.hashed([text.encode()])
+    assert set(of) == {0} and abs((value[bucket >= quality.SHAPES] ** 2).sum() - 1) < 1e-9
+    assert len(bucket[bucket >= quality.SHAPES]) == len(set(words))
+    assert sorted(np.round(value[bucket >= quality.SHAPES] ** 2 * len(words)).astype(int)) == sorted(words.count(w) for w in set(words))
 
 
 # TIFF
