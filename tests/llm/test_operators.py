@@ -1,6 +1,7 @@
 """Edge cases and brute force for the training-data operators."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -447,9 +448,52 @@ def test_language_accuracy(spark):
 
 
 def test_backoff_uses_longest_known_gram():
-    units = {0: {"cat": 0}, 5: {"^catt": 1}, 2: {"do": 2}, 1: {"o": 3}}
-    s = langid.Scorer(units, np.array([[1.0, 0], [2, 0], [3, 0], [4, 0]]))
-    assert s.backed_off("cattle")[0] == 2 and s.backed_off("dodo")[0] == 3 and s.backed_off("xox")[0] == 4 and s.backed_off("zzz")[0] == 0
+    gram = lambda *gs: (np.sort(np.array([langid.grams_of([g.strip("^$")], len(g))[0][0 if g[0] == "^" else 1] for g in gs])), None)
+    grams = {n: (hashes, np.array([[v, 0.0]])) for n, (hashes, _), v in ((5, gram("^catt"), 2.0), (2, gram("do"), 3.0), (1, gram("o"), 4.0))}
+    m = langid.Model(["a", "b"], {"cat": 0}, np.array([[1.0, 0]]), grams)
+    assert m.backed_off(["cattle", "dodo", "xox", "zzz"])[:, 0].tolist() == [2, 3, 4, 0]
+    assert m.totals(["cat Cattle", ""])[0][:, 0].tolist() == [3, 0]
+
+
+def language_by_hand(rows, least=2):
+    """Counters of whole words and n-grams as strings, word by word."""
+    from collections import Counter
+
+    words_in = lambda t: ["".join(g) for letter, g in itertools.groupby((t or "").lower(), str.isalpha) if letter]
+    pieces = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    learn = {(t, lang) for i, t, lang, _ in rows if t is not None and lang is not None and not (i is not None and zlib.crc32(str(i).encode()) % 3 == 1)}
+    languages = sorted({lang for _, lang in learn})
+    tables = {}
+    for n in range(6):
+        count = {lang: Counter(u for t, own in learn if own == lang for w in words_in(t) for u in ([w] if n == 0 else pieces(w, n))) for lang in languages}
+        known = [u for u, c in sum(count.values(), Counter()).items() if c >= least]
+        size = {lang: sum(count[lang][u] for u in known) + 0.5 * len(known) for lang in languages}
+        tables[n] = {u: np.array([np.log((count[lang][u] + 0.5) / size[lang]) for lang in languages]) for u in known}
+
+    def word_score(w):
+        if w in tables[0]:
+            return tables[0][w]
+        for n in (5, 4, 3, 2, 1):
+            if found := [tables[n][g] for g in pieces(w, n) if g in tables[n]]:
+                return np.mean(found, 0)
+        return np.zeros(len(languages))
+
+    out = []
+    for i, t, _, _ in rows:
+        words = words_in(t)
+        total = sum(map(word_score, words), np.zeros(len(languages)))
+        p = np.exp(total - total.max())
+        out.append((i, languages[int(p.argmax())] if words else "und", p.max() / p.sum() if words else 0.0))
+    return out
+
+
+def test_language_query_by_brute_force(spark):
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, None) for r in table.collect()]
+    rows += [(10**6, "Straße zzqx 漢字 x²y_z", "de", None), (None, "the cat", "en", None), (10**6 + 1, "½ ² _", "fr", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for i, lang, score in language_by_hand(rows):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-6, i
 
 
 # chat
