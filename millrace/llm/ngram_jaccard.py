@@ -234,6 +234,8 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     2^20 of them at most, whatever the corpus. A shingle's frequency counts blocks of 2^22 shingles in which it is in
     more than three sets; a shingle that this leaves out counts as rare, which costs time but loses nothing.
     """
+    if star_rounds < 1:
+        raise ValueError("star_rounds must be 1 or more")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = staged(docs.mapInArrow(_profile(words), "kind long, a long, b long, n long"), "profile")
@@ -283,10 +285,12 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             break
         met = open_.filter("root <> pivot.root").select("class", F.col("pivot.class").alias("pivot"), "meta", F.expr(_may_link_sql(percent).replace("x.meta", "meta").replace("y.meta", "pivot.meta")).alias("may"))
     # The rest: sets in different components that share a key. All shingles of the 1-prefixes are keys, so their common
-    # ones are counted, and a pair that reaches the threshold has a least number of them.
+    # ones are counted, and a pair that reaches the threshold has a least number of them. Sets of too different sizes never
+    # meet; the partitions of a key that very many sets share are split by adaptive execution.
     size, other = "(any_value(x.meta) >> 32)", "(any_value(y.meta) >> 32)"
     need = f"ceil({percent} * ({size} + {other}) / {100 + percent}.0D) - greatest(ceil({percent} * {size} / 100.0D), ceil({percent} * {other} / 100.0D)) + 1"
-    pairs = open_.alias("x").join(open_.alias("y"), F.expr("x.key = y.key and x.class < y.class and x.root <> y.root"))
+    alike = f"{percent} * (x.meta >> 32) <= 100 * (y.meta >> 32) and {percent} * (y.meta >> 32) <= 100 * (x.meta >> 32)"
+    pairs = open_.alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key and x.class < y.class and x.root <> y.root and {alike}"))
     rest = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.expr("count_if((x.meta & 2L) = 0)").alias("common"), F.expr(f"bool_or({_may_link_sql(percent)})").alias("met"), F.expr(need).alias("need"))
     rest = rest.filter("met and common >= need").select("a", "b")
     links = links.unionByName(verified(rest, "rest"))

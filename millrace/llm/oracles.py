@@ -29,21 +29,20 @@ component AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
 FROM sets s LEFT JOIN (SELECT k.s, c.component_id FROM classes k JOIN component c ON c.rep = k.rep) c ON c.s = list_sort(s.s)
 """,
+    # One simulation from the first slot to the last; the chunks of the query begin to matter after 1024 slots.
     "op6_mixing": r"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '(none)') AS source, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '(none)') AS source, md5(doc_id::VARCHAR) AS k FROM documents),
 n AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM d GROUP BY source),
-q AS (SELECT source, greatest(1, round(w / (SELECT sum(w) FROM n) * 1000))::BIGINT AS quota, row_number() OVER (ORDER BY source) AS i FROM n),
-p AS (SELECT list(quota ORDER BY i) AS qs, sum(quota)::BIGINT AS period FROM q),
+q AS (SELECT source, n, greatest(1, round(w / (SELECT sum(w) FROM n) * 1000000000))::BIGINT AS m, row_number() OVER (ORDER BY source) AS i FROM n),
+p AS (SELECT list(m ORDER BY i) AS ms, sum(m)::BIGINT AS total, max(ceil((n + 15) // 16 * (SELECT sum(m) FROM q) / m)) AS slots FROM q),
 run AS (
-  SELECT 0::BIGINT AS slot, list_transform(qs, lambda x: 0::BIGINT) AS done, qs, period,
-    list_min(list_transform(qs, lambda x: ((period + x - 1) // x) * 100000)) AS due, NULL::BIGINT AS pick, NULL::BIGINT AS nth FROM p
+  SELECT 0::BIGINT AS slot, list_transform(ms, lambda x: 0::BIGINT) AS done, ms, total, slots, NULL::BIGINT AS pick, NULL::BIGINT AS nth FROM p
   UNION ALL
-  SELECT slot + 1, list_transform(done, lambda x, j: CASE WHEN j = best THEN x + 1 ELSE x END), qs, period, due, best, done[best] FROM (
-    SELECT r.*, list_min(list_transform(qs, lambda x, j: CASE WHEN done[j] < x AND (done[j] * period) // x <= slot THEN (((done[j] + 1) * period + x - 1) // x) * 100000 + j END)) % 100000 AS best FROM run r WHERE slot < period)),
-t AS (SELECT q.source, q.quota, r.nth, r.slot - 1 AS slot, r.period FROM run r JOIN q ON q.i = r.pick),
+  SELECT slot + 1, list_transform(done, lambda x, j: CASE WHEN j = best THEN x + 1 ELSE x END), ms, total, slots, best, done[best] FROM (
+    SELECT r.*, list_min(list_transform(ms, lambda x, j: CASE WHEN (done[j] * total) // x <= slot THEN (((done[j] + 1) * total + x - 1) // x) * 1000 + j END)) % 1000 AS best FROM run r WHERE slot < slots)),
 ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) - 1 AS r FROM d)
-SELECT doc_id, source, r // 16 AS block, ((r // 16) // quota) * period + slot AS slot, r % 16 AS place
-FROM ranked JOIN q USING (source) JOIN t USING (source, quota) WHERE t.nth = (r // 16) % quota
+SELECT doc_id, source, r // 16 AS block, run.slot - 1 AS slot, r % 16 AS place
+FROM ranked JOIN q USING (source) JOIN run ON run.pick = q.i AND run.nth = r // 16
 """,
     "op7_ego_join": r"""
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),

@@ -35,7 +35,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_groups(table(spark, sf_dir, "documents"), words=5, percent=75)
+    return ngram_jaccard_groups(table(spark, sf_dir, "documents"), words=5, percent=75).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), temperature=0.5, block_docs=16, period=1000)
+    return mix_sources(table(spark, sf_dir, "documents"), temperature=0.5, block_docs=16)
 
 
 def op7_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def test_weights_change_the_result(spark, monkeypatch):
 
 @pytest.mark.parametrize("stretch", [7, 64])
 def test_stretches_follow_the_mix_by_brute_force(spark, stretch):
-    mix = {"weights": {"a": 3.0, "b": 1.0}, "block_docs": 2, "period": 40}
+    mix = {"weights": {"a": 3.0, "b": 1.0}, "block_docs": 2}
     words = "the quick brown fox jumps over a lazy dog ".split()
     data = [(i, " ".join(words[(i + j) % 9] for j in range(i * 7 % 90)), "ab"[i % 2]) for i in range(60)]
     docs = spark.createDataFrame(data + [(60, None, None)], "doc_id long, text string, source string")
