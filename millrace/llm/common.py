@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,25 @@ def rows_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def text_blocks(batch: pa.RecordBatch, limit: int = 1 << 22, name: str = "text") -> Iterator[tuple[int, int, list[bytes]]]:
+    """Slices (from, to) of a batch and their texts in UTF-8, about `limit` bytes at a time; null texts are empty."""
+    column = pc.fill_null(batch.column(batch.schema.get_field_index(name)), "").cast(pa.binary())
+    total = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + limit, "right")) - 1)
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a = b
+
+
+def give_back_memory() -> None:
+    """Returns freed memory to the system at the end of a task: workers live on, and the next stage may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def byte_blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Slices (from, to) of texts that hold about `limit` bytes each; a longer text is a block of its own."""
     start = size = 0

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, crc_mod, mix64, rows_of, shortened
+from .common import byte_blocks, crc_mod, give_back_memory, mix64, rows_of, shortened
 
 ORDERS = (5, 4, 3, 2, 1)
 _K = np.random.default_rng(19).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,6 +175,7 @@ def _predicted(shared):
                 preds = [model.languages[k] if m else "und" for k, m in zip(best.tolist(), many.tolist())]
             of = lambda name: batch.column(batch.schema.get_field_index(name))
             yield pa.RecordBatch.from_arrays([of("doc_id"), of("held_out"), pa.array(preds, pa.string()), pa.array(probs, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        give_back_memory()
 
     return run
 

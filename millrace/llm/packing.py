@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, rows_of, staged
+from .common import byte_blocks, give_back_memory, rows_of, staged
 from .mixing import mix_sources
 
 #: A space between two characters that no tokenizer takes for white space: the pre-tokenizer always splits before it.
@@ -62,6 +62,11 @@ class _Chunks:
         self.used = 0
         self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def rest(self) -> None:
+        """Between tasks a worker remembers less than half of what it may."""
+        if len(self.number) > _CACHE_LIMIT // 2:
+            self._forget()
+
     def _keep(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.number), self.used
         while n + len(chunks) > len(self.start):
@@ -198,6 +203,8 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_i
                 ends.append(len(out[0]))
             items = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PIECE)], fields=list(_PIECE))
             yield pa.RecordBatch.from_arrays([ids, sources, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["doc_id", "source", "pieces"])
+        _ENCODERS[tokenizer].chunks.rest()
+        give_back_memory()
 
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), F.col(text_col).cast("string").alias("text"))

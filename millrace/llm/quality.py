@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, carried, mix64, rows_of, shortened, staged, word_hashes
+from .common import byte_blocks, carried, give_back_memory, mix64, rows_of, shortened, staged, text_blocks, word_hashes
 
 #: Buckets of word shapes and their pairs, and of words.
 SHAPES, WORDS = 1 << 14, 1 << 17
@@ -149,8 +149,9 @@ def _code(votes: np.ndarray) -> np.ndarray:
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text's pattern of votes, and a hash of id and text."""
     for batch in batches:
-        votes = voted([(t or "").encode() for t in rows_of(batch, "text")])
-        yield pa.RecordBatch.from_arrays([pa.array(_code(votes)), batch.column(batch.schema.get_field_index("turn"))], ["pattern", "turn"])
+        for a, b, texts in text_blocks(batch, 1 << 21):
+            yield pa.RecordBatch.from_arrays([pa.array(_code(voted(texts))), batch.column(batch.schema.get_field_index("turn")).slice(a, b - a)], ["pattern", "turn"])
+    give_back_memory()
 
 
 def _examples(most_words: int):
@@ -166,12 +167,12 @@ def _scored(shared, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, posterior = shared.value
         for batch in batches:
-            texts = [(t or "").encode() for t in rows_of(batch, "text")]
-            for a, b in byte_blocks(texts, 1 << 22):
-                score = scored(w, texts[a:b])
-                weak = np.array([posterior.get(int(c), 0.5) for c in _code(voted(texts[a:b]))])
+            for a, b, texts in text_blocks(batch, 1 << 21):
+                score = scored(w, texts)
+                weak = np.array([posterior.get(int(c), 0.5) for c in _code(voted(texts))])
                 of = lambda name: batch.column(batch.schema.get_field_index(name)).slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([of("doc_id"), pa.array(weak), pa.array(score), pa.array(score >= 0.5), *map(of, carry)], ["doc_id", "weak_label", "score", "keep", *carry])
+        give_back_memory()
 
     return run
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, carried, crc_mod, mix64, rows_of, shortened, staged, word_hashes
+from .common import carried, crc_mod, give_back_memory, mix64, rows_of, shortened, staged, text_blocks, word_hashes
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -327,12 +327,12 @@ def _scored(shared, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            texts = rows_of(batch, "text")
-            sizes = [b"\0" * len(t or "") for t in texts]
-            logits = np.concatenate([net.scores(texts[a:b]) for a, b in byte_blocks(sizes, 1 << 21)] or [np.empty(0)]) if net else np.full(len(texts), -np.inf)
-            p = np.where(np.isfinite(logits), _sigmoid(logits), 0.0)
-            of = lambda name: batch.column(batch.schema.get_field_index(name))
-            yield pa.RecordBatch.from_arrays([of("doc_id"), of("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *map(of, carry)], ["doc_id", "held_out", "score", "predicted", *carry])
+            for a, b, texts in text_blocks(batch, 1 << 21):
+                logits = net.scores([t.decode() for t in texts]) if net else np.full(len(texts), -np.inf)
+                p = np.where(np.isfinite(logits), _sigmoid(logits), 0.0)
+                of = lambda name: batch.column(batch.schema.get_field_index(name)).slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([of("doc_id"), of("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *map(of, carry)], ["doc_id", "held_out", "score", "predicted", *carry])
+        give_back_memory()
 
     return run
 
@@ -372,7 +372,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         short = sample.select("label", "text").mapInArrow(_shortened(max_words), "label int, text string").toPandas().sort_values(["label", "text"])
         if short["label"].nunique() == 2:
             net = train(short["text"].tolist(), short["label"].to_numpy())
-            del short
+        del short
+        give_back_memory()
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = "doc_id long, held_out boolean, score double, predicted int"
     more, fields = carried(docs, carry, text_col)
