@@ -3,10 +3,13 @@
 Unit vectors with cosine >= c lie within eps = sqrt(2 - 2 c). The vectors are turned to their principal axes (which
 changes no distance), cut into grid cells of width eps on the leading axes and sorted by cell. Blocks of consecutive
 vectors, and intervals of 16, 256, ... blocks, have bounding boxes. The join goes down from the pair of the whole
-sequence with itself: a pair of intervals whose boxes are more than eps apart is skipped, others are split; pairs of
-blocks that remain are compared exactly, sub-block by sub-block, in double precision.
+sequence with itself: a pair of intervals whose boxes are more than eps apart is skipped, others are split, first over blocks
+in Spark, then over the intervals within a pair of blocks in its task. Boxes span the leading axes and the length of what
+the other axes hold, whose difference is a distance too. In the last intervals the leading half of the axes and the
+lengths of the rest bound each pair's cosine from above; pairs that may reach the threshold are compared exactly, by their
+original components in double precision.
 
-Equal vectors take part once, with their number.
+Equal vectors take part once, with their number. Vectors of different lengths link with nothing of each other.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from .common import rows_of, staged
 from .components import connected_components
 
 _FAN = 16
-_SUB = 512
+#: Vectors of the last intervals.
+_LEAF = 512
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,19 +64,48 @@ def _celled(axes: np.ndarray, eps: float, cells: int, kind: str):
     return run
 
 
-def _blocked(axes: np.ndarray, kind: str):
+def _folded(turned: np.ndarray, lead: int) -> np.ndarray:
+    """The leading coordinates, then the length of what the others hold; products of such rows bound those of whole vectors."""
+    rest = turned[:, lead:]
+    return np.concatenate([turned[:, :lead], np.sqrt((rest * rest).sum(1, keepdims=True))], 1)
+
+
+def _blocked(axes: np.ndarray, cells: int, kind: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
-        m = _unit(pdf["raw"].tolist(), len(axes), kind) @ axes
+        m = _folded(_unit(pdf["raw"].tolist(), len(axes), kind) @ axes, cells)
         return pd.DataFrame({"block": [key[0]], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "counts": [pdf["n"].to_numpy(np.int64).tobytes()], "vectors": [b"".join(pdf["raw"])], "lo": [m.min(0)], "hi": [m.max(0)]})
 
     return run
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> float:
-    """A lower bound of the distance between vectors of a and of b: that of their bounding boxes."""
-    gap = np.maximum(0, np.maximum(a.min(0) - b.max(0), b.min(0) - a.max(0)))
-    return float(np.sqrt(gap @ gap))
+def _leaf_pairs(a: np.ndarray, b: np.ndarray, same: bool, eps: float, leaf: int) -> Iterator[tuple[int, int]]:
+    """Numbers of the pairs of last intervals that are not provably apart; a and b hold the coordinates of boxes.
+
+    Intervals are halved until they are last ones; a pair of intervals whose boxes are too far apart is left out whole.
+    """
+    boxes = [(np.minimum.reduceat(x, at := np.arange(0, len(x), leaf)), np.maximum.reduceat(x, at)) for x in (a, b)]
+
+    def down(i: int, i_end: int, j: int, j_end: int) -> Iterator[tuple[int, int]]:
+        if same and j_end <= i:
+            return
+        (lo_a, hi_a), (lo_b, hi_b) = boxes
+        gap = np.maximum(0, np.maximum(lo_a[i:i_end].min(0) - hi_b[j:j_end].max(0), lo_b[j:j_end].min(0) - hi_a[i:i_end].max(0)))
+        if gap @ gap > (eps * (1 + 1e-9)) ** 2:
+            return
+        if i_end - i == j_end - j == 1:
+            if not same or i <= j:
+                yield i, j
+        elif i_end - i >= j_end - j:
+            half = (i + i_end) // 2
+            yield from down(i, half, j, j_end)
+            yield from down(half, i_end, j, j_end)
+        else:
+            half = (j + j_end) // 2
+            yield from down(i, i_end, j, half)
+            yield from down(i, i_end, half, j_end)
+
+    return down(0, len(boxes[0][0]), 0, len(boxes[1][0]))
 
 
 def _stars(linked: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -93,33 +126,44 @@ def _stars(linked: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def _compared(axes: np.ndarray, kind: str, cosine: float, eps: float):
-    def matrix(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.frombuffer(row.ids, np.int64), np.frombuffer(row.counts, np.int64), _unit([row.vectors], len(axes), kind) @ axes
+def _linked(x: np.ndarray, y: np.ndarray, folded_x: np.ndarray, folded_y: np.ndarray, cosine: float) -> np.ndarray:
+    """Which unit vectors of x and y have a cosine of at least the threshold."""
+    near = folded_x @ folded_y.T >= cosine - 1e-9
+    r, c = np.nonzero(near)
+    for i in range(0, len(r), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        near[r[part], c[part]] = np.einsum("ij,ij->i", x[r[part]], y[c[part]]) >= cosine
+    return near
+
+
+def _compared(axes: np.ndarray, cells: int, kind: str, cosine: float, eps: float, leaf: int):
+    lead = -(-len(axes) // 2)
+
+    def matrix(row) -> tuple[np.ndarray, ...]:
+        unit = _unit([row.vectors], len(axes), kind)
+        turned = unit @ axes
+        return np.frombuffer(row.ids, np.int64), np.frombuffer(row.counts, np.int64), unit, _folded(turned, lead), _folded(turned, cells)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [matrix(r) for r in pdf.sort_values("side").itertuples()]
         same = len(sides) == 1
-        (ia, na, a), (ib, nb, b) = sides[0], sides[-1]
+        (ia, na, a, fa, box_a), (ib, nb, b, fb, box_b) = sides[0], sides[-1]
         counts_a, counts_b = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
         links: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(0, len(ia), _SUB):
-            for j in range(i if same else 0, len(ib), _SUB):
-                x, y = a[i : i + _SUB], b[j : j + _SUB]
-                if _apart(x, y) > eps * (1 + 1e-9):
-                    continue
-                near = x @ y.T >= cosine
-                if same and i == j:
-                    near &= ~np.eye(len(x), dtype=bool)
-                if not near.any():
-                    continue
-                counts_a[i : i + _SUB] += near @ nb[j : j + _SUB]
-                if not (same and i == j):
-                    counts_b[j : j + _SUB] += na[i : i + _SUB] @ near
-                row = np.flatnonzero(near.any(1))
-                for r, c in _stars(near[row]):
-                    nodes = np.concatenate([ia[i + row[r]], ib[j + c]])
-                    links.append((nodes, np.full(len(nodes), nodes.min())))
+        for i, j in _leaf_pairs(box_a, box_b, same, eps, leaf):
+            x, y = slice(i * leaf, (i + 1) * leaf), slice(j * leaf, (j + 1) * leaf)
+            near = _linked(a[x], b[y], fa[x], fb[y], cosine)
+            if same and i == j:
+                near &= ~np.eye(len(near), dtype=bool)
+            if not near.any():
+                continue
+            counts_a[x] += near @ nb[y]
+            if not (same and i == j):
+                counts_b[y] += na[x] @ near
+            row = np.flatnonzero(near.any(1))
+            for r, c in _stars(near[row]):
+                nodes = np.concatenate([ia[x][row[r]], ib[y][c]])
+                links.append((nodes, np.full(len(nodes), nodes.min())))
         out = []
         for ids, n in ((ia, counts_a), (ib, counts_b)):
             if n.any():
@@ -131,6 +175,17 @@ def _compared(axes: np.ndarray, kind: str, cosine: float, eps: float):
     return run
 
 
+def _compared_alone(kind: str, cosine: float):
+    """All pairs of a few vectors of one length."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(pdf["raw"].tolist(), key[0], kind)
+        row = pd.DataFrame({"side": [0], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "counts": [pdf["n"].to_numpy(np.int64).tobytes()], "vectors": [b"".join(pdf["raw"])]})
+        return _compared(np.eye(x.shape[1]), min(8, x.shape[1]), kind, cosine, float(np.sqrt(2 - 2 * cosine)), _LEAF)(row)
+
+    return run
+
+
 def _close_pairs(boxes: DataFrame, n_blocks: int, eps: float) -> DataFrame:
     """Pairs (a <= b) of blocks whose boxes are at most eps apart, found from the top of the interval tree down."""
     least = lambda x, y: F.zip_with(x, y, lambda p, q: F.least(p, q))
@@ -152,29 +207,13 @@ def _close_pairs(boxes: DataFrame, n_blocks: int, eps: float) -> DataFrame:
     return pairs
 
 
-def ego_join_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block_vectors: int = 2048, cells: int = 8, axes_sample: int = 20_000) -> DataFrame:
-    """Links of cosine >= `cosine` and their components: vec_id, n_links, component_id, kept.
-
-    One row per input row. n_links counts the other rows linked directly (equal vectors are linked), component_id is the
-    smallest id reachable, kept says whether it is the row's own. Null, empty and zero vectors, those with null or
-    non-finite components, those of another length than most, and rows without an id link with nothing (component_id is
-    then the own id; kept is null for a null id). Other columns are ignored. An empty table gives an empty result.
-
-    The principal axes are fitted on about `axes_sample` vectors; they decide how much is skipped, never what is found.
-    """
-    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"  # what is moved around keeps the input's precision
-    parsed = staged(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).mapInArrow(_parsed, "vec_id long, digest binary, raw binary, dim int"), "vectors")
-    lengths = parsed.filter("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if lengths is None:
-        return parsed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.expr("vec_id = vec_id").alias("kept"))
-    dim, usable = lengths["dim"], lengths["count"]
-    rows = parsed.select("vec_id", F.expr(f"if(dim = {dim}, digest, null)").alias("digest"), "raw")
-    classes = staged(rows.filter("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw")), "classes")
+def _joined(classes: DataFrame, dim: int, usable: int, kind: str, cosine: float, block_vectors: int, leaf: int, cells: int, axes_sample: int) -> DataFrame:
+    """Links (kind 1: a, b) and numbers of linked vectors (kind 0: a, b) among classes (rep, n, raw) of one length."""
     rate = min(1.0, axes_sample / usable)
     sample = classes.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("raw").toArrow()
     x = _unit(sample.column("raw").to_pylist(), dim) if sample.num_rows else np.eye(dim)
     axes = np.linalg.eigh(np.cov(x, rowvar=False, bias=True).reshape(dim, dim))[1][:, ::-1].copy()
-    eps = float(np.sqrt(2 - 2 * cosine))
+    eps, cells = float(np.sqrt(2 - 2 * cosine)), min(cells, dim)
 
     celled = classes.select("rep", "n", "raw").mapInArrow(_celled(axes, eps, cells, kind), "rep long, n long, cell array<int>, raw binary")
     # Ranks in the grid order: place in a range of the sorted sequence plus the sizes of the ranges before.
@@ -184,11 +223,34 @@ def ego_join_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = ordered.groupBy("part").agg(F.count("*").alias("size")).select("part", before.alias("before"))
     ranked = ordered.join(sizes, "part").withColumn("rank", F.col("before") + F.col("at")).withColumn("block", F.floor(F.col("rank") / block_vectors))
-    blocks = staged(ranked.select("block", "rank", "rep", "n", "raw").groupBy("block").applyInPandas(_blocked(axes, kind), "block long, ids binary, counts binary, vectors binary, lo array<double>, hi array<double>"), "blocks")
+    blocks = staged(ranked.select("block", "rank", "rep", "n", "raw").groupBy("block").applyInPandas(_blocked(axes, cells, kind), "block long, ids binary, counts binary, vectors binary, lo array<double>, hi array<double>"), "blocks")
     pairs = staged(_close_pairs(blocks.select("block", "lo", "hi"), blocks.count(), eps), "block-pairs")
     sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(pairs.filter("a <> b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("block")))
     tiles = sides.join(blocks.select("block", "ids", "counts", "vectors"), "block").select("a", "b", "side", "ids", "counts", "vectors")
-    found = staged(tiles.groupBy("a", "b").applyInPandas(_compared(axes, kind, cosine, eps), "kind int, a long, b long"), "found")
+    return staged(tiles.groupBy("a", "b").applyInPandas(_compared(axes, cells, kind, cosine, eps, leaf), "kind int, a long, b long"), "found")
+
+
+def ego_join_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block_vectors: int = 16_384, leaf: int = _LEAF, cells: int = 8, axes_sample: int = 20_000) -> DataFrame:
+    """Links of cosine >= `cosine` and their components: vec_id, n_links, component_id, kept.
+
+    One row per input row. n_links counts the other rows linked directly (equal vectors are linked), component_id is the
+    smallest id reachable, kept says whether it is the row's own. Vectors link with those of their own length only. Null,
+    empty and zero vectors, those with null or non-finite components, and rows without an id link with nothing (component_id
+    is then the own id; kept is null for a null id). Other columns are ignored. An empty table gives an empty result.
+
+    The principal axes are fitted on about `axes_sample` vectors; they decide how much is skipped, never what is found.
+    Lengths of at most block_vectors different vectors each are compared together, one task a length.
+    """
+    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"  # what is moved around keeps the input's precision
+    rows = staged(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).mapInArrow(_parsed, "vec_id long, digest binary, raw binary, dim int"), "vectors")
+    classes = staged(rows.filter("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw"), F.first("dim").alias("dim")), "classes")
+    lengths = staged(classes.groupBy("dim").count(), "lengths")
+    frequent = {r["dim"]: r["count"] for r in lengths.filter(F.col("count") > block_vectors).collect()}
+    few = classes.join(lengths.filter(F.col("count") <= block_vectors).select("dim"), "dim")
+    found = few.select("dim", "rep", "n", "raw").groupBy("dim").applyInPandas(_compared_alone("<f8", cosine), "kind int, a long, b long")
+    for dim, usable in frequent.items():
+        found = found.unionByName(_joined(classes.filter(F.col("dim") == dim), dim, usable, kind, cosine, block_vectors, leaf, cells, axes_sample))
+    found = staged(found, "links")
 
     roots = connected_components(found.filter("kind = 1").select("a", "b"))
     linked = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))

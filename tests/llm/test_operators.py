@@ -440,9 +440,9 @@ def test_ego_join_by_force(spark):
         x += [b + rng.standard_normal(16) * rng.uniform(0.05, 0.4) for _ in range(rng.integers(0, 6))]
     x = np.array([*x, *[x[0]] * 40], np.float32)
     rng.shuffle(x)
-    odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0] * 3), (None, [1.0] * 16), (5004, []), (5005, [None] * 16)]
+    odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0] * 3), (None, [1.0] * 16), (5004, []), (5005, [None] * 16), *[(6000 + k, [1.0, 0.1 * (k // 2), 0.0]) for k in range(12)]]
     df = spark.createDataFrame([(*r, "z", 1) for r in [*enumerate(x.tolist()), *odd]], "vec_id long, embedding array<float>, digest string, n int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ego_join.ego_join_groups(df, block_vectors=24).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ego_join.ego_join_groups(df, block_vectors=24, leaf=5).collect()}
     y = x.astype(float)
     y /= np.linalg.norm(y, axis=1)[:, None]
     near = y @ y.T >= 0.9
@@ -453,8 +453,22 @@ def test_ego_join_by_force(spark):
     for i in range(len(y)):
         assert got[i] == (near[i].sum(), label[i], label[i] == i)
     assert got[5000] == (0, 5000, True) and got[5003] == (0, 5003, True) and got[None] == (0, None, None)
+    short = np.array([[1.0, 0.1 * (k // 2), 0.0] for k in range(12)])
+    short /= np.linalg.norm(short, axis=1)[:, None]
+    assert [got[6000 + k] for k in range(12)] == [((short @ short[k] >= 0.9).sum() - 1, 6000, k == 0) for k in range(12)]
     assert ego_join.ego_join_groups(df.limit(0)).count() == 0
     assert ego_join.ego_join_groups(df.filter("vec_id = 5000")).count() == 1
+    alone = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ego_join.ego_join_groups(df).collect()}
+    assert alone == got
+
+
+def test_leaf_pairs_skip_only_what_is_apart():
+    rng = np.random.default_rng(3)
+    x = np.sort(rng.uniform(0, 10, (300, 1)), 0) + rng.uniform(0, 0.1, (300, 3)) * [[0, 1, 1]]
+    for same, y in ((True, x), (False, x + [[3, 0, 0]])):
+        pairs = set(ego_join._leaf_pairs(x, y, same, 0.5, 16))
+        close = {(i // 16, j // 16) for i, j in zip(*np.nonzero(np.linalg.norm(x[:, None] - y[None], axis=2) <= 0.5)) if not same or i <= j}
+        assert close <= pairs and len(pairs) < 120
 
 
 # languages
