@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -133,7 +134,7 @@ class _Clean(HTMLParser):
             href = next((v for k, v in attrs if tag == "a" and k == "href" and v), None)
             plain = "".join(ch for ch in href or "" if ch > " ").lower()
             safe = href is not None and (":" not in plain.split("/")[0] or plain.startswith(("http:", "https:", "mailto:")))
-            self.out.append(f'<{tag} href="{href}">' if safe else f"<{tag}>")
+            self.out.append(f'<{tag} href="{escape(href)}">' if safe else f"<{tag}>")
 
     def handle_endtag(self, tag):
         if tag in ("script", "style", "iframe", "object"):

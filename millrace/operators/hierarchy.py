@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 
-def ancestor_paths(nodes: DataFrame, max_depth: int = 12) -> DataFrame:
+
+def ancestor_paths(nodes: DataFrame) -> DataFrame:
     """Each node with its path of titles from the root, its ids on the way and its depth.
 
-    Goes down level by level with one join per level; a node is not visited twice on a path, so rings end. Nodes below
-    max_depth, and those that no root leads to, are left out.
+    Goes down level by level: a join of the last level with its children, written to the checkpoint folder, until a level
+    is empty; so there is no bound on depth or rows. A node is not visited twice on a path. Nodes that no root leads to,
+    those of a ring among them, are left out.
     """
-    spark = nodes.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, path, ids, depth) AS (
-          SELECT id, array(title), array(id), 0 FROM {{nodes}} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, concat(w.path, array(n.title)), concat(w.ids, array(n.id)), w.depth + 1
-          FROM walk w JOIN {{nodes}} n ON n.parent_id = w.id
-          WHERE w.depth < {int(max_depth)} AND NOT array_contains(w.ids, n.id))
-        SELECT id, path, ids, depth FROM walk""",
-        nodes=nodes.select("id", "parent_id", "title"),
-    )
+    nodes = nodes.select("id", "parent_id", "title")
+    level = nodes.filter("parent_id is null").select("id", F.array("title").alias("path"), F.array("id").alias("ids"), F.lit(0).alias("depth"))
+    found, level = level, written(level, "level")
+    while not level.isEmpty():
+        below = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_path"), F.col("ids").alias("_ids"), F.col("depth").alias("_depth"))
+        down = nodes.join(below, "parent_id").filter(~F.array_contains("_ids", F.col("id")))
+        level = written(down.select("id", F.concat("_path", F.array("title")).alias("path"), F.concat("_ids", F.array("id")).alias("ids"), (F.col("_depth") + 1).alias("depth")), "level")
+        found = found.unionByName(level)
+    return found
 
 
 def subtree(paths: DataFrame, root: str) -> DataFrame:

@@ -44,3 +44,13 @@ def change_events(df: DataFrame, key: str, ts: str, item: str, value: str) -> Da
 def newest_kept(df: DataFrame, order: str, keep: int) -> DataFrame:
     """The newest rows by order (a number that is unique)."""
     return df.orderBy(F.desc(order)).limit(keep)
+
+
+def silent_days(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """Days of the whole log's span of days with rows on which a key has none: key, day.
+
+    The days of the log are one sorted list (a day is 4 bytes), which each key takes its own days off.
+    """
+    seen = df.groupBy(key).agg(F.collect_set(F.to_date(ts)).alias("own"))
+    days = df.select(F.to_date(ts).alias("day")).distinct().agg(F.sort_array(F.collect_list("day")).alias("days"))
+    return seen.withColumn("_one", F.lit(1)).join(F.broadcast(days.withColumn("_one", F.lit(1))), "_one").select(key, F.explode(F.array_except("days", "own")).alias("day"))

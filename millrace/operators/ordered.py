@@ -107,7 +107,12 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def smoothed(df: DataFrame, keys: list[str], ts: str, item: str, value: str, keep: float = 0.7) -> DataFrame:
-    """Last value of s = keep * s + (1 - keep) * x over each group's rows in order (groups of bounded size)."""
-    series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ts, item, F.col(value).cast("double").alias("x")))).alias("rows"))
-    fold = F.aggregate(F.slice("rows", 2, 1 << 30), F.col("rows")[0]["x"], lambda s, r: s * keep + r["x"] * (1 - keep))
-    return series.select(*keys, F.round(fold, 6).alias("smoothed"))
+    """Last value of s = keep * s + (1 - keep) * x over each group's rows in order, from s = the first x; no item is null.
+
+    A row weighs (1 - keep) * keep^rows after it, the first one keep^rows after it: a weighted sum, so no history is held.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc(ts), F.desc(item))
+    after = F.row_number().over(order) - 1
+    first = F.lead(item).over(order).isNull()
+    own = df.select(*keys, F.when(first, 1.0).otherwise(1 - keep).alias("_share"), after.alias("_after"), F.col(value).cast("double").alias("_x"))
+    return own.groupBy(*keys).agg(F.round(F.sum(F.col("_share") * F.pow(F.lit(keep), F.col("_after")) * F.col("_x")), 6).alias("smoothed"))

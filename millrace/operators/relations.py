@@ -82,3 +82,15 @@ def jaccard(a: Column, b: Column) -> Column:
 def conflicting_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Keys that several rows have, with whether the rows differ."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), (F.countDistinct(F.struct(*columns)) > 1).alias("conflict")).filter("n > 1")
+
+
+def token_subset_pairs(texts: DataFrame, doc: str, phrases: DataFrame, item: str, words: str) -> DataFrame:
+    """Pairs (doc, item) of which all of the phrase's words are in the text; words holds each row's distinct words.
+
+    A phrase meets texts by its rarest word only, so that common words make no pairs; then the whole phrase is compared.
+    Phrases without a word meet nothing.
+    """
+    wanted = phrases.select(item, F.col(words).alias("_all"), F.explode(words).alias("_word"))
+    counts = texts.select(F.explode(words).alias("_word")).join(wanted.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = wanted.join(counts, "_word", "left").groupBy(item).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word")).alias("_r"), F.first("_all").alias("_all")).select(item, "_all", F.col("_r._word").alias("_word"))
+    return texts.select(doc, F.col(words).alias("_text"), F.explode(words).alias("_word")).join(rarest, "_word").filter(F.size(F.array_except("_all", "_text")) == 0).select(doc, item)

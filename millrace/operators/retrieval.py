@@ -57,29 +57,73 @@ def quantized(column: Column) -> Column:
     return F.transform(column, lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), (x.cast("double") / (2 / 255)).cast("int"))).cast("byte"))
 
 
-def nearest(vectors: DataFrame, item: str, vector: str, queries: DataFrame, k: int, blocks: int = 32) -> DataFrame:
+#: Bytes of query vectors that are broadcast at once; more queries take more passes over the vectors.
+_QUERY_BYTES = 64 << 20
+_ROWS = 1024
+
+
+def _best(rows: np.ndarray, sims: np.ndarray, items: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row: larger similarity first, then smaller item."""
+    order = np.lexsort((items, -sims, rows))
+    new = np.concatenate([[True], rows[order][1:] != rows[order][:-1]]) if len(order) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    return order[np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order)))) < k]
+
+
+def _unit_rows(vectors: list) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Vectors by length: places and unit rows of those that are not null or zero and hold finite numbers only."""
+    by_length: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and len(v):
+            by_length.setdefault(len(v), []).append(i)
+    out = {}
+    for n, at in by_length.items():
+        x = np.array([[np.nan if c is None else c for c in vectors[i]] for i in at] if any(None in vectors[i] for i in at) else [vectors[i] for i in at], float)
+        norm = np.linalg.norm(x, axis=1)
+        fit = np.isfinite(norm) & (norm > 0)
+        out[n] = (np.array(at)[fit], x[fit] / norm[fit, None])
+    return out
+
+
+def nearest(vectors: DataFrame, item: str, vector: str, queries: DataFrame, k: int, others_only: bool = False) -> DataFrame:
     """Exact k nearest by cosine for a stated set of queries (query_id, qvec): query_id, item, sim, rank.
 
-    Queries go in `blocks` groups to every partition's vectors as matrix products; each task keeps k per query, and the
-    ranks are settled over those.
+    Vectors stream by in Arrow batches; each task keeps k per query, and the ranks are settled over those, ties by item.
+    Queries are broadcast, at most 64 MB of them at once: a larger set is dealt by hash over several passes. Only vectors
+    of a query's length are compared; those that are null, zero or hold null or non-finite components are left out.
+    others_only leaves out the item whose id is the query's.
     """
-    packed = queries.select("query_id", "qvec", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.collect_list("qvec").alias("vecs"))
-    items = vectors.select(F.col(item).cast("long").alias("item"), F.col(vector).alias("v"), F.pmod(F.xxhash64(item), F.lit(max(1, 64))).alias("part")).filter("v is not null")
-    cells = items.groupBy("part").agg(F.collect_list("item").alias("items"), F.collect_list("v").alias("vs"))
-    tiles = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(packed, "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q, v = np.array(row["vecs"], float), np.array(row["vs"], float)
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                sim, ids = q @ v.T, np.array(row["items"])
-                for i, query in enumerate(row["ids"]):
-                    best = np.lexsort((ids, -sim[i]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(best), pa.int64()), pa.array(ids[best]), pa.array(sim[i][best])], ["query_id", "item", "sim"])
-
-    found = tiles.select("items", "vs", "ids", "vecs").mapInArrow(run, "query_id long, item long, sim double")
+    items = vectors.select(F.col(item).cast("long").alias("item"), F.col(vector).alias("v")).filter("v is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "qvec").filter("qvec is not null")
+    size = asked.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()[0] * 8
+    passes = max(1, -(-size // _QUERY_BYTES))
+    found = None
+    for p in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).toArrow()
+        ids = part.column("query_id").to_numpy()
+        known = {n: (ids[at], x) for n, (at, x) in _unit_rows(part.column("qvec").to_pylist()).items()}
+        shared = vectors.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                numbers = batch.column(0).to_numpy()
+                for n, (at, v) in _unit_rows(batch.column(1).to_pylist()).items():
+                    ids, q = shared.value.get(n, (np.empty(0), np.empty((0, n))))
+                    for a in range(0, len(ids) if len(at) else 0, _ROWS):
+                        sim = q[a : a + _ROWS] @ v.T
+                        if others_only:
+                            sim[ids[a : a + _ROWS, None] == numbers[at][None]] = -np.inf
+                        least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(sim), -np.inf)
+                        row, column = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+                        rows, sims, items = (np.concatenate(x) for x in zip(kept.get((n, a), (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))), (row, sim[row, column], numbers[at][column])))
+                        best = _best(rows, sims, items, k)
+                        kept[n, a] = rows[best], sims[best], items[best]
+            for (n, a), (rows, sims, items) in kept.items():
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][a + rows], pa.int64()), pa.array(items, pa.int64()), pa.array(sims)], ["query_id", "item", "sim"])
+
+        own = items.mapInArrow(run, "query_id long, item long, sim double")
+        found = own if found is None else found.unionByName(own)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "item"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("item").alias(item), F.round("sim", 5).alias("sim"), "rank")
 

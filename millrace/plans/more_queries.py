@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import hierarchy as H
+from ..operators import monitoring as M
 from ..operators import ordered as O
 from ..operators import relations as R
 from ..operators import retrieval as S
@@ -70,12 +71,13 @@ def jn24(t: Inputs):
     return t.part.join(d, "p_type", "left").select("p_partkey", "translated")
 
 
-@query("jn26_token_subset", "WITH q AS (SELECT DISTINCT conv_id, turn, unnest(string_split(lower(text), ' ')) AS w FROM conversations WHERE conv_id % 10 = 0), b AS (SELECT item_id, string_split(lower(text), ' ')[1:2] AS ws FROM benchmark), p AS (SELECT item_id, unnest(list_distinct(ws)) AS w, len(list_distinct(ws)) AS need FROM b) SELECT conv_id, turn, item_id FROM q JOIN p USING (w) GROUP BY conv_id, turn, item_id, need HAVING count(*) = need")
+@query("jn26_token_subset", """WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda w: w <> '')) AS ws FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda w: w <> '')) AS ws FROM benchmark)
+SELECT doc_id, item_id FROM d JOIN b ON len(b.ws) > 0 AND list_has_all(d.ws, b.ws)""")
 def jn26(t: Inputs):
-    q = t.conversations.filter("conv_id % 10 = 0").select("conv_id", "turn", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    ws = F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 2))
-    p = t.benchmark.select("item_id", F.size(ws).alias("need"), F.explode(ws).alias("w"))
-    return q.join(p, "w").groupBy("conv_id", "turn", "item_id", "need").agg(F.count("*").alias("n")).filter("n = need").select("conv_id", "turn", "item_id")
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: w != ""))
+    texts = t.documents.filter("text is not null").select("doc_id", words.alias("words"))
+    return R.token_subset_pairs(texts, "doc_id", t.benchmark.select("item_id", words.alias("words")), "item_id", "words")
 
 
 @query("jn28_paired", "SELECT a.l_orderkey, a.v AS x, b.v AS y FROM (SELECT l_orderkey, max(l_discount) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) a JOIN (SELECT l_orderkey, max(l_tax) AS v FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1) b USING (l_orderkey)")
@@ -89,7 +91,7 @@ s AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.e, b.e)
 SELECT src, dst, round(sim, 5) AS sim FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 4""")
 def jn11(t: Inputs):
     q = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    return S.nearest(t.embeddings, "vec_id", "embedding", q, 5).filter("query_id <> vec_id").select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "sim")
+    return S.nearest(t.embeddings, "vec_id", "embedding", q, 4, others_only=True).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "sim")
 
 
 @query("agg28_set_valued", "SELECT blob_id, list_sort(list(DISTINCT brand)) AS brands, count(DISTINCT car_stem) AS cars FROM occurrences GROUP BY 1")
@@ -214,11 +216,9 @@ def mon2(t: Inputs):
     return t.traffic.groupBy("endpoint").agg(F.when(most >= 5000, "critical").when(most >= 2000, "warning").otherwise("ok").alias("state"))
 
 
-@query("mon6_absent", "SELECT u.user_id, d.day FROM (SELECT DISTINCT user_id FROM activity WHERE user_id < 5) u, (SELECT DISTINCT created_at::DATE AS day FROM activity) d WHERE (u.user_id, d.day) NOT IN (SELECT user_id, created_at::DATE FROM activity)")
+@query("mon6_absent", "SELECT u.user_id, d.day FROM (SELECT DISTINCT user_id FROM activity) u, (SELECT DISTINCT created_at::DATE AS day FROM activity) d WHERE (u.user_id, d.day) NOT IN (SELECT user_id, created_at::DATE FROM activity)")
 def mon6(t: Inputs):
-    seen = t.activity.select("user_id", F.to_date("created_at").alias("day")).distinct()
-    days = seen.select("day").distinct().withColumn("k", F.lit(1))
-    return seen.filter("user_id < 5").select("user_id").distinct().withColumn("k", F.lit(1)).join(days, "k").select("user_id", "day").join(seen, ["user_id", "day"], "left_anti")
+    return M.silent_days(t.activity, "user_id", "created_at")
 
 
 @query("rec8_discovery", "SELECT count(*) AS entitled, count(*) FILTER (v) AS viewed, count(*) FILTER (p) AS bought, round(count(*) FILTER (p) / count(*)::DOUBLE, 6) AS rate FROM (SELECT user_id, bool_or(action = 'view') AS v, bool_or(action = 'purchase') AS p FROM activity GROUP BY 1)")

@@ -73,11 +73,13 @@ def anl7_test(t: Inputs):
     return arms.select(F.round(two_proportions(F.col("a_x"), F.col("a_n"), F.col("b_x"), F.col("b_n")), 4).alias("p"))
 
 
-@query("rec3_popular_unseen", "SELECT u.user_id, a.app_url, a.n FROM (SELECT DISTINCT user_id, company_id FROM activity WHERE user_id % 10 = 0) u JOIN (SELECT company_id, app_url, count(*) AS n FROM activity WHERE action = 'view' GROUP BY 1, 2) a USING (company_id) WHERE NOT EXISTS (SELECT 1 FROM activity s WHERE s.user_id = u.user_id AND s.app_url = a.app_url)")
+@query("rec3_popular_unseen", "WITH r AS (SELECT * FROM activity WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY), c AS (SELECT u.user_id, a.app_url, a.n FROM (SELECT DISTINCT user_id, company_id FROM activity) u JOIN (SELECT company_id, app_url, count(*) AS n FROM r WHERE action = 'view' GROUP BY 1, 2) a USING (company_id) WHERE NOT EXISTS (SELECT 1 FROM activity s WHERE s.user_id = u.user_id AND s.app_url = a.app_url)) SELECT user_id, app_url, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, app_url) AS rank FROM c) WHERE rank <= 5")
 def rec3(t: Inputs):
-    users = t.activity.filter("user_id % 10 = 0").select("user_id", "company_id").distinct()
-    popular = t.activity.filter("action = 'view'").groupBy("company_id", "app_url").agg(F.count("*").alias("n"))
-    return users.join(popular, "company_id").join(t.activity.select("user_id", "app_url"), ["user_id", "app_url"], "left_anti").select("user_id", "app_url", "n")
+    users = t.activity.select("user_id", "company_id").distinct()
+    recent = t.activity.filter(F.col("created_at") >= F.expr("timestamp_ntz'2024-01-31 00:00:00' - interval 30 days"))
+    popular = recent.filter("action = 'view'").groupBy("company_id", "app_url").agg(F.count("*").alias("n"))
+    unseen = users.join(popular, "company_id").join(t.activity.select("user_id", "app_url"), ["user_id", "app_url"], "left_anti")
+    return top_k(unseen, ["user_id"], [F.desc("n"), F.col("app_url")], 5).select("user_id", "app_url", "n", "rank")
 
 
 @query("mon1_error_rate", "SELECT endpoint, bucket, sum(requests)::BIGINT AS n FROM traffic GROUP BY 1, 2 HAVING sum(requests) >= 3 AND sum(errors_5xx) / sum(requests)::DOUBLE >= 0.05")
@@ -109,9 +111,9 @@ def mon8(t: Inputs):
     return M.delivered(t.activity.filter("action = 'error'"), "user_id", "created_at", "id", 21600).select("id")
 
 
-@query("mon10_newest_kept", "SELECT id FROM activity ORDER BY id DESC LIMIT 200")
+@query("mon10_newest_kept", "SELECT id FROM activity ORDER BY id DESC LIMIT 20000")
 def mon10(t: Inputs):
-    return M.newest_kept(t.activity, "id", 200).select("id")
+    return M.newest_kept(t.activity, "id", 20_000).select("id")
 
 
 @query("str11_change_events", "SELECT id, action, before FROM (SELECT id, action, lag(action) OVER (PARTITION BY user_id ORDER BY created_at, id) AS before FROM activity) WHERE before <> action")

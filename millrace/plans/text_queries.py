@@ -37,9 +37,9 @@ def txt25(t: Inputs):
     return t.pages.select("page_id", F.size(a).cast("long").alias("n"), F.size(F.filter(a, lambda x: ~x.startswith("/t"))).cast("long").alias("stripped"))
 
 
-@query("txt3_date_windows", "SELECT doc_id, trim(regexp_replace(regexp_replace('[2019-2021] ' || left(text, 80), '\\[[^\\]]*\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
+@query("txt3_date_windows", "SELECT doc_id, trim(regexp_replace(regexp_replace('[2019-2021] ' || text, '\\[[^\\]]*\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
 def txt3(t: Inputs):
-    return t.documents.select("doc_id", X.without_date_windows(F.concat(F.lit("[2019-2021] "), F.substring("text", 1, 80))).alias("title"))
+    return t.documents.select("doc_id", X.without_date_windows(F.concat(F.lit("[2019-2021] "), F.col("text"))).alias("title"))
 
 
 @query("txt9_code_form", "SELECT p_partkey, 'P' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') || '-' || lpad((p_size % 100)::VARCHAR, 2, '0') AS code FROM part")

@@ -26,6 +26,13 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/millrace-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, read back: cuts lineage, survives lost executors."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with a header; a byte-order mark does not matter, as columns come from the schema; broken rows get nulls."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path)

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.operators import evaluation as E
 from millrace.operators import filters as L
+from millrace.operators import hierarchy as H
+from millrace.operators import retrieval as S
 from millrace.sources import files
 from millrace.streaming import stateful as T
 
@@ -64,3 +66,43 @@ def test_zip_bundles(spark, tmp_path):
 def test_byte_order_mark(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿id,name\n1,x\n2,\n".encode())
     assert sorted((r.id, r.name) for r in files.read_csv(spark, str(tmp_path), "id int, name string").collect()) == [(1, "x"), (2, None)]
+
+
+def test_sanitised_attributes_stay_inside_their_quotes(spark):
+    html = '<a href="x&quot; onmouseover=&quot;alert(1)">t</a><a href="java&#10;script:alert(1)">u</a><a href="/p?a=1&amp;b=2">v</a>'
+    (row,) = spark.createDataFrame([(html,)], "h string").select(X.sanitized_html("h").alias("c")).collect()
+    assert row.c == '<a href="x&quot; onmouseover=&quot;alert(1)">t</a><a>u</a><a href="/p?a=1&amp;b=2">v</a>'
+
+
+def nearest_by_force(vectors, queries, k, others_only):
+    import numpy as np
+
+    fit = lambda v: v is not None and len(v) and None not in v and np.isfinite(v).all() and any(v)
+    out = []
+    for q, qv in queries:
+        sims = [(-round(float(np.dot(v, qv) / np.linalg.norm(v) / np.linalg.norm(qv)), 9), i) for i, v in vectors if fit(v) and fit(qv) and len(v) == len(qv) and not (others_only and i == q)]
+        out += [(q, i, round(-s, 5), r) for r, (s, i) in enumerate(sorted(sims)[:k], 1)]
+    return sorted(out)
+
+
+def test_nearest_by_force_with_ties_and_broken_vectors(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(60)] + [(100 + i, [1.0, 1.0, 0.0]) for i in range(9)]
+    rows += [(200, None), (201, [0.0, 0.0, 0.0]), (202, [1.0, None, 0.0]), (203, [float("nan"), 1.0, 0.0]), (204, [1.0, 2.0]), (205, [1.0, 2.5]), (206, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3)
+    asked = [r for r in rows if r[0] % 5 == 0 or r[0] > 100]
+    queries = spark.createDataFrame(asked, "query_id long, qvec array<double>")
+    for limit in (S._QUERY_BYTES, 200):  # the second takes several passes
+        monkeypatch.setattr(S, "_QUERY_BYTES", limit)
+        for others_only in (True, False):
+            got = sorted(map(tuple, S.nearest(vectors, "vec_id", "v", queries, 4, others_only).collect()))
+            assert got == nearest_by_force(rows, asked, 4, others_only)
+
+
+def test_paths_of_deep_trees_and_rings(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, f"t{i}") for i in range(15)] + [("a", "b", "x"), ("b", "a", "y"), ("lost", "nowhere", "z")]
+    got = {r.id: (r.ids, r.depth) for r in H.ancestor_paths(spark.createDataFrame(rows, "id string, parent_id string, title string")).collect()}
+    assert got == {f"n{i}": ([f"n{k}" for k in range(i + 1)], i) for i in range(15)}
+    assert H.ancestor_paths(spark.createDataFrame([], "id string, parent_id string, title string")).count() == 0
