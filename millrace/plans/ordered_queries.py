@@ -68,7 +68,7 @@ def win15(t: Inputs):
     return O.day_islands(t.chat, ["user_id"], "created_at", "id").select("user_id", "id", "island")
 
 
-@query("win13_smoothed", "SELECT user_id, round(sum(CASE WHEN after = n - 1 THEN 1.0 ELSE 0.3 END * pow(0.7, after) * value), 6) AS smoothed FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) - 1 AS after, count(*) OVER (PARTITION BY user_id) AS n FROM activity) GROUP BY 1")
+@query("win13_smoothed", "SELECT user_id, round(sum(CASE WHEN after = n - 1 THEN 1.0 ELSE 0.3 END * pow(0.7, after) * latency_ms), 6) AS smoothed FROM (SELECT user_id, latency_ms, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) - 1 AS after, count(*) OVER (PARTITION BY user_id) AS n FROM chat) GROUP BY 1")
 def win13(t: Inputs):
     return O.smoothed(t.chat, ["user_id"], "created_at", "id", "latency_ms")
 
