@@ -103,6 +103,59 @@ def permutation_test(df: DataFrame, group: str, a: str, b: str, rounds: int = 10
     return stats.alias("t").join(far.alias("f"), F.expr("t.g <=> f.g"), "left").select(F.col("t.g").alias(group), "n", F.round("mean", 6).alias("mean"), F.round(p, 4).alias("p"))
 
 
+def _resampled(rounds: int, seed: int):
+    """Of rows g, d, m, h (m values d of group g; h a hash of both): partial sums g, round, s, w of the values and of their numbers.
+
+    In each round a value counts as often as a Poisson draw of mean 1 says, as it does in a resample with replacement of many
+    values; m equal values together draw from the Poisson law of mean m.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {}
+        kind = None
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for g, s, w in held.values():
+                yield pa.RecordBatch.from_arrays([pa.array([g] * rounds, kind), pa.array(np.arange(rounds)), pa.array(s), pa.array(w)], ["g", "round", "s", "w"])
+            held.clear()
+
+        for batch in batches:
+            g, d, m, h = (batch.column(i) for i in range(4))
+            kind = g.type
+            for group, value, n, name in zip(g.to_pylist(), d.to_pylist(), m.to_pylist(), h.to_pylist()):
+                draw = np.random.default_rng([seed, name & (2**64 - 1)]).poisson(n, rounds)
+                key = repr(group)
+                if key not in held:
+                    if len(held) >= 256:
+                        yield from given()
+                    held[key] = (group, np.zeros(rounds), np.zeros(rounds))
+                held[key][1][:] += value * draw
+                held[key][2][:] += draw
+        yield from given()
+
+    return run
+
+
+def bootstrap(df: DataFrame, group: str, value: Column, rounds: int = 2_000, seed: int = 1373) -> DataFrame:
+    """Bootstrap of a mean per group: n, mean, low and high (2.5 and 97.5 % of the resampled means), p.
+
+    p is (resampled means on the other side of 0, or on it, + 1) / (rounds + 1), which with a difference of two systems as
+    value is the paired bootstrap test. Null and NaN values do not count; a group of none has only n. Equal values of a group
+    are one row of the work, which goes to tasks by group and value, so a large group is no hot task.
+    """
+    x = value.cast("double")
+    rows = df.select(F.col(group).alias("g"), F.when(~F.isnan(x), x).alias("x"))
+    stats = rows.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
+    amounts = rows.filter("x is not null").groupBy("g", F.col("x").alias("d")).agg(F.count("*").alias("m")).withColumn("h", F.xxhash64("g", "d"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = T.StructType([T.StructField("g", rows.schema["g"].dataType), T.StructField("round", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("w", T.DoubleType())])
+    sums = amounts.repartition(tasks, "g", "d").mapInArrow(_resampled(rounds, seed), fields).groupBy("g", "round").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    means = sums.filter("w > 0").select("g", (F.col("s") / F.col("w")).alias("m"))
+    found = means.alias("r").join(stats.alias("t"), F.expr("r.g <=> t.g")).groupBy(F.col("t.g").alias("_g"), "n", "mean").agg(F.percentile("r.m", F.lit(0.025)).alias("low"), F.percentile("r.m", F.lit(0.975)).alias("high"), F.count_if(F.expr("if(t.mean >= 0, r.m <= 0, r.m >= 0)")).alias("beyond"))
+    out = stats.join(found.select("_g", "low", "high", "beyond"), F.expr("g <=> _g"), "left")
+    return out.select(F.col("g").alias(group), "n", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round((F.col("beyond") + 1) / F.lit(rounds + 1), 4).alias("p"))
+
+
 def normal_two_sided(z: Column) -> Column:
     """Two-sided p of a standard normal value (rational approximation, error below 1.5e-7)."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access as G
 from ..operators import aggregates as A
+from ..operators import evaluation as E
 from ..operators import hierarchy as H
 from ..operators import ordered as O
 from ..operators import records as R
@@ -371,3 +372,13 @@ def txt12(t: Inputs):
 def txt43(t: Inputs):
     top = O.top_k(t.activity, ["user_id"], [F.desc("value"), F.col("id")], 4)
     return top.groupBy("user_id").agg(F.sort_array(F.collect_set("app_url")).alias("roots")).filter(F.size("roots") > 1)
+
+
+@query("evl8_bootstrap_interval")
+def evl8(t: Inputs):
+    return E.bootstrap(t.lineitem, "l_returnflag", F.col("l_discount")).drop("p")
+
+
+@query("evl9_paired_bootstrap")
+def evl9(t: Inputs):
+    return E.bootstrap(t.lineitem, "l_returnflag", F.col("l_discount") - F.col("l_tax")).select("l_returnflag", "n", "mean", "p")
