@@ -70,3 +70,18 @@ def neighbour_votes(edges: DataFrame, seeds: DataFrame, per_seed: int, limit: in
     top = own.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_seed)
     votes = top.groupBy("dst_blob").agg(F.round(F.sum("weight"), 4).alias("votes"))
     return votes.join(seeds.select(F.col("id").alias("dst_blob")), "dst_blob", "left_anti").orderBy(F.desc("votes"), "dst_blob").limit(limit)
+
+
+def resolved_titles(nodes: DataFrame, wanted: DataFrame, segments: int) -> DataFrame:
+    """Paths of titles (path_id, segments: an array) resolved from the roots down: path_id, id.
+
+    A child matches a segment by its title, or by `title of the segment before: segment`. One join per segment, so many as
+    said; paths of another length resolve to nothing.
+    """
+    n = nodes.select("id", "parent_id", "title")
+    at = wanted.filter(F.size("segments") == segments).join(n.filter("parent_id is null").drop("parent_id"), F.col("title") == F.get("segments", F.lit(0))).select("path_id", "segments", "id")
+    for i in range(1, segments):
+        seg, before = F.get("segments", F.lit(i)), F.get("segments", F.lit(i - 1))
+        below = n.select(F.col("id").alias("_child"), F.col("parent_id").alias("id"), F.col("title").alias("_title"))
+        at = at.join(below, "id").filter((F.col("_title") == seg) | (F.col("_title") == F.concat(before, F.lit(": "), seg))).select("path_id", "segments", F.col("_child").alias("id"))
+    return at.select("path_id", "id")
