@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, crc_mod, give_back_memory, mix64, rows_of, shortened, staged, text_blocks, word_hashes
+from .common import byte_blocks, carried, crc_mod, give_back_memory, mix64, rows_of, shortened, staged, text_blocks, word_hashes
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -36,6 +36,16 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return h, doc, np.frombuffer(b"\n".join(raw) + b"\n", np.uint8), begin, end
 
 
+def words_in_parts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words_of() of many texts, hashed a megabyte at a time; places are in all the bytes."""
+    out, at = [], 0
+    for a, b in byte_blocks([b"\0" * len(t or "") for t in texts], 1 << 20):
+        h, doc, data, begin, end = words_of(texts[a:b])
+        out.append((h, doc + a, data, begin + at, end + at))
+        at += len(data)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else words_of([])
+
+
 def grams_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the 4- and 5-grams of bytes of `^word$` and the index of the word of each."""
     size = end - begin + 2
@@ -98,15 +108,15 @@ class Inputs:
         if "filter" not in self.__dict__:
             self.filter = np.zeros(1 << _BITS, bool)
             self.filter[self.grams >> np.uint64(64 - _BITS)] = True
-        owners, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        owners, rows = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
         for i in range(0, len(h), _WORDS):
             g, owner = grams_of(data, begin[i : i + _WORDS], end[i : i + _WORDS])
             maybe = self.filter[g >> np.uint64(64 - _BITS)]
             g, owner = g[maybe], owner[maybe]
             at = _lookup(self.grams, g)
             hit = at < len(self.grams)
-            owners.append(owner[hit] + i)
-            rows.append(at[hit])
+            owners.append((owner[hit] + i).astype(np.int32))
+            rows.append(at[hit].astype(np.int32))
         return _lookup(self.words, h), np.concatenate(owners), np.concatenate(rows)
 
     def vectors(self, word: np.ndarray, owner: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -263,14 +273,16 @@ def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch:
         aside[rng.permutation(of_label)[: len(of_label) // 5 if len(texts) >= 100 else 0]] = True
     others = [t for t, a in zip(texts, aside) if a]
     texts, toxic = [t for t, a in zip(texts, aside) if not a], every[~aside]
-    h, doc, data, begin, end = words_of(texts)
+    h, doc, data, begin, end = words_in_parts(texts)
     first, ids = distinct(h) if len(h) else (np.empty(0, np.int64), np.empty(0, np.int64))
     net = Network(Inputs(*_vocabulary(h, doc, first, ids, data, begin, end, least), rng), rng)
     word, owner, gram = net.inputs.known(h[first], data, begin[first], end[first])
+    of, start, length = windows_of(np.bincount(doc, minlength=len(texts)))
+    del h, doc, data, begin, end, first
     order = np.argsort(owner, kind="stable")
     owner, gram = owner[order], gram[order]
-    grams_from = np.searchsorted(owner, np.arange(len(word) + 1))
-    of, start, length = windows_of(np.bincount(doc, minlength=len(texts)))
+    grams_from = np.searchsorted(owner, np.arange(len(word) + 1, dtype=np.int32))
+    del owner, order
     if not len(of):
         return net
     step = np.arange(WINDOW)
@@ -278,7 +290,21 @@ def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch:
     clean = np.flatnonzero(toxic[of] == 0)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     ticks = 0
-    scores = lambda: net.windows(net.inputs.vectors(word, owner, gram), ids, start, length)
+
+    def inputs_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words at some places, the word of each place, and pairs (word, row in gram_table)."""
+        own, local = np.unique(ids[at], return_inverse=True)
+        many = grams_from[own + 1] - grams_from[own]
+        which = gram[np.repeat(grams_from[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        return own, local.reshape(at.shape), np.repeat(np.arange(len(own)), many), which
+
+    def scores() -> np.ndarray:
+        out = np.empty(len(start), np.float32)
+        for i in range(0, len(start), 4096):
+            own, local, to, which = inputs_of(np.minimum(start[i : i + 4096, None] + step, len(ids) - 1))
+            out[i : i + 4096] = net.forward(net.inputs.vectors(word[own], to, which), local, step < length[i : i + 4096, None])
+        return out
+
     epochs = min(20, -(-steps * batch // (2 * len(heads))))
     for epoch in range(epochs):
         # Before anything is learned, one window of a document is as good as another.
@@ -288,12 +314,8 @@ def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch:
         chosen = rng.permutation(np.unique(np.concatenate([best, other])))
         for i in range(0, len(chosen), batch):
             part = chosen[i : i + batch]
-            at = np.minimum(start[part, None] + step, len(ids) - 1)
-            own, local = np.unique(ids[at], return_inverse=True)
-            many = grams_from[own + 1] - grams_from[own]
-            to = np.repeat(np.arange(len(own)), many)
-            which = gram[np.repeat(grams_from[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-            g = net.gradients(net.inputs.vectors(word[own], to, which), local.reshape(at.shape), step < length[part, None], toxic[of[part]])
+            own, local, to, which = inputs_of(np.minimum(start[part, None] + step, len(ids) - 1))
+            g = net.gradients(net.inputs.vectors(word[own], to, which), local, step < length[part, None], toxic[of[part]])
             ticks += 1
             left = 1 - (epoch + i / len(chosen)) / epochs
             dx = g.pop("x")
@@ -309,7 +331,7 @@ def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch:
                 v += 0.01 * (grad * grad - v)
                 net.p[k] -= (left * rate * (m / (1 - 0.9**ticks)) / (np.sqrt(v / (1 - 0.99**ticks)) + 1e-8)).astype(np.float32)
     # Move the bias so that 0.5 parts the documents kept aside best, and is as far from them as it can be.
-    top, y = (net.scores(others), every[aside]) if others else (np.maximum.reduceat(scores(), heads), toxic[of[heads]])
+    top, y = (np.concatenate([net.scores(others[i : i + 100]) for i in range(0, len(others), 100)]), every[aside]) if others else (np.maximum.reduceat(scores(), heads), toxic[of[heads]])
     top, y = top[np.isfinite(top)], y[np.isfinite(top)]
     if not len(top):
         return net
@@ -346,7 +368,7 @@ def _shortened(most_words: int):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_per_label: tuple[int, int] = (3200, 1600), max_words: int = 800, carry: Sequence[str] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_per_label: tuple[int, int] = (3200, 1600), max_words: int = 400, carry: Sequence[str] = ()) -> DataFrame:
     """Scores each whole text: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), then the columns named in carry.
 
     Trains on labelled rows outside the held-out fold: of label 0 and 1 at most max_per_label rows, those whose hash of id
@@ -370,9 +392,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             part = met.filter(F.col("label") == label).orderBy("turn", "text").limit(most)
             sample = part if sample is None else sample.unionByName(part)
         short = sample.select("label", "text").mapInArrow(_shortened(max_words), "label int, text string").toPandas().sort_values(["label", "text"])
-        if short["label"].nunique() == 2:
-            net = train(short["text"].tolist(), short["label"].to_numpy())
+        texts, marks = short["text"].tolist(), short["label"].to_numpy()
         del short
+        if len(set(marks.tolist())) == 2:
+            net = train(texts, marks)
+        del texts
         give_back_memory()
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = "doc_id long, held_out boolean, score double, predicted int"
