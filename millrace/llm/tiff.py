@@ -251,10 +251,19 @@ def decode_tiff(data: bytes) -> Iterator[tuple[dict[str, int], bytes]]:
         yield {"width": width, "height": height, "samples_per_pixel": samples, "compression": compression, "predictor": predictor}, page.tobytes()
 
 
+#: Compressions and their shares in 64: each comes with and without differencing, in strips and in tiles.
+_SHARES = ((LZW, 8), (PACKBITS, 16), (DEFLATE, 40))
+
+
 def _form(payload: bytes) -> tuple[int, int, bool]:
     """Compression, predictor and layout by the payload's checksum, so that equal payloads are stored alike and a corpus uses all of them."""
-    n = zlib.crc32(payload) % 16
-    return (LZW, 1, False) if n == 0 else (PACKBITS, 1, False) if n < 4 else (DEFLATE, 2, True) if n < 8 else (DEFLATE, 2, False) if n < 10 else (DEFLATE, 1, False)
+    n = zlib.crc32(payload)
+    place = n % 64
+    for compression, share in _SHARES:
+        if place < share:
+            break
+        place -= share
+    return compression, 1 + n // 64 % 2, n // 128 % 2 == 1
 
 
 def tiff_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

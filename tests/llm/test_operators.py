@@ -345,6 +345,11 @@ def test_tiff_forms():
                     assert len(pages) == -(-n // (64 * 1024)) and pages[0][0]["compression"] == compression
 
 
+def test_a_corpus_uses_all_forms():
+    forms = {tiff._form(str(i).encode()) for i in range(3000)}
+    assert forms == {(c, p, t) for c in (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE) for p in (1, 2) for t in (True, False)}
+
+
 def test_big_endian_colour_tiff():
     import struct
 
