@@ -165,8 +165,8 @@ def gov6(t: Inputs):
     return t.customer.select("c_custkey", F.concat(F.lit("u"), F.substring(digest("c_name"), 1, 10), F.lit("@example.invalid")).alias("mail"), F.concat(F.lit("0"), F.lpad((F.conv(F.substring(digest("c_custkey"), 1, 8), 16, 10).cast("long") % 1000000000).cast("string"), 9, "0")).alias("phone"))
 
 
-@query("dq10_duplicate_names", "SELECT lower(p_type) || '/' || p_brand AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
-def dq10(t: Inputs):
+@query("set10_duplicate_names", "SELECT lower(p_type) || '/' || p_brand AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def set10_names(t: Inputs):
     return t.part.groupBy(F.concat(F.lower("p_type"), F.lit("/"), "p_brand").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
 
 

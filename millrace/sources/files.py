@@ -39,8 +39,14 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def write_csv_report(df: DataFrame, path: str) -> None:
-    """Few rows as one CSV file with a header, CR LF line ends."""
-    df.coalesce(1).write.option("header", True).option("lineSep", "\n").csv(path)
+    """Few rows as one CSV file with a header, in UTF-8 with a byte-order mark and CR LF line ends.
+
+    Spark's text sink writes the lines; a field with a comma, quote or line end is quoted.
+    """
+    quoted = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    line = F.concat_ws(",", *[F.coalesce(quoted(F.col(f"`{c}`").cast("string")), F.lit("")) for c in df.columns])
+    head = df.sparkSession.range(1).select(F.lit("\ufeff" + ",".join(df.columns)).alias("value"))
+    head.unionByName(df.select(line.alias("value"))).coalesce(1).write.option("lineSep", "\r\n").text(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
