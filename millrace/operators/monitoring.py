@@ -54,3 +54,11 @@ def silent_days(df: DataFrame, key: str, ts: str) -> DataFrame:
     seen = df.groupBy(key).agg(F.collect_set(F.to_date(ts)).alias("own"))
     days = df.select(F.to_date(ts).alias("day")).distinct().agg(F.sort_array(F.collect_list("day")).alias("days"))
     return seen.withColumn("_one", F.lit(1)).join(F.broadcast(days.withColumn("_one", F.lit(1))), "_one").select(key, F.explode(F.array_except("days", "own")).alias("day"))
+
+
+def service_rules(traffic: DataFrame, keys: list[str], least_errors: int = 50, share: float = 0.05, least_latency: int = 10, latency_ms: float = 5000) -> DataFrame:
+    """Keys where a rule holds, one row per rule: `errors` (share of 5xx on enough requests), `latency` (mean on enough requests)."""
+    g = traffic.groupBy(*keys).agg(F.sum("requests").alias("n"), F.sum("errors_5xx").alias("e"), F.sum("total_ms").alias("ms"))
+    errors = F.when((F.col("n") >= least_errors) & (F.col("e") / F.col("n") >= share), "errors")
+    latency = F.when((F.col("n") >= least_latency) & (F.col("ms") / F.col("n") >= latency_ms), "latency")
+    return g.select(*keys, F.explode(F.array_compact(F.array(errors, latency))).alias("rule"))

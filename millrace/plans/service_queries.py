@@ -20,9 +20,10 @@ def hlp1(t: Inputs):
     return top_k(t.message.filter("not internal"), ["request_id"], [F.desc("created_at"), F.desc("id")], 1).filter("from_customer").select("request_id", "id")
 
 
-@query("hlp3_response_times", "SELECT priority, count(*) AS n, count(first_response_h) AS measured, round(avg(first_response_h), 4) AS mean_h, quantile_disc(first_response_h, 0.9) AS p90_h FROM ticket GROUP BY priority")
+@query("hlp3_response_times", "SELECT priority, count(*) AS n, count(first_response_h) AS measured, round(avg(first_response_h), 4) AS mean_h, quantile_disc(first_response_h, 0.9) AS p90_h, count(resolved_h) AS resolved, round(avg(resolved_h), 4) AS resolved_mean_h, quantile_disc(resolved_h, 0.9) AS resolved_p90_h FROM ticket GROUP BY priority")
 def hlp3(t: Inputs):
-    return t.ticket.groupBy("priority").agg(F.count("*").alias("n"), F.count("first_response_h").alias("measured"), F.round(F.avg("first_response_h"), 4).alias("mean_h"), A.nearest_rank("first_response_h", 0.9).cast("long").alias("p90_h"))
+    block = lambda c, n, mean, p90: [F.count(c).alias(n), F.round(F.avg(c), 4).alias(mean), A.nearest_rank(c, 0.9).cast("long").alias(p90)]
+    return t.ticket.groupBy("priority").agg(F.count("*").alias("n"), *block("first_response_h", "measured", "mean_h", "p90_h"), *block("resolved_h", "resolved", "resolved_mean_h", "resolved_p90_h"))
 
 
 @query("hlp5_satisfaction", "SELECT s.csat, coalesce(n, 0) AS n FROM (SELECT unnest([1, 2, 3, 4, 5])::INT AS csat) s LEFT JOIN (SELECT csat, count(*) AS n FROM ticket WHERE csat IS NOT NULL GROUP BY csat) USING (csat)")
@@ -82,10 +83,9 @@ def rec3(t: Inputs):
     return top_k(unseen, ["user_id"], [F.desc("n"), F.col("app_url")], 5).select("user_id", "app_url", "n", "rank")
 
 
-@query("mon1_error_rate", "SELECT endpoint, bucket, sum(requests)::BIGINT AS n FROM traffic GROUP BY 1, 2 HAVING sum(requests) >= 3 AND sum(errors_5xx) / sum(requests)::DOUBLE >= 0.05")
+@query("mon1_error_rate", "WITH g AS (SELECT endpoint, bucket::DATE AS day, sum(requests)::BIGINT AS n, sum(errors_5xx)::BIGINT AS e, sum(total_ms) / sum(requests)::DOUBLE AS mean_ms FROM traffic GROUP BY 1, 2) SELECT endpoint, day, 'errors' AS rule FROM g WHERE n >= 50 AND e / n::DOUBLE >= 0.05 UNION ALL SELECT endpoint, day, 'latency' FROM g WHERE n >= 10 AND mean_ms >= 500")
 def mon1(t: Inputs):
-    g = t.traffic.groupBy("endpoint", "bucket").agg(F.sum("requests").alias("n"), F.sum("errors_5xx").alias("e"))
-    return g.filter((F.col("n") >= 3) & (F.col("e") / F.col("n") >= 0.05)).select("endpoint", "bucket", "n")
+    return M.service_rules(t.traffic.withColumn("day", F.to_date("bucket")), ["endpoint", "day"], latency_ms=500)
 
 
 @query("mon3_bursts", f"SELECT user_id, max(n) AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY {_S.format('created_at')} RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM activity) GROUP BY user_id HAVING max(n) >= 8")
@@ -170,10 +170,14 @@ def set10_names(t: Inputs):
     return t.part.groupBy(F.concat(F.lower("p_type"), F.lit("/"), "p_brand").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("dq3_verdict", "SELECT section, CASE WHEN chars = 0 THEN 'corrupt' WHEN nodes < 10 THEN 'incomplete' ELSE 'complete' END AS verdict FROM (SELECT section, count(*) AS nodes, sum(length(content)) AS chars FROM sections GROUP BY section)")
+@query("dq3_verdict", "WITH s AS (SELECT section, count(*) AS nodes, sum(length(content)) AS chars, md5(string_agg(md5(coalesce(content, '')), '' ORDER BY md5(coalesce(content, '')))) AS print FROM sections GROUP BY section), f AS (SELECT print, min(section) AS first FROM s GROUP BY 1) SELECT section, CASE WHEN coalesce(chars, 0) = 0 THEN 'corrupt' WHEN section <> first THEN 'duplicate' WHEN nodes < 10 THEN 'incomplete' ELSE 'complete' END AS verdict FROM s JOIN f USING (print)")
 def dq3(t: Inputs):
-    g = t.sections.groupBy("section").agg(F.count("*").alias("nodes"), F.sum(F.length("content")).alias("chars"))
-    return g.select("section", F.when(F.col("chars") == 0, "corrupt").when(F.col("nodes") < 10, "incomplete").otherwise("complete").alias("verdict"))
+    """The fingerprint is over the contents' digests, never over the contents, so a large section stays small."""
+    h = F.md5(F.coalesce("content", F.lit("")).cast("binary"))
+    g = t.sections.groupBy("section").agg(F.count("*").alias("nodes"), F.sum(F.length("content")).alias("chars"), F.md5(F.array_join(F.sort_array(F.collect_list(h)), "").cast("binary")).alias("print"))
+    first = g.groupBy("print").agg(F.min("section").alias("first"))
+    verdict = F.when(F.coalesce("chars", F.lit(0)) == 0, "corrupt").when(F.col("section") != F.col("first"), "duplicate").when(F.col("nodes") < 10, "incomplete").otherwise("complete")
+    return g.join(first, "print").select("section", verdict.alias("verdict"))
 
 
 @query("ml2_topic_split", "SELECT doc_id, CASE WHEN ('0x' || substr(md5(source), 1, 4))::INT % 10 = 0 THEN 'dev' ELSE 'train' END AS part FROM documents")
@@ -204,9 +208,9 @@ def trm2(t: Inputs):
     return top_k(t.part, ["p_brand"], [F.desc("p_size"), F.desc("p_retailprice"), F.length("p_type"), F.col("p_type"), F.col("p_partkey")], 1).select("p_brand", "p_type")
 
 
-@query("src13_exposition", "SELECT 'events_total{action=\"' || action || '\",category=\"' || category || '\"} ' || round(count(*)::DOUBLE, 4)::DECIMAL(30, 4)::VARCHAR AS value FROM activity GROUP BY action, category")
+@query("src13_exposition", "SELECT '# HELP events_total Events by kind' AS value UNION ALL SELECT '# TYPE events_total counter' UNION ALL SELECT 'events_total{action=\"' || action || '\",category=\"' || category || '\"} ' || round(count(*)::DOUBLE, 4)::DECIMAL(30, 4)::VARCHAR FROM activity GROUP BY action, category")
 def src13(t: Inputs):
-    return files.exposition_lines(A.count_by(t.activity, "category", "action"), "events_total", ["category", "action"], "n")
+    return files.exposition_lines(A.count_by(t.activity, "category", "action"), "events_total", ["category", "action"], "n", "Events by kind", "counter")
 
 
 @query("src10_json_lines", "SELECT doc_id, lang, source FROM documents")

@@ -127,11 +127,11 @@ def ret11(t: Inputs):
     return S.chosen_occurrence(t.occurrences, "car5", "brand1")
 
 
-@query("ret15_confidence", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 >= 0.75 AND l_tax >= 0.05 THEN 'high' WHEN l_discount * 10 >= 0.45 THEN 'medium' ELSE 'low' END AS band, CASE WHEN l_tax * 4 >= 0.20 AND l_discount * 10 >= 0.72 THEN 4 ELSE 8 END AS depth FROM lineitem")
+@query("ret15_confidence", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 >= 0.75 AND l_tax * 3 >= 0.15 THEN 'high' WHEN l_discount * 10 >= 0.45 THEN 'medium' ELSE 'low' END AS band, CASE WHEN l_tax * 4 >= 0.20 AND l_discount * 10 >= 0.72 THEN 4 ELSE 8 END AS depth FROM lineitem")
 def ret15(t: Inputs):
     sim = F.col("l_discount") * 10
     depth = S.adaptive_depth(F.col("l_tax") * 4, sim)
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.when((sim >= 0.75) & (F.col("l_tax") >= 0.05), "high").otherwise(S.confidence_band(sim, F.lit(0.0))).alias("band"), depth.alias("depth"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", S.confidence_band(sim, F.col("l_tax") * 3).alias("band"), depth.alias("depth"))
 
 
 _RANKED = "WITH r AS (SELECT l_orderkey AS query_id, l_partkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem), rel AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R') "

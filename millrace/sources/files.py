@@ -70,10 +70,17 @@ def sql_dump_lines(df: DataFrame, table: str, a: str, b: str) -> DataFrame:
     return df.select(F.concat(F.lit(f"INSERT INTO {table} VALUES ("), quoted(a), F.lit(","), quoted(b), F.lit(");")).alias("value"))
 
 
-def exposition_lines(df: DataFrame, metric: str, labels: list[str], value: str) -> DataFrame:
-    """Text exposition samples: labels sorted by name, values of up to four decimals."""
-    pairs = [F.concat(F.lit(f'{k}="'), F.col(k).cast("string"), F.lit('"')) for k in sorted(labels)]
-    return df.select(F.concat(F.lit(metric + "{"), F.concat_ws(",", *pairs), F.lit("} "), F.round(F.col(value).cast("double"), 4).cast("decimal(30,4)").cast("string")).alias("value"))
+def exposition_lines(df: DataFrame, metric: str, labels: list[str], value: str, about: str, kind: str) -> DataFrame:
+    """Text exposition: help and type of the metric once, then samples with labels sorted by name and escaped, values of up to four decimals."""
+
+    def escaped(k: str) -> Column:
+        c = F.coalesce(F.col(k).cast("string"), F.lit(""))
+        for plain, written_ in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+            c = F.replace(c, F.lit(plain), F.lit(written_))
+        return F.concat(F.lit(f'{k}="'), c, F.lit('"'))
+
+    head = df.sparkSession.range(1).select(F.explode(F.array(F.lit(f"# HELP {metric} {about}"), F.lit(f"# TYPE {metric} {kind}"))).alias("value"))
+    return head.unionByName(df.select(F.concat(F.lit(metric + "{"), F.concat_ws(",", *map(escaped, sorted(labels))), F.lit("} "), F.round(F.col(value).cast("double"), 4).cast("decimal(30,4)").cast("string")).alias("value")))
 
 
 def first_by_basename(files: DataFrame, path: Column | str) -> DataFrame:
