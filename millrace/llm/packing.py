@@ -40,7 +40,7 @@ _WORD_END = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-@\\[-`{-~\n])"
 #: Chunks remembered by a worker.
 _CACHE_LIMIT = 1_000_000
 #: Bytes of text that are split into chunks at once; a longer text goes in parts cut between words.
-_BLOCK = 1 << 23
+_BLOCK = 1 << 22
 
 
 def _byte_length(token: str | None) -> int:
