@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 
 def seconds(ts: str) -> Column:
     """Whole seconds since 1970 of a timestamp without zone."""
     return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in an order, without one task for all: places in sorted ranges plus the sizes of the ranges before.
+
+    The ranges are written to the checkpoint folder, so that a repeated task numbers alike.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", before.alias("_before"))
+    return kept.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def reciprocal_ranks(ranked: DataFrame, keys: list[str], score: str, item: str, weight: float = 1.0, k: int = 60) -> DataFrame:
     """weight / (k + rank), ranks from 1 in falling order of score, ties by item."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), item))

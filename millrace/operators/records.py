@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def least_used(items: DataFrame, holders: DataFrame) -> DataFrame:
     """Deals items (item) one after another to the holder (holder, load) that has least at that moment, the first by name.
 
     The n-th item goes to the n-th free place, places counted by level and holder; places of a level are as many as
-    holders below it, so only levels up to the last one needed are laid out. Both sides are numbered in item ranges.
+    holders below it, so only levels up to the last one needed are laid out. Both sides are numbered in sorted ranges.
     """
     total = items.agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
     spread = holders.agg(F.max("load").alias("most"), F.count("*").alias("holders")).withColumn("_one", F.lit(1))
     top = total.join(spread, "_one").select("_one", (F.col("most") + F.ceil(F.col("n") / F.col("holders"))).alias("top"))
     places = holders.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").filter("top > load").select("holder", F.explode(F.expr("sequence(load + 1, top)")).alias("level"))
-    nth = lambda df, *order: df.select("*", F.row_number().over(Window.orderBy(*order)).alias("_n"))
-    return nth(items.select("item"), "item").join(nth(places, "level", "holder"), "_n").select("item", "holder", "level")
+    return numbered(items.select("item"), ["item"], "_n").join(numbered(places, ["level", "holder"], "_n"), "_n").select("item", "holder", "level")
 
 
 def zipped(left: DataFrame, right: DataFrame, key: str, order: str, values: tuple[str, str]) -> DataFrame:
