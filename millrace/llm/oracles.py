@@ -64,5 +64,42 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(24 + length(role) + length(regexp_replace(text, '<(\|+)', '<|\1', 'g')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
+""",
+    "op12_merkle": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)),
+d AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i,
+    sha256(concat(coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source)::VARCHAR || ':' || source, '-'), coalesce(strlen(lang)::VARCHAR || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-'), coalesce(strlen(text)::VARCHAR || ':' || text, '-'))) AS leaf,
+    sha256(concat(coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source)::VARCHAR || ':' || source, '-'), coalesce(strlen(lang)::VARCHAR || ':' || lang, '-'), coalesce(strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1)::VARCHAR, '-'), coalesce(strlen(text)::VARCHAR || ':' || text, '-'))) AS changed,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda j: ascii(substr(doc_id::VARCHAR, j, 1))::BIGINT)), lambda c, b: xor(t.crc[(xor(c, b) & 255) + 1], c >> 8)) AS c
+  FROM documents CROSS JOIN crc_table t),
+nodes AS (
+  SELECT lang, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM d
+  UNION ALL
+  SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2),
+subroots AS (SELECT lang, h, level AS height, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, i, h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM tops WHERE n > 1 GROUP BY level, i // 2),
+steps AS (
+  SELECT d.lang, d.i AS leaf_i, k.level, (d.i >> k.level) % 2 AS is_right, b.h AS beside
+  FROM d JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) k ON d.lang IS NOT DISTINCT FROM k.lang
+  LEFT JOIN nodes b ON b.lang IS NOT DISTINCT FROM d.lang AND b.level = k.level AND b.i = xor(d.i >> k.level, 1)
+  UNION ALL
+  SELECT d.lang, d.i, s.height + k.level, (s.i >> k.level) % 2, b.h
+  FROM d JOIN subroots s ON d.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) k
+  LEFT JOIN tops b ON b.level = k.level AND b.i = xor(s.i >> k.level, 1)),
+fold AS (
+  SELECT lang, i AS leaf_i, 0 AS level, CASE WHEN xor(c, 4294967295) % 7 = 0 THEN changed ELSE leaf END AS h FROM d
+  UNION ALL
+  SELECT f.lang, f.leaf_i, f.level + 1, sha256(CASE WHEN s.beside IS NULL THEN f.h WHEN s.is_right = 1 THEN s.beside || f.h ELSE f.h || s.beside END)
+  FROM fold f JOIN steps s ON f.lang IS NOT DISTINCT FROM s.lang AND f.leaf_i = s.leaf_i AND f.level = s.level),
+ends AS (SELECT lang, leaf_i, arg_max(h, level) AS h FROM fold GROUP BY lang, leaf_i),
+proofs AS (SELECT lang, leaf_i, sha256(coalesce(string_agg(beside, '' ORDER BY level), '')) AS p FROM steps GROUP BY lang, leaf_i)
+SELECT d.doc_id, d.leaf, s.h AS subroot, r.h AS root, coalesce(p.p, sha256('')) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM d JOIN subroots s ON d.lang IS NOT DISTINCT FROM s.lang JOIN ends e ON e.lang IS NOT DISTINCT FROM d.lang AND e.leaf_i = d.i
+LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM d.lang AND p.leaf_i = d.i CROSS JOIN (SELECT h FROM tops WHERE n = 1) r
 """,
 }

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
+from .common import crc_mod
 from .chat import chat_digests, format_chat
 from .ego_join import ego_join_groups
 from .langid import identify_language
+from .merkle import digest_of, merkle_manifest
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_groups
 from .packing import pack_documents
@@ -72,6 +75,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_fold=0)
 
 
+#: What a leaf of the manifest covers, in this order.
+_LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's checksum is divisible by 7 claim a leaf with another n_chars."""
+    tampered = F.when(crc_mod("doc_id", 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    claimed = digest_of([tampered if c == "n_chars" else c for c in _LEAF])
+    return merkle_manifest(table(spark, sf_dir, "documents"), _LEAF, claimed=claimed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
@@ -84,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_chat": op9_chat,
         "op10_toxicity": op10_toxicity,
+        "op12_merkle": op12_merkle,
     }
 
 
