@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from .common import crc_mod
+from .bpe import decode_ids, encode_texts
 from .chat import chat_digests, format_chat
+from .common import crc_mod
 from .ego_join import ego_join_groups
 from .langid import identify_language
 from .merkle import digest_of, merkle_manifest
@@ -86,6 +87,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), _LEAF, claimed=claimed)
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = encode_texts(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    listed = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
+    return decode_ids(ids, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), listed.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
@@ -99,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat": op9_chat,
         "op10_toxicity": op10_toxicity,
         "op12_merkle": op12_merkle,
+        "op13_bpe": op13_bpe,
     }
 
 
