@@ -18,6 +18,7 @@ from .merkle import digest_of, merkle_manifest
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_groups
 from .packing import pack_documents
+from .periodic import periodic_runs
 from .quality import score_quality
 from .tiff import page_digests, tiff_of_texts, tiff_pages
 from .toxicity import score_toxicity
@@ -76,6 +77,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_fold=0)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose id's checksum is divisible by 10 repeat some of their words from some word on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).withColumn("n", F.size("w"))
+    docs = docs.withColumn("a", F.expr("if(n > 0, (h div 10) % n, null)")).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    repeated = F.array_join(F.expr("transform(sequence(0L, cast(n - 1 as long)), i -> w[cast(if(i < a, i, a + (i - a) % p) as int)])"), " ")
+    runs = periodic_runs(docs.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text")))
+    # Of equal ratios the first stays: runs are in order of start and period.
+    best = F.expr("aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return runs.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 #: What a leaf of the manifest covers, in this order.
 _LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -106,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_chat": op9_chat,
         "op10_toxicity": op10_toxicity,
+        "op11_periodic_runs": op11_periodic_runs,
         "op12_merkle": op12_merkle,
         "op13_bpe": op13_bpe,
     }
