@@ -170,8 +170,13 @@ def two_proportions(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
 
 
 def weight_grid(scores: DataFrame, a: str, b: str, target: str, fold: str, weights: list[float]) -> DataFrame:
-    """Per fold the weight of w a + (1 - w) b with the highest mean target of each query's best item, ties to the smaller weight."""
+    """Two-fold cross-validation of the weight w in w a + (1 - w) b: fold, w, mean.
+
+    A fold's w is the one with the highest mean target of each query's best item on the other fold, ties to the smaller
+    weight; mean is what that weight reaches on the fold itself. fold is 0 or 1.
+    """
     tried = scores.withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
     best = tried.groupBy(fold, "query_id", "w").agg(F.max_by(target, F.struct((F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b)).alias("s"), "item", target)).alias("t"))
     mean = best.groupBy(fold, "w").agg(F.round(F.avg("t"), 6).alias("mean"))
-    return mean.withColumn("r", F.row_number().over(Window.partitionBy(fold).orderBy(F.desc("mean"), "w"))).filter("r = 1").select(fold, "w", "mean")
+    chosen = mean.withColumn("r", F.row_number().over(Window.partitionBy(fold).orderBy(F.desc("mean"), "w"))).filter("r = 1").select((1 - F.col(fold)).alias(fold), "w")
+    return chosen.join(mean, [fold, "w"]).select(fold, "w", "mean")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chains import spaced
 from .ordered import seconds
 
 
@@ -30,9 +31,8 @@ def alert_states(firing: DataFrame, open_alerts: DataFrame, owned_prefix: str) -
 
 
 def delivered(df: DataFrame, key: str, ts: str, item: str, cooldown_s: int) -> DataFrame:
-    """First notices, and those whose previous row of the key is older than the cool-down."""
-    gap = seconds(ts) - F.lag(seconds(ts)).over(Window.partitionBy(key).orderBy(ts, item))
-    return df.withColumn("_gap", gap).filter("_gap is null or _gap > %d" % cooldown_s).drop("_gap")
+    """Items whose notice goes out: a key's first, and each one at least the cool-down after the last that went out."""
+    return spaced(df, [key], seconds(ts), item, cooldown_s, inclusive=True)
 
 
 def change_events(df: DataFrame, key: str, ts: str, item: str, value: str) -> DataFrame:

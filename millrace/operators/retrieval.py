@@ -85,6 +85,18 @@ def _unit_rows(vectors: list) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, n
     return out
 
 
+#: Stands for a null scope.
+_NULL_SCOPE = -(1 << 63)
+
+
+def _query_passes(asked: DataFrame) -> Iterator[pa.Table]:
+    """Queries (query_id, qvec and more) in parts of at most about 64 MB of vectors, dealt by hash."""
+    size = asked.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()[0] * 8
+    passes = max(1, -(-size // _QUERY_BYTES))
+    for p in range(passes):
+        yield asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).toArrow()
+
+
 def nearest(vectors: DataFrame, item: str, vector: str, queries: DataFrame, k: int, others_only: bool = False) -> DataFrame:
     """Exact k nearest by cosine for a stated set of queries (query_id, qvec): query_id, item, sim, rank.
 
@@ -95,11 +107,8 @@ def nearest(vectors: DataFrame, item: str, vector: str, queries: DataFrame, k: i
     """
     items = vectors.select(F.col(item).cast("long").alias("item"), F.col(vector).alias("v")).filter("v is not null")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "qvec").filter("qvec is not null")
-    size = asked.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()[0] * 8
-    passes = max(1, -(-size // _QUERY_BYTES))
     found = None
-    for p in range(passes):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).toArrow()
+    for part in _query_passes(asked):
         ids = part.column("query_id").to_numpy()
         known = {n: (ids[at], x) for n, (at, x) in _unit_rows(part.column("qvec").to_pylist()).items()}
         shared = vectors.sparkSession.sparkContext.broadcast(known)
@@ -128,6 +137,47 @@ def nearest(vectors: DataFrame, item: str, vector: str, queries: DataFrame, k: i
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("item").alias(item), F.round("sim", 5).alias("sim"), "rank")
 
 
+def best_match(vectors: DataFrame, item: str, vector: str, queries: DataFrame, least: float, scope: str | None = None, earlier_only: bool = False) -> DataFrame:
+    """Each query's most similar item with cosine (rounded to 5 places) of at least `least`: query_id, item, sim.
+
+    Of equally similar items the largest id wins; the query's own id never does. With scope, a column of both tables, an
+    item must have the query's value (a number; null equals null); with earlier_only, a smaller id than the query's. These
+    conditions hold before the best is chosen, for all items. Vectors and queries move as in nearest().
+    """
+    kept = [F.col(scope).cast("long").alias("scope")] if scope else [F.lit(0).cast("long").alias("scope")]
+    items = vectors.select(F.col(item).cast("long").alias("item"), F.col(vector).alias("v"), *kept).filter("v is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "qvec", *kept).filter("qvec is not null")
+    found = None
+    for part in _query_passes(asked):
+        ids, scopes = part.column("query_id").to_numpy(), part.column("scope").fill_null(_NULL_SCOPE).to_numpy()
+        known = {n: (ids[at], scopes[at], x) for n, (at, x) in _unit_rows(part.column("qvec").to_pylist()).items()}
+        shared = vectors.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                numbers, own = batch.column(0).to_numpy(), batch.column(2).fill_null(_NULL_SCOPE).to_numpy()
+                for n, (at, v) in _unit_rows(batch.column(1).to_pylist()).items():
+                    ids, scopes, q = shared.value.get(n, (np.empty(0), np.empty(0), np.empty((0, n))))
+                    order = np.argsort(numbers[at], kind="stable")[::-1]  # argmax then meets the largest id first
+                    at, v = at[order], v[order]
+                    for a in range(0, len(ids) if len(at) else 0, _ROWS):
+                        some = ids[a : a + _ROWS, None]
+                        sim = np.round(q[a : a + _ROWS] @ v.T, 5)
+                        barred = (some == numbers[at][None]) | (scopes[a : a + _ROWS, None] != own[at][None]) | (sim < least)
+                        if earlier_only:
+                            barred |= numbers[at][None] > some
+                        sim[barred] = -np.inf
+                        best = sim.argmax(1)
+                        score = sim[np.arange(len(sim)), best]
+                        met = np.isfinite(score)
+                        yield pa.RecordBatch.from_arrays([pa.array(some[met, 0]), pa.array(numbers[at][best[met]]), pa.array(score[met])], ["query_id", "item", "sim"])
+
+        own = items.mapInArrow(run, "query_id long, item long, sim double")
+        found = own if found is None else found.unionByName(own)
+    top = found.groupBy("query_id").agg(F.max(F.struct("sim", "item")).alias("b"))
+    return top.select("query_id", F.col("b.item").alias(item), F.col("b.sim").alias("sim"))
+
+
 #: Weights of vector and keyword search by kind of query.
 KIND_WEIGHTS = {"code": (0.3, 1.0), "lexical": (0.6, 1.0), "semantic": (1.0, 0.5), "mixed": (1.0, 1.0)}
 

@@ -50,13 +50,3 @@ def fused_phrasings(lists: DataFrame, k: int, damping: int = 60) -> DataFrame:
     """Reciprocal rank fusion of the ranked lists (query_id, phrasing, item, rank) of a question's phrasings: the k best."""
     fused = lists.groupBy("query_id", "item").agg(F.round(F.sum(1.0 / (damping + F.col("rank"))), 8).alias("score"), F.countDistinct("phrasing").alias("phrasings"))
     return fused.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item"))).filter(F.col("place") <= k)
-
-
-def remembered(questions: DataFrame, similar: DataFrame, least: float = 0.95) -> DataFrame:
-    """Each question with an earlier one of its scope that is at least so similar (the most similar, then the latest).
-
-    similar has question_id, other_id, sim; questions have question_id and scope; an earlier question has a smaller id.
-    """
-    scopes = questions.select(F.col("question_id").alias("other_id"), F.col("scope").alias("_scope"))
-    met = similar.filter((F.col("sim") >= least) & (F.col("other_id") < F.col("question_id"))).join(questions, "question_id").join(scopes, "other_id").filter(F.col("scope").eqNullSafe(F.col("_scope")))
-    return met.groupBy("question_id").agg(F.max(F.struct("sim", "other_id")).alias("b")).select("question_id", F.col("b.other_id").alias("answered_by"), F.col("b.sim").alias("sim"))

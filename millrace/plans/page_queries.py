@@ -10,6 +10,8 @@ from ..operators import hierarchy as H
 from ..operators import ordered as O
 from ..operators import relations as R
 from ..operators import terms as T
+from ..operators.ordered import seconds
+from ..operators.tickets import ticket_states
 from .inputs import Inputs
 from .registry import query
 
@@ -163,11 +165,26 @@ def misc19(t: Inputs):
     return words.groupBy("phrase").agg(F.array_sort(F.collect_set("w")).alias("tokens")).filter(F.size("tokens") >= 2)
 
 
-@query("misc24_transitions", "SELECT request_id, CASE WHEN bool_or(NOT internal AND NOT from_customer) THEN min(created_at) FILTER (NOT internal AND NOT from_customer) END AS answered, arg_max(CASE WHEN from_customer THEN 'reopened' WHEN internal THEN 'in_progress' ELSE 'answered' END, (created_at, id)) AS state FROM message GROUP BY 1")
+#: One action a message, by its author; the ticket was created a day before the first.
+_ACTIONS = "CASE author_id % 7 WHEN 0 THEN 'close' WHEN 1 THEN 'customer' WHEN 2 THEN 'reply' WHEN 3 THEN 'note' WHEN 4 THEN 'escalate' WHEN 5 THEN 'internal' ELSE CASE WHEN internal THEN 'open' ELSE 'close' END END"
+
+
+@query("misc24_transitions", f"""WITH RECURSIVE a AS (SELECT request_id, {_ACTIONS} AS action, epoch(created_at)::BIGINT AS t, min(epoch(created_at)::BIGINT) OVER (PARTITION BY request_id) - 86400 AS created, row_number() OVER (PARTITION BY request_id ORDER BY created_at, id) AS i FROM message),
+s AS (SELECT request_id, 0::BIGINT AS i, 'pending' AS status, 'normal' AS priority, NULL::BIGINT AS answered, NULL::BIGINT AS resolved, NULL::BIGINT AS escalated, min(created) + 259200 AS due, 0::BIGINT AS reopened FROM a GROUP BY 1
+UNION ALL SELECT a.request_id, a.i,
+  CASE WHEN action = 'close' THEN 'closed' WHEN action = 'open' OR (action = 'customer' AND status = 'closed') THEN 'pending' WHEN action = 'reply' AND status = 'pending' THEN 'in_progress' ELSE status END,
+  CASE WHEN action = 'escalate' THEN 'high' ELSE priority END,
+  CASE WHEN action IN ('reply', 'note') THEN coalesce(answered, t) ELSE answered END,
+  CASE WHEN action = 'close' THEN CASE WHEN status = 'closed' THEN resolved ELSE t END WHEN (action = 'open' AND status <> 'pending') OR (action = 'customer' AND status = 'closed') OR (action = 'reply' AND status = 'pending') THEN NULL ELSE resolved END,
+  CASE WHEN action = 'escalate' THEN coalesce(escalated, t) ELSE escalated END,
+  CASE WHEN action = 'escalate' AND escalated IS NULL THEN created + 86400 WHEN action = 'customer' AND status = 'closed' THEN t + CASE priority WHEN 'high' THEN 86400 ELSE 259200 END ELSE due END,
+  reopened + (action = 'customer' AND status = 'closed')::BIGINT
+FROM s JOIN a ON a.request_id = s.request_id AND a.i = s.i + 1)
+SELECT request_id, status, priority, answered, resolved, escalated, due, reopened FROM s QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY i DESC) = 1""")
 def misc24(t: Inputs):
-    public = ~F.col("internal") & ~F.col("from_customer")
-    state = F.when(F.col("from_customer"), "reopened").when(F.col("internal"), "in_progress").otherwise("answered")
-    return t.message.groupBy("request_id").agg(F.min(F.when(public, F.col("created_at"))).alias("answered"), F.max_by(state, F.struct("created_at", "id")).alias("state"))
+    m = t.message.withColumn("action", F.expr(_ACTIONS)).withColumn("t", seconds("created_at"))
+    log = m.withColumn("created", F.min("t").over(Window.partitionBy("request_id")) - 86400)
+    return ticket_states(log, "request_id", ["created_at", "id"])
 
 
 @query("misc25_drafts", "SELECT t.id, count(DISTINCT m.id) AS turns FROM ticket t JOIN message m ON m.request_id = t.id WHERE t.status = 'F' AND NOT m.internal AND t.id % 4 <> 0 GROUP BY 1")

@@ -144,12 +144,6 @@ def misc21(t: Inputs):
     return G.first_entry_wins(t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey").distinct(), ["l_orderkey", "l_suppkey"], "l_partkey")
 
 
-@query("misc1_suppressed_notices", "SELECT id FROM (SELECT id, floor(epoch_us(created_at) / 1000000)::BIGINT - lag(floor(epoch_us(created_at) / 1000000)::BIGINT) OVER (PARTITION BY user_id, action ORDER BY created_at, id) AS g FROM activity) WHERE g <= 86400")
-def misc1(t: Inputs):
-    gap = seconds("created_at") - F.lag(seconds("created_at")).over(Window.partitionBy("user_id", "action").orderBy("created_at", "id"))
-    return t.activity.withColumn("g", gap).filter("g <= 86400").select("id")
-
-
 @query("misc16_latest_finished", "SELECT priority, max(id) FILTER (status = 'F') AS finished, max(id) FILTER (status = 'O') AS running FROM ticket GROUP BY priority")
 def misc16(t: Inputs):
     return t.ticket.groupBy("priority").agg(F.max(F.when(F.col("status") == "F", F.col("id"))).alias("finished"), F.max(F.when(F.col("status") == "O", F.col("id"))).alias("running"))

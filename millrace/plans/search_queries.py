@@ -52,21 +52,21 @@ def ret18(t: Inputs):
 
 
 @query("ret19_pinned_override", _VEC + """, h AS (SELECT query_id, vec_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s QUALIFY rank <= 5),
-p AS (SELECT query_id, vec_id AS item FROM s WHERE vl = 2 AND sim >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 5) DESC, vec_id DESC) = 1),
+p AS (SELECT query_id, vec_id AS item FROM s WHERE vl = 2 AND round(sim, 5) >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 5) DESC, vec_id DESC) = 1),
 u AS (SELECT query_id, item, rank FROM h WHERE (query_id, item) NOT IN (SELECT query_id, item FROM p) UNION ALL SELECT query_id, item, 0 FROM p)
 SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, rank = 0 AS pinned FROM u""")
 def ret19(t: Inputs):
     hits = S.nearest(t.embeddings, "vec_id", "embedding", _asked(t), 5, others_only=True).withColumnRenamed("vec_id", "item")
-    many = S.nearest(t.embeddings.filter("label = 2"), "vec_id", "embedding", _asked(t), 20, others_only=True)
-    pins = many.select("query_id", F.col("vec_id").alias("pin_id"), F.col("vec_id").alias("item"), "sim")
+    best = S.best_match(t.embeddings.filter("label = 2"), "vec_id", "embedding", _asked(t), 0.2)
+    pins = best.select("query_id", F.col("vec_id").alias("pin_id"), F.col("vec_id").alias("item"), "sim")
     return H.pinned_first(hits, pins, 0.2)
 
 
 @query("ret20_remembered", _VEC + ", m AS (SELECT query_id, vec_id, round(sim, 5) AS sim FROM s WHERE ql = vl AND vec_id < query_id AND round(sim, 5) >= 0.95) SELECT query_id AS question_id, vec_id AS answered_by, sim FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id DESC) = 1")
 def ret20(t: Inputs):
-    questions = t.embeddings.select(F.col("vec_id").alias("question_id"), F.col("label").alias("scope"))
-    similar = S.nearest(t.embeddings, "vec_id", "embedding", _asked(t), 200, others_only=True).select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("other_id"), "sim")
-    return H.remembered(questions, similar)
+    scoped = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), "label")
+    found = S.best_match(t.embeddings, "vec_id", "embedding", scoped, 0.95, scope="label", earlier_only=True)
+    return found.select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("answered_by"), "sim")
 
 
 @query("ret21_site_search", "WITH r AS (SELECT l_orderkey AS q, l_partkey AS i, l_suppkey % 12 AS car, l_quantity AS sim, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS rank FROM lineitem) SELECT q, i, row_number() OVER (PARTITION BY q ORDER BY rank) AS place FROM r WHERE rank <= 8 AND sim >= 10 AND car < 6 QUALIFY place <= 2")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import monitoring as M
+from ..operators.chains import spaced
 from ..operators.ordered import seconds, top_k
 from ..sources import files
 from ..streaming import stateful as T
@@ -106,11 +107,29 @@ def mon7(t: Inputs):
     return M.alert_states(f, o, "u")
 
 
-@query("mon8_delivered", f"SELECT id FROM (SELECT id, {_S.format('created_at')} - lag({_S.format('created_at')}) OVER (PARTITION BY user_id ORDER BY created_at, id) AS g FROM activity WHERE action = 'error') WHERE g IS NULL OR g > 21600")
+#: The chain of rows that lie a gap after the last one of it, per key: the first row, then each time the first that is late enough.
+_CHAIN = """WITH RECURSIVE e AS (SELECT id, {key} AS key, created_at, floor(epoch_us(created_at) / 1000000)::BIGINT AS t FROM activity WHERE {rows}),
+c AS (SELECT id, key, t FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY t, id) = 1
+  UNION ALL SELECT id, key, t FROM (SELECT e.id, e.key, e.t, row_number() OVER (PARTITION BY e.key ORDER BY e.t, e.id) AS k FROM c JOIN e ON e.key = c.key AND e.t - c.t {gap}) WHERE k = 1)
+"""
+
+
+@query("mon8_delivered", _CHAIN.format(key="user_id", rows="action = 'error'", gap=">= 21600") + "SELECT id FROM c")
 def mon8(t: Inputs):
     return M.delivered(t.activity.filter("action = 'error'"), "user_id", "created_at", "id", 21600).select("id")
 
 
+@query("misc1_suppressed_notices", _CHAIN.format(key="user_id || action", rows="true", gap="> 86400") + "SELECT id FROM activity WHERE id NOT IN (SELECT id FROM c)")
+def misc1(t: Inputs):
+    sent = spaced(t.activity, ["user_id", "action"], seconds("created_at"), "id", 86400)
+    return t.activity.join(sent, "id", "left_anti").select("id")
+
+
+@query("jn18_recorded_searches", _CHAIN.format(key="user_id || app_url", rows="true", gap="> 60") + "SELECT id FROM c")
+def jn18(t: Inputs):
+    return spaced(t.activity, ["user_id", "app_url"], seconds("created_at"), "id", 60)
+
+
 @query("mon10_newest_kept", "SELECT id FROM activity ORDER BY id DESC LIMIT 20000")
 def mon10(t: Inputs):
     return M.newest_kept(t.activity, "id", 20_000).select("id")

@@ -175,7 +175,7 @@ def evl11(t: Inputs):
 
 @query("evl13_weight_grid", """WITH s AS (SELECT l_orderkey % 2 AS fold, l_orderkey AS query_id, l_linenumber AS item, l_discount AS a, l_tax AS b, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS target FROM lineitem),
 w AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS w), b AS (SELECT fold, query_id, w, arg_max(target, (w * a + (1 - w) * b, item, target)) AS t FROM s, w GROUP BY 1, 2, 3), m AS (SELECT fold, w, round(avg(t), 6) AS mean FROM b GROUP BY 1, 2)
-SELECT fold, w::DOUBLE AS w, mean FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mean DESC, w) = 1""")
+SELECT m.fold, m.w::DOUBLE AS w, m.mean FROM (SELECT 1 - fold AS fold, w FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mean DESC, w) = 1) c JOIN m ON m.fold = c.fold AND m.w = c.w""")
 def evl13(t: Inputs):
     s = t.lineitem.select((F.col("l_orderkey") % 2).alias("fold"), F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("item"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("target"))
     return E.weight_grid(s, "a", "b", "target", "fold", [0.0, 0.25, 0.5, 0.75, 1.0])
