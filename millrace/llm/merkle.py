@@ -231,7 +231,8 @@ def group_leaves(docs: DataFrame, columns: Sequence[str], group_col: str, id_col
     # Equal rows need a difference, or a much repeated one would be one range.
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "leaves")
     placed = numbered(rows, ["grp", "id", "digest", "row"], "place")
-    spans = placed.groupBy("grp").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    # Written, so that the join knows its size and rows of a large group need not meet by key.
+    spans = staged(placed.groupBy("grp").agg(F.min("place").alias("first"), F.count("*").alias("n")), "spans")
     return placed.join(spans, "grp").select("grp", (F.col("place") - F.col("first")).alias("idx"), "n", "digest", "id", "claimed")
 
 
