@@ -29,6 +29,10 @@ from .components import connected_components
 _FAN = 16
 #: Vectors of the last intervals.
 _LEAF = 512
+#: Blocks that a length is cut into, if they are neither larger than allowed nor smaller than _SMALLEST.
+_BLOCKS, _SMALLEST = 8, 64
+#: Lengths whose principal axes are fitted.
+_FITTED = 8
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,14 +56,22 @@ def _unit(raws: list[bytes], dim: int, kind: str = "<f8") -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _celled(axes: np.ndarray, eps: float, cells: int, kind: str):
+def _axes_of(axes: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    return axes.get(dim, np.eye(dim))
+
+
+def _celled(axes: dict[int, np.ndarray], eps: float, cells: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim = len(axes)
         for batch in batches:
-            if batch.num_rows:
-                turned = _unit(rows_of(batch, "raw"), dim) @ axes
-                cell = np.floor(turned[:, :cells] / eps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rep")), batch.column(batch.schema.get_field_index("n")), pa.array(list(cell), pa.list_(pa.int32())), pa.array([np.frombuffer(r, np.float64).astype(kind).tobytes() for r in rows_of(batch, "raw")], pa.binary())], ["rep", "n", "cell", "raw"])
+            raws, dims = rows_of(batch, "raw"), batch.column(batch.schema.get_field_index("dim")).to_numpy()
+            cell: list = [None] * len(raws)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim).tolist()
+                turned = _unit([raws[i] for i in at], dim) @ _axes_of(axes, dim)
+                for i, c in zip(at, np.floor(turned[:, :cells] / eps).astype(np.int32)):
+                    cell[i] = c
+            rest = [batch.column(batch.schema.get_field_index(c)) for c in ("dim", "rep", "n")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(cell, pa.list_(pa.int32())), pa.array([np.frombuffer(r, np.float64).astype(kind).tobytes() for r in raws], pa.binary())], ["dim", "rep", "n", "cell", "raw"])
 
     return run
 
@@ -70,11 +82,14 @@ def _folded(turned: np.ndarray, lead: int) -> np.ndarray:
     return np.concatenate([turned[:, :lead], np.sqrt((rest * rest).sum(1, keepdims=True))], 1)
 
 
-def _blocked(axes: np.ndarray, cells: int, kind: str):
+def _blocked(axes: dict[int, np.ndarray], cells: int, kind: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
-        m = _folded(_unit(pdf["raw"].tolist(), len(axes), kind) @ axes, cells)
-        return pd.DataFrame({"block": [key[0]], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "counts": [pdf["n"].to_numpy(np.int64).tobytes()], "vectors": [b"".join(pdf["raw"])], "lo": [m.min(0)], "hi": [m.max(0)]})
+        dim = int(pdf["dim"].iloc[0])
+        m = _folded(_unit(pdf["raw"].tolist(), dim, kind) @ _axes_of(axes, dim), cells)
+        # Vectors of another length are out of reach by the first coordinate; all boxes have as many.
+        m = np.concatenate([np.full((len(m), 1), 1000.0 * dim), m, np.zeros((len(m), cells + 1 - m.shape[1]))], 1)
+        return pd.DataFrame({"block": [key[0]], "dim": [dim], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "counts": [pdf["n"].to_numpy(np.int64).tobytes()], "vectors": [b"".join(pdf["raw"])], "lo": [m.min(0)], "hi": [m.max(0)]})
 
     return run
 
@@ -136,13 +151,11 @@ def _linked(x: np.ndarray, y: np.ndarray, folded_x: np.ndarray, folded_y: np.nda
     return near
 
 
-def _compared(axes: np.ndarray, cells: int, kind: str, cosine: float, eps: float, leaf: int):
-    lead = -(-len(axes) // 2)
-
+def _compared(axes: dict[int, np.ndarray], cells: int, kind: str, cosine: float, eps: float, leaf: int):
     def matrix(row) -> tuple[np.ndarray, ...]:
-        unit = _unit([row.vectors], len(axes), kind)
-        turned = unit @ axes
-        return np.frombuffer(row.ids, np.int64), np.frombuffer(row.counts, np.int64), unit, _folded(turned, lead), _folded(turned, cells)
+        unit = _unit([row.vectors], row.dim, kind)
+        turned = unit @ _axes_of(axes, row.dim)
+        return np.frombuffer(row.ids, np.int64), np.frombuffer(row.counts, np.int64), unit, _folded(turned, -(-row.dim // 2)), _folded(turned, cells)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [matrix(r) for r in pdf.sort_values("side").itertuples()]
@@ -175,17 +188,6 @@ def _compared(axes: np.ndarray, cells: int, kind: str, cosine: float, eps: float
     return run
 
 
-def _compared_alone(kind: str, cosine: float):
-    """All pairs of a few vectors of one length."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(pdf["raw"].tolist(), key[0], kind)
-        row = pd.DataFrame({"side": [0], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "counts": [pdf["n"].to_numpy(np.int64).tobytes()], "vectors": [b"".join(pdf["raw"])]})
-        return _compared(np.eye(x.shape[1]), min(8, x.shape[1]), kind, cosine, float(np.sqrt(2 - 2 * cosine)), _LEAF)(row)
-
-    return run
-
-
 def _close_pairs(boxes: DataFrame, n_blocks: int, eps: float) -> DataFrame:
     """Pairs (a <= b) of blocks whose boxes are at most eps apart, found from the top of the interval tree down."""
     least = lambda x, y: F.zip_with(x, y, lambda p, q: F.least(p, q))
@@ -207,26 +209,43 @@ def _close_pairs(boxes: DataFrame, n_blocks: int, eps: float) -> DataFrame:
     return pairs
 
 
-def _joined(classes: DataFrame, dim: int, usable: int, kind: str, cosine: float, block_vectors: int, leaf: int, cells: int, axes_sample: int) -> DataFrame:
-    """Links (kind 1: a, b) and numbers of linked vectors (kind 0: a, b) among classes (rep, n, raw) of one length."""
-    rate = min(1.0, axes_sample / usable)
-    sample = classes.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("raw").toArrow()
-    x = _unit(sample.column("raw").to_pylist(), dim) if sample.num_rows else np.eye(dim)
-    axes = np.linalg.eigh(np.cov(x, rowvar=False, bias=True).reshape(dim, dim))[1][:, ::-1].copy()
-    eps, cells = float(np.sqrt(2 - 2 * cosine)), min(cells, dim)
+def _fitted_axes(classes: DataFrame, lengths: DataFrame, sample: int) -> dict[int, np.ndarray]:
+    """Principal axes of the most frequent lengths, each on about `sample` vectors; other lengths keep their own axes."""
+    axes = {}
+    for r in lengths.orderBy(F.desc("count"), "dim").limit(_FITTED).collect():
+        rate = min(1.0, sample / r["count"])
+        few = classes.filter((F.col("dim") == r["dim"]) & (F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)).select("raw").toArrow()
+        if few.num_rows > 1:
+            x = _unit(few.column("raw").to_pylist(), r["dim"])
+            axes[r["dim"]] = np.linalg.eigh(np.cov(x, rowvar=False, bias=True).reshape(r["dim"], r["dim"]))[1][:, ::-1].copy()
+    return axes
+
 
-    celled = classes.select("rep", "n", "raw").mapInArrow(_celled(axes, eps, cells, kind), "rep long, n long, cell array<int>, raw binary")
+def grid_blocks(classes: DataFrame, lengths: DataFrame, axes: dict[int, np.ndarray], kind: str, eps: float, block_vectors: int, cells: int) -> DataFrame:
+    """The sequence of all vectors by length and grid cell, in blocks of one length each: block (from 0), dim, ids, counts, vectors, and its box."""
+    celled = classes.select("dim", "rep", "n", "raw").mapInArrow(_celled(axes, eps, cells, kind), "dim int, rep long, n long, cell array<int>, raw binary")
     # Ranks in the grid order: place in a range of the sorted sequence plus the sizes of the ranges before.
-    parts = max(1, -(-usable // 20_000))
-    ordered = celled.repartitionByRange(parts, "cell", "rep").sortWithinPartitions("cell", "rep").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    order = ["dim", "cell", "rep"]
+    total = lengths.agg(F.sum("count")).first()[0] or 0
+    ordered = celled.repartitionByRange(max(1, -(-total // 20_000)), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     ordered = staged(ordered, "ordered")
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("size")).select("part", before.alias("before"))
-    ranked = ordered.join(sizes, "part").withColumn("rank", F.col("before") + F.col("at")).withColumn("block", F.floor(F.col("rank") / block_vectors))
-    blocks = staged(ranked.select("block", "rank", "rep", "n", "raw").groupBy("block").applyInPandas(_blocked(axes, cells, kind), "block long, ids binary, counts binary, vectors binary, lo array<double>, hi array<double>"), "blocks")
+    before = lambda c, by: F.coalesce(F.sum(c).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("size")).select("part", before("size", "part").alias("before"))
+    width = F.greatest(F.lit(min(_SMALLEST, block_vectors)), F.least(F.lit(block_vectors), F.ceil(F.col("count") / _BLOCKS)))
+    spans = lengths.withColumn("width", width).withColumn("blocks", F.ceil(F.col("count") / F.col("width")))
+    spans = staged(spans.select("dim", "width", before("count", "dim").alias("first"), before("blocks", "dim").alias("first_block")), "spans")
+    ranked = ordered.join(sizes, "part").withColumn("rank", F.col("before") + F.col("at")).join(spans, "dim")
+    block = F.col("first_block") + F.floor((F.col("rank") - F.col("first")) / F.col("width"))
+    rows = ranked.select(block.alias("block"), "dim", "rank", "rep", "n", "raw")
+    return staged(rows.groupBy("block").applyInPandas(_blocked(axes, cells, kind), "block long, dim int, ids binary, counts binary, vectors binary, lo array<double>, hi array<double>"), "blocks")
+
+
+def _joined(blocks: DataFrame, axes: dict[int, np.ndarray], kind: str, cosine: float, leaf: int, cells: int) -> DataFrame:
+    """Links (kind 1: a, b) and numbers of linked vectors (kind 0: a, b) among the vectors of all blocks."""
+    eps = float(np.sqrt(2 - 2 * cosine))
     pairs = staged(_close_pairs(blocks.select("block", "lo", "hi"), blocks.count(), eps), "block-pairs")
     sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(pairs.filter("a <> b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("block")))
-    tiles = sides.join(blocks.select("block", "ids", "counts", "vectors"), "block").select("a", "b", "side", "ids", "counts", "vectors")
+    tiles = sides.join(blocks.select("block", "dim", "ids", "counts", "vectors"), "block").select("a", "b", "side", "dim", "ids", "counts", "vectors")
     return staged(tiles.groupBy("a", "b").applyInPandas(_compared(axes, cells, kind, cosine, eps, leaf), "kind int, a long, b long"), "found")
 
 
@@ -238,19 +257,17 @@ def ego_join_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     empty and zero vectors, those with null or non-finite components, and rows without an id link with nothing (component_id
     is then the own id; kept is null for a null id). Other columns are ignored. An empty table gives an empty result.
 
-    The principal axes are fitted on about `axes_sample` vectors; they decide how much is skipped, never what is found.
-    Lengths of at most block_vectors different vectors each are compared together, one task a length.
+    The principal axes are fitted on about `axes_sample` vectors for each of the eight most frequent lengths; they decide how
+    much is skipped, never what is found. All lengths are one sequence, and tables of every size go the same way: a length
+    is cut into eight blocks, or more if these would hold more than block_vectors.
     """
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"  # what is moved around keeps the input's precision
     rows = staged(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).mapInArrow(_parsed, "vec_id long, digest binary, raw binary, dim int"), "vectors")
     classes = staged(rows.filter("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw"), F.first("dim").alias("dim")), "classes")
     lengths = staged(classes.groupBy("dim").count(), "lengths")
-    frequent = {r["dim"]: r["count"] for r in lengths.filter(F.col("count") > block_vectors).collect()}
-    few = classes.join(lengths.filter(F.col("count") <= block_vectors).select("dim"), "dim")
-    found = few.select("dim", "rep", "n", "raw").groupBy("dim").applyInPandas(_compared_alone("<f8", cosine), "kind int, a long, b long")
-    for dim, usable in frequent.items():
-        found = found.unionByName(_joined(classes.filter(F.col("dim") == dim), dim, usable, kind, cosine, block_vectors, leaf, cells, axes_sample))
-    found = staged(found, "links")
+    axes = _fitted_axes(classes, lengths, axes_sample)
+    blocks = grid_blocks(classes, lengths, axes, kind, float(np.sqrt(2 - 2 * cosine)), block_vectors, cells)
+    found = _joined(blocks, axes, kind, cosine, leaf, cells)
 
     roots = connected_components(found.filter("kind = 1").select("a", "b"))
     linked = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))

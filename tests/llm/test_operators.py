@@ -467,6 +467,28 @@ def test_ego_join_by_force(spark):
     assert alone == got
 
 
+def test_ego_join_orders_tables_of_every_size_by_grid(spark):
+    for folder, many in ((SMALL, 500), ("/root/testdata/sf0.1", 2000)):
+        v = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        classes = v.mapInArrow(ego_join._parsed, "vec_id long, digest binary, raw binary, dim int").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw"), F.first("dim").alias("dim"))
+        lengths = classes.groupBy("dim").count()
+        eps = float(np.sqrt(0.2))
+        axes = ego_join._fitted_axes(classes, lengths, 1000)
+        blocks = ego_join.grid_blocks(classes, lengths, axes, "<f8", eps, 16_384, 8).orderBy("block").collect()
+        assert [b.block for b in blocks] == list(range(8)) and axes.keys() == {64}
+        assert sum(len(b.ids) // 8 for b in blocks) == classes.count() <= many
+        cells = [tuple(c) for b in blocks for c in np.floor(ego_join._unit([b.vectors], 64) @ axes[64] / eps)[:, :8].tolist()]
+        assert cells == sorted(cells)
+
+
+def test_ego_join_of_many_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(1 + i % 40).tolist()) for i in range(600)]
+    got = {r.vec_id: r.n_links for r in ego_join.ego_join_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    assert got == {i: sum(j != i and len(unit[j]) == len(unit[i]) and unit[j] @ unit[i] >= 0.9 for j in range(600)) for i in range(600)}
+
+
 def test_leaf_pairs_skip_only_what_is_apart():
     rng = np.random.default_rng(3)
     x = np.sort(rng.uniform(0, 10, (300, 1)), 0) + rng.uniform(0, 0.1, (300, 3)) * [[0, 1, 1]]
