@@ -131,22 +131,47 @@ def fragments_of(words: list[int], boundaries: list[int], low: int, high: int) -
         yield q, a, b
 
 
+_TILED = "doc_id long, text_key long, low int, high int, base long, words binary, boundaries binary, text string"
+
+
 def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "text_key", "low", "high", "base", "words", "boundaries"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    """The tiles of each text, and beside them the text itself, if it has any."""
+    names = ["doc_id", "text_key", "low", "high", "base", "words", "boundaries", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+    give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
     for batch in batches:
         ids, keys = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key"))
         for a, _, texts in text_blocks(batch):
             codes, owner, _, _ = word_hashes(texts)
-            out, size = [], 0
+            out, size, met = [], 0, set()
             for d, low, high, base, words, at in tiles_of(codes, owner):
-                out.append((ids[a + d].as_py(), keys[a + d].as_py(), low, high, base, words.tobytes(), at.astype(np.int32).tobytes()))
+                key = ids[a + d].as_py(), keys[a + d].as_py()
+                if d not in met:
+                    met.add(d)
+                    out.append((*key, None, None, None, None, None, texts[d].decode()))
+                    size += len(texts[d])
+                out.append((*key, low, high, base, words.tobytes(), at.astype(np.int32).tobytes(), None))
                 size += words.nbytes
                 if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                    yield give(out)
                     out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                yield give(out)
+    give_back_memory()
+
+
+def _without_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts that have no tile, with single spaces: they have no run."""
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index("doc_id"))
+        for a, b, texts in text_blocks(batch):
+            codes, owner, _, _ = word_hashes(texts)
+            rest = np.ones(b - a, bool)
+            rest[[d for d, *_ in tiles_of(codes, owner)]] = False
+            at = np.flatnonzero(rest)
+            whole = pa.array([b" ".join(texts[i].split()) for i in at.tolist()], pa.binary()).cast(pa.string())
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], _RUN))
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(at)), none, whole], ["doc_id", "runs", "collapsed"])
     give_back_memory()
 
 
@@ -185,6 +210,7 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back_memory()
 
 
+_RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 _RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
 
 
@@ -198,16 +224,20 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one text meet in one task, sorted, not gathered.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    tiles = rows.mapInArrow(_tiled, "doc_id long, text_key long, low int, high int, base long, words binary, boundaries binary")
-    # Spread by place in the stage before, as equal rows would meet in one task by their columns.
-    spread = tiles.withColumn("spread", F.monotonically_increasing_id())
-    fragments = spread.repartition("spread").mapInArrow(_solved, "doc_id long, text_key long, period long, first long, stop long").distinct()
+    tiled = staged(rows.mapInArrow(_tiled, _TILED), "tiles")
+    # Dealt by place in the table, as equal rows would meet in one task by their columns; a million words a task.
+    tiles = tiled.filter("text is null").drop("text").withColumn("spread", F.monotonically_increasing_id())
+    tasks = max(1, min(100_000, (tiles.agg(F.sum(F.length("words"))).first()[0] or 0) >> 22))
+    fragments = tiles.repartition(tasks, "spread").mapInArrow(_solved, "doc_id long, text_key long, period long, first long, stop long").distinct()
     keys = ["doc_id", "text_key"]
     length = F.col("stop") - F.col("first") + F.col("period")
     long_enough = stitched(fragments, [*keys, "period"]).withColumn("length", length).filter(F.col("length") >= F.greatest(F.lit(SHORTEST), REPEATS * F.col("period")))
     found = long_enough.groupBy(*keys, F.col("first").alias("start"), "length").agg(F.min("period").alias("period"))
     of_text = staged(found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "length", "period"))).alias("runs")), "runs")
     met = of_text.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "runs")
-    joined = rows.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
+    # Only texts with tiles are joined with their runs; the others are done where they are read.
+    asked = tiled.filter("text is not null").select("doc_id", "text_key", "text")
+    joined = asked.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
     done = joined.select("doc_id", "runs", "text").mapInArrow(_collapsed, f"doc_id long, runs {_RUNS}, collapsed string")
-    return done.withColumn("runs", F.coalesce("runs", F.expr(f"cast(array() as {_RUNS})")))
+    done = done.withColumn("runs", F.coalesce("runs", F.expr(f"cast(array() as {_RUNS})")))
+    return done.unionByName(rows.select("doc_id", "text").mapInArrow(_without_tiles, f"doc_id long, runs {_RUNS}, collapsed string"))
