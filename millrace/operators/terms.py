@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.phrases import BROADCAST_BYTES, found_phrases
+
 
 def phrases_in_texts(texts: DataFrame, doc: str, text: str, phrases: DataFrame, phrase: str, cap: int) -> DataFrame:
     """Phrases that stand in a text as whole words: doc, phrase, place; the longest first, at most cap.
 
-    A phrase meets texts by its rarest word only, then is looked for as a whole; words are parted by single spaces.
+    Words are parted by single spaces; phrases with other blanks do not occur. Phrases up to a stated size go over the texts as one automaton; of more phrases each
+    meets texts by its rarest word only, then is looked for as a whole.
     """
+    place = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc(F.length(phrase)), phrase))
+    size = phrases.agg(F.coalesce(F.sum(F.length(phrase) + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        few = [r[0] for r in phrases.select(phrase).filter(~F.col(phrase).rlike("^ |  | $|^$")).distinct().collect()]
+        found = found_phrases(texts, doc, text, few).withColumnRenamed("phrase", phrase)
+        return found.withColumn("place", place).filter(F.col("place") <= cap)
+    phrases = phrases.filter(~F.col(phrase).rlike("^ |  | $|^$"))
     words = texts.select(doc, F.explode(F.array_distinct(F.split(text, " "))).alias("_word"))
     wanted = phrases.select(phrase, F.explode(F.array_distinct(F.split(phrase, " "))).alias("_word"))
     counts = words.join(wanted.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
     rarest = wanted.join(counts, "_word").groupBy(phrase).agg(F.min(F.struct("_n", "_word")).alias("_r")).select(phrase, F.col("_r._word").alias("_word"))
     met = words.join(rarest, "_word").join(texts.select(doc, F.concat(F.lit(" "), text, F.lit(" ")).alias("_text")), doc)
     found = met.filter(F.contains("_text", F.concat(F.lit(" "), phrase, F.lit(" ")))).select(doc, phrase).distinct()
-    place = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc(F.length(phrase)), phrase))
     return found.withColumn("place", place).filter(F.col("place") <= cap)
 
 

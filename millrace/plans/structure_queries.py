@@ -68,14 +68,17 @@ def gr14(t: Inputs):
     return H.neighbour_votes(t.edges, t.blobs.filter("size = 7").select(F.col("blob_id").alias("id")), 6, 20)
 
 
-_BM = """WITH tok AS (SELECT blob_id, f, unnest(string_split(trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) AS term FROM (SELECT blob_id, 'title' AS f, title AS x FROM blobs UNION ALL SELECT blob_id, 'comp', component FROM blobs)),
+BM25_TABLES = """WITH tok AS (SELECT blob_id, f, unnest(string_split(trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) AS term FROM (SELECT blob_id, 'title' AS f, title AS x FROM blobs UNION ALL SELECT blob_id, 'comp', component FROM blobs)),
 tf AS (SELECT blob_id, term, count(*) FILTER (f = 'title') AS a, count(*) FILTER (f = 'comp') AS b FROM tok WHERE term <> '' GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), dl AS (SELECT blob_id, sum(a + b) AS dl FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 q AS (SELECT DISTINCT query_id, unnest(string_split(trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) AS term FROM (SELECT p_partkey AS query_id, p_name || ' ' || p_type AS x FROM part WHERE p_partkey % 100 = 0))
 """
 
 
-@query("ret4_bm25", _BM + "SELECT query_id, blob_id, round(-sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * (4 * a + 12 * b) * 2.2 / ((4 * a + 12 * b) + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (blob_id), st GROUP BY 1, 2")
+BM25_SQL = "SELECT query_id, blob_id, round(-sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * (4 * a + 12 * b) * 2.2 / ((4 * a + 12 * b) + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (blob_id), st GROUP BY 1, 2"
+
+
+@query("ret4_bm25", BM25_TABLES + BM25_SQL)
 def ret4(t: Inputs):
     queries = t.part.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
     return S.bm25_search(t.blobs, "blob_id", {"title": "title", "comp": "component"}, {"title": 4, "comp": 12}, queries)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..functions import text as X
+from ..functions.phrases import replaced
 from .inputs import Inputs
 from .registry import query
 
@@ -128,3 +129,21 @@ def scl1(t: Inputs):
 @query("scl10_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def scl10(t: Inputs):
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+_DICTIONARY = "SELECT lower(p_type) AS phrase, 'T' || count(*) AS r FROM part WHERE p_size % 2 = 0 GROUP BY 1 UNION SELECT lower(split_part(p_type, ' ', 1) || '-' || split_part(p_type, ' ', 2)), 'U' || count(*) FROM part GROUP BY 1 UNION SELECT lower(split_part(p_type, ' ', 1)), 'V' || count(*) FROM part GROUP BY 1"
+
+
+@query("txt23_longest_phrases", f"""WITH RECURSIVE d AS (SELECT replace(phrase, '-', ' ') AS phrase, min(r) AS r FROM ({_DICTIONARY}) WHERE trim(phrase) NOT IN ('', '-') GROUP BY 1),
+x AS (SELECT p_partkey AS id, string_split(p_type || ' ' || p_name || ' ' || p_type, ' ') AS w FROM part),
+m AS (SELECT x.id, i, k, d.r FROM x, unnest(range(1, len(w) + 1)) a(i), (VALUES (1), (2), (3)) b(k) JOIN d ON d.phrase = lower(array_to_string(w[i:i + k - 1], ' ')) AND i + k - 1 <= len(w)),
+b AS (SELECT id, i, max(k) AS k, arg_max(r, k) AS r FROM m GROUP BY 1, 2),
+s AS (SELECT id, 1::BIGINT AS i, []::VARCHAR[] AS out FROM x UNION ALL SELECT s.id, s.i + coalesce(b.k, 1), list_append(s.out, coalesce(b.r, x.w[s.i])) FROM s JOIN x ON x.id = s.id AND s.i <= len(x.w) LEFT JOIN b ON b.id = s.id AND b.i = s.i)
+SELECT id, array_to_string(arg_max(out, i), ' ') AS text FROM s GROUP BY id""")
+def txt23(t: Inputs):
+    words = F.split(F.lower("p_type"), " ")
+    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+    counted = lambda rows, phrase, letter: rows.groupBy(phrase.alias("phrase")).agg(F.concat(F.lit(letter), F.count("*")).alias("r"))
+    terms = counted(t.part.filter("p_size % 2 = 0"), F.lower("p_type"), "T").unionByName(counted(t.part, F.concat_ws("-", word(0), word(1)), "U")).unionByName(counted(t.part, word(0), "V"))
+    texts = t.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name", "p_type").alias("t"))
+    return replaced(texts, "t", terms, "phrase", "r", "text").select("id", "text")
