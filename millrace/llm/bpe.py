@@ -3,16 +3,17 @@
 A text is cut into pre-tokens by a pattern. A pre-token that is no token itself is merged: its parts are a linked list, and
 each pair of neighbours that makes a token waits in the bucket of that token's rank. A bitmap of the buckets in use, with
 bitmaps of its words above it, gives the lowest rank by find-first-set; within a bucket the leftmost pair is next. Pairs
-whose parts have merged meanwhile stay in their buckets and are skipped when met. So a pre-token of n bytes takes n steps
-of a fixed cost each, besides the heaps of its buckets.
+whose parts have merged meanwhile stay in their buckets and are skipped when met. Pre-tokens do not touch one another, so
+all new ones of a block go through one queue, and a bucket's pairs are merged from left to right until a lower rank comes
+up. A pre-token of n bytes takes n steps of a fixed cost each, besides sorting within buckets.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,16 @@ from pyspark.sql import functions as F
 
 from .common import give_back_memory, text_blocks
 
-_BITS = 64
+#: Bits of a bitmap's word: 2 to the power of _SHIFT; the highest bitmap is one number of as many bits as there are words.
+_SHIFT = 8
+_BIT = [1 << k for k in range(1 << _SHIFT)]
 #: White space between pre-tokens: Python's own class has four control characters more than Unicode's property.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-#: Distinct stretches of text that a task remembers, in bytes of text.
-_REMEMBERED = 1 << 23
+#: Distinct stretches of text, and pre-tokens, that a task remembers before a new generation begins.
+_REMEMBERED = 1 << 18
+#: Stretches whose new pre-tokens share a queue.
+_AT_ONCE = 1 << 15
+_BORDER = -2
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,113 +41,142 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
 
 
-class RankQueue:
-    """Positions in buckets by rank; pop gives the lowest rank's leftmost."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        # levels[0] has a bit a rank, each next level a bit a word of the level below, the last one word.
-        self.levels = [[0] * (ranks // _BITS + 1)]
-        while len(self.levels[-1]) > 1:
-            self.levels.append([0] * (-(-len(self.levels[-1]) // _BITS)))
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for words in self.levels:
-            at, bit = divmod(rank, _BITS)
-            before = words[at]
-            words[at] = before | 1 << bit
-            if before:
-                return
-            rank = at
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.buckets:
-            return None
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            at = at * _BITS + (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for words in self.levels:
-                place, bit = divmod(rank, _BITS)
-                words[place] ^= 1 << bit
-                if words[place]:
-                    break
-                rank = place
-        return at, position
-
-
 class BytePairs:
-    """An encoder and decoder of one vocabulary; ids are the ranks."""
+    """An encoder of one vocabulary; ids are the ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.known: dict[str, np.ndarray] = {}
-        self.held = 0
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks, whole = self.ranks, self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n, queue = len(piece), self.queue
-        after, before = list(range(1, n + 2)), list(range(-1, n))  # after[i]: where the part at i ends and the next one starts
-        waits = [-1] * (n + 1)  # the rank under which the pair at i waits; another one met in the queue is stale
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                waits[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
-            if waits[i] != rank:
-                continue
-            j = after[i]
-            k = after[j]
-            waits[j] = -1
-            after[i] = k
-            if k <= n:
-                before[k] = i
-            left = before[i]
-            for at, end in ((i, after[k] if k < n else 0), (left, k)):
-                if at < 0:
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.double = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        # A bit for each bucket in use; merged() has a bitmap of the words that are not 0 above it.
+        self.low = [0] * ((max(ranks.values(), default=0) >> _SHIFT) + 1)
+        # Ids of stretches and of pre-tokens, in two generations: a full one becomes the old one, what is in use moves up.
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_pieces: dict[bytes, bytes] = {}
+
+    def merged(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens, one queue for all of them: their parts are one list with borders that no pair goes over."""
+        get, low, bits, mask = self.ranks.get, self.low, _BIT, (1 << _SHIFT) - 1
+        data = b"\0" + b"\0".join(pieces) + b"\0"
+        borders = np.cumsum([0, *(len(p) + 1 for p in pieces)])
+        # after[i] and before[i]: where the parts next to the one at i begin; tokens[i]: its id, or the border's mark.
+        tokens = [self.single[b] for b in data]
+        for i in borders.tolist():
+            tokens[i] = _BORDER
+        if -1 in tokens:
+            raise ValueError("the vocabulary lacks a byte")
+        after, before = list(range(1, len(data) + 1)), list(range(-1, len(data) - 1))
+        letters = np.frombuffer(data, np.uint8).astype(np.int64)
+        first = self.double[letters[:-1] << 8 | letters[1:]]
+        first[borders[:-1]] = first[borders[1:] - 1] = -1
+        waits = [*first.tolist(), -1]  # the rank under which the pair at i waits; another one met in the queue is stale
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        cuts = np.flatnonzero(np.diff(first[order], prepend=-1))
+        places, top = order.tolist(), 0
+        buckets: dict[int, list[int]] = {}
+        for rank, a, b in zip(first[order[cuts]].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(places)]):
+            buckets[rank] = places[a:b]
+            low[rank >> _SHIFT] |= bits[rank & mask]
+            top |= 1 << (rank >> _SHIFT)
+        while top:
+            # Find-first-set, twice.
+            w = (top & -top).bit_length() - 1
+            word = low[w]
+            rank = (w << _SHIFT) + (word & -word).bit_length() - 1
+            low[w] = word = word & (word - 1)
+            if not word:
+                top &= top - 1
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            for n, i in enumerate(bucket):
+                if waits[i] != rank:
                     continue
-                found = ranks.get(piece[at:end], -1) if end else -1
-                waits[at] = found
-                if found >= 0:
-                    queue.push(found, at)
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+                j = after[i]
+                after[i] = k = after[j]
+                before[k] = i
+                tokens[i] = rank
+                waits[j] = waits[i] = -1
+                left = before[i]
+                new = [(i, data[i : after[k]])] if tokens[k] != _BORDER else []
+                if tokens[left] != _BORDER:
+                    waits[left] = -1
+                    new.append((left, data[left:k]))
+                least = rank
+                for at, pair in new:
+                    found = get(pair)
+                    if found is None:
+                        continue
+                    waits[at] = found
+                    if found in buckets:
+                        buckets[found].append(at)
+                    else:
+                        buckets[found] = [at]
+                        w = found >> _SHIFT
+                        word = low[w]
+                        low[w] = word | bits[found & mask]
+                        if not word:
+                            top |= 1 << w
+                    if found < least:
+                        least = found
+                if least < rank and n + 1 < len(bucket):
+                    # A lower rank has come up: the rest of this bucket waits.
+                    buckets[rank] = bucket[n + 1 :]
+                    low[rank >> _SHIFT] |= bits[rank & mask]
+                    top |= 1 << (rank >> _SHIFT)
+                    break
+        out, ids, i = [], [], 1
+        while i < len(data):
+            if tokens[i] == _BORDER:
+                out.append(ids)
+                ids = []
+            else:
+                ids.append(tokens[i])
             i = after[i]
-        return ids
-
-    def ids_of(self, chunk: str) -> np.ndarray:
-        """Ids of a stretch that ends before white space, or at a text's end."""
-        found = self.known.get(chunk)
-        if found is None:
-            found = np.array([t for piece in self.pattern.findall(chunk) for t in self.merged(piece.encode())], np.int32)
-            self.held += 64 + len(chunk)
-            if self.held > _REMEMBERED:
-                self.known.clear()
-                self.held = 64 + len(chunk)
-            self.known[chunk] = found
-        return found
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of stretches that are not known."""
+        get, pieces, old = self.ranks.get, self.pieces, self.old_pieces
+        cut = [[p.encode() for p in self.pattern.findall(c)] for c in chunks]
+        new = []
+        for p in {p for ps in cut for p in ps}.difference(pieces):
+            found = old.get(p)
+            if found is None:
+                whole = get(p)
+                if whole is None:
+                    new.append(p)
+                    continue
+                found = array("i", (whole,)).tobytes()
+            pieces[p] = found
+        for p, ids in zip(new, self.merged(new) if new else ()):
+            pieces[p] = array("i", ids).tobytes()
+        for c, ps in zip(chunks, cut):
+            self.chunks[c] = b"".join([pieces[p] for p in ps])
+        if len(pieces) > _REMEMBERED:
+            self.pieces, self.old_pieces = {}, pieces
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts."""
+        if len(self.chunks) > _REMEMBERED:
+            self.chunks, self.old_chunks = {}, self.chunks
+        # White space after other characters always starts a pre-token.
+        parts = [_CHUNK.findall(t) for t in texts]
+        chunks, missing = self.chunks, []
+        for c in set().union(*parts).difference(chunks):
+            found = self.old_chunks.get(c)
+            if found is None:
+                missing.append(c)
+            else:
+                chunks[c] = found
+        for a in range(0, len(missing), _AT_ONCE):
+            self._learn(missing[a : a + _AT_ONCE])
+        return [np.frombuffer(b"".join(map(chunks.__getitem__, p)), np.int32) for p in parts]
 
     def encode(self, text: str) -> np.ndarray:
-        # White space after other characters always starts a pre-token.
-        parts = [self.ids_of(c) for c in _CHUNK.findall(text)]
-        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+        return self.encode_all([text])[0]
 
 
 def token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +201,7 @@ def _encoded(ranks_path: str, pattern: str):
         coder = BytePairs(read_ranks(ranks_path), pattern)
         for batch in batches:
             for a, b, texts in text_blocks(batch):
-                found = [coder.encode(t.decode()) for t in texts]
+                found = coder.encode_all([t.decode() for t in texts])
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], ["doc_id", "ids"])

@@ -43,7 +43,7 @@ def test_long_pre_tokens(coder):
 
 
 def test_ranks_in_any_order():
-    # A merge may make a pair of a lower rank than its own, and ties go from the left.
+    # A merge may make a pair of a lower rank than its own, ties go from the left, and pre-tokens do not disturb one another.
     def plain(piece, ranks):
         parts = [bytes([b]) for b in piece]
         while True:
@@ -55,23 +55,23 @@ def test_ranks_in_any_order():
 
     rng = random.Random(3)
     for _ in range(200):
-        words = {bytes([c]) for c in b"abc"} | {bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(rng.randint(1, 20))}
-        order = rng.sample(range(5000), len(words))
+        words = {bytes([c]) for c in b"\0abc"} | {bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(rng.randint(1, 20))}
+        order = rng.sample(range(500_000), len(words))
         ranks = dict(zip(sorted(words), order))
         coder = bpe.BytePairs(ranks, r"\S+")
-        for _ in range(10):
-            piece = bytes(rng.choices(b"abc", k=rng.randint(1, 25)))
-            if piece not in ranks:
-                assert coder.merged(piece) == plain(piece, ranks)
-        assert coder.queue.pop() is None and not any(map(any, coder.queue.levels))
-
-
-def test_queue_order():
-    rng, queue = random.Random(9), bpe.RankQueue(300_000)
-    entries = [(rng.choice([rng.randrange(300_000), rng.randrange(3)]), i) for i in rng.sample(range(9999), 2000)]
-    for e in entries:
-        queue.push(*e)
-    assert [queue.pop() for _ in entries] == sorted(entries) and queue.pop() is None
+        pieces = [bytes(rng.choices(b"abc", k=rng.randint(1, 25))) for _ in range(10)]
+        assert coder.merged(pieces) == [plain(p, ranks) for p in pieces]
+        assert not any(coder.low)
+
+
+def test_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "_REMEMBERED", 40)
+    monkeypatch.setattr(bpe, "_AT_ONCE", 7)
+    rng, coder = random.Random(4), bpe.BytePairs(RANKS, public_tokenizers.PATTERN)
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choices("aeioutnsr", k=rng.randint(1, 9))) for _ in range(20)) for _ in range(3)]
+        assert [x.tolist() for x in coder.encode_all([*texts, ""])] == [*map(KNOWN.encode_ordinary, texts), []]
+        assert len(coder.old_chunks) < 200 and len(coder.old_pieces) < 200
 
 
 def expected(doc_id, text):
