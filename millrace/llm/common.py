@@ -47,15 +47,6 @@ def carried(docs: DataFrame, carry: Sequence[str], text_col: str) -> tuple[list,
     return [F.col(c) for c in names], [f"`{c}` {kinds[c]}" for c in carry]
 
 
-def shortened(text: str, most_words: int, stretch: int = 32, seed: int = 17) -> str:
-    """A text of more words is represented by random stretches, so many words in all, in their order."""
-    words = text.split()
-    if len(words) <= most_words:
-        return text
-    at = np.sort(np.random.default_rng(seed).choice(len(words) // stretch, most_words // stretch, replace=False)) * stretch
-    return " ".join(w for a in at.tolist() for w in words[a : a + stretch])
-
-
 def crc_mod(id_col: str, m: int):
     """crc32 of the id's decimal text, modulo m (null id: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(m)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, crc_mod, give_back_memory, mix64, rows_of, shortened
+from .common import byte_blocks, crc_mod, give_back_memory, mix64, rows_of, text_blocks
 
 ORDERS = (5, 4, 3, 2, 1)
 _K = np.random.default_rng(19).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,14 +48,13 @@ def grams_of(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64(h), owner
 
 
-def _counted(most_words: int):
-    """Counts of words (order 0) and n-grams per language, of a batch at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, texts = np.array(rows_of(batch, "lang"), object), rows_of(batch, "text")
-            for lang in sorted(set(langs)):
-                words, number, _ = words_of([shortened(texts[i], most_words) for i in np.flatnonzero(langs == lang)])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (order 0) and n-grams per language, of a block of whole texts at a time."""
+    for batch in batches:
+        langs = np.array(rows_of(batch, "lang"), object)
+        for a, b, texts in text_blocks(batch):
+            for lang in sorted(set(langs[a:b])):
+                words, number, _ = words_of([texts[i].decode() for i in np.flatnonzero(langs[a:b] == lang)])
                 count = np.bincount(number, minlength=len(words))
                 yield _units(lang, 0, words, [0] * len(words), count)
                 for n in ORDERS:
@@ -63,8 +62,6 @@ def _counted(most_words: int):
                     unit, inverse = np.unique(h, return_inverse=True)
                     yield _units(lang, n, [""] * len(unit), unit.view(np.int64), np.bincount(inverse, count[owner], len(unit)).astype(np.int64))
 
-    return run
-
 
 def _units(lang: str, order: int, words, grams, n) -> pa.RecordBatch:
     columns = [pa.array([lang] * len(words), pa.string()), pa.array([order] * len(words), pa.int32()), pa.array(words, pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())]
@@ -124,11 +121,10 @@ class Model:
         return total, many
 
 
-def fit_language_model(rows: DataFrame, max_docs: int = 2000, max_words: int = 3200, least: int = 2) -> Model | None:
+def fit_language_model(rows: DataFrame, max_docs: int = 2000, least: int = 2) -> Model | None:
     """Fits on rows (text, lang); None if there are none with text and language.
 
-    Of each language at most max_docs different texts are used, those whose hash is lowest, and of a text with more than
-    max_words words random stretches of so many. Words and n-grams that this sample holds at least `least` times are known.
+    Of each language at most max_docs different texts are used whole, those whose hash is lowest. Words and n-grams that this sample holds at least `least` times are known.
     """
     rows = rows.filter("lang is not null and text is not null").select("text", "lang")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -138,7 +134,7 @@ def fit_language_model(rows: DataFrame, max_docs: int = 2000, max_words: int = 3
     share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, 1.2 * max_docs / n))])[F.col("lang")]
     likely = rows.withColumn("turn", F.xxhash64("text", "lang")).filter(F.pmod("turn", F.lit(1 << 30)) <= share * (1 << 30)).distinct()
     used = likely.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("turn"))).filter(F.col("at") <= max_docs)
-    counts = used.select("lang", "text").mapInArrow(_counted(max_words), "lang string, order int, word string, gram long, n long").groupBy("order", "word", "gram", "lang").agg(F.sum("n").alias("n"))
+    counts = used.select("lang", "text").mapInArrow(_counted, "lang string, order int, word string, gram long, n long").groupBy("order", "word", "gram", "lang").agg(F.sum("n").alias("n"))
     units = counts.groupBy("order", "word", "gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by_lang")).filter(F.col("all") >= least)
     found = units.select("order", "word", "gram", F.inline("by_lang")).toArrow()
     languages = sorted(totals)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, carried, give_back_memory, mix64, rows_of, shortened, staged, text_blocks, word_hashes
+from .common import byte_blocks, carried, give_back_memory, mix64, staged, text_blocks, word_hashes
 
 #: Buckets of word shapes and their pairs, and of words.
 SHAPES, WORDS = 1 << 14, 1 << 17
@@ -154,13 +154,10 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back_memory()
 
 
-def _examples(most_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = rows_of(batch, "text")
-            yield pa.RecordBatch.from_arrays([pa.array(_code(voted([t.encode() for t in texts]))), pa.array([shortened(t, most_words) for t in texts], pa.string())], ["pattern", "text"])
-
-    return run
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, texts in text_blocks(batch, 1 << 21):
+            yield pa.RecordBatch.from_arrays([pa.array(_code(voted(texts))), batch.column(0).slice(a, b - a)], ["pattern", "text"])
 
 
 def _scored(shared, carry: list[str]):
@@ -177,12 +174,11 @@ def _scored(shared, carry: list[str]):
     return run
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, sample_words: int = 3200, carry: Sequence[str] = ()) -> DataFrame:
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, carry: Sequence[str] = ()) -> DataFrame:
     """Scores each whole text: doc_id, weak_label (posterior of good), score (0 to 1), keep (score >= 0.5), then the columns named in carry.
 
     The label model uses the votes on all documents. The scorer learns from `sample` different texts at most, those whose
-    hash is lowest; of a text with more than sample_words words it sees that many, in random stretches, while the label
-    is that of the whole text. A text without words scores 0 and is not kept. Equal texts score alike. Null ids and repeated
+    hash is lowest, and sees them whole. A text without words scores 0 and is not kept. Equal texts score alike. Null ids and repeated
     rows stay; other columns are ignored; an empty table gives an empty result.
     """
     text = F.col(text_col).cast("string")
@@ -199,7 +195,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posterior = dict(zip(codes.tolist(), good.tolist()))
     # The sample-th lowest hash; equal texts count once.
     lowest = patterns_.select("turn").distinct().orderBy("turn").limit(sample).agg(F.max("turn")).first()[0]
-    picked = base.filter((F.col("turn") <= lowest) & (F.length("text") > 0)).dropDuplicates(["turn"]).select("text").mapInArrow(_examples(sample_words), "pattern long, text string").toPandas().sort_values(["text", "pattern"])
+    picked = base.filter((F.col("turn") <= lowest) & (F.length("text") > 0)).dropDuplicates(["turn"]).select("text").mapInArrow(_examples, "pattern long, text string").toPandas().sort_values(["text", "pattern"])
     target = np.array([posterior.get(int(c), 0.5) for c in picked["pattern"]])
     w = train_scorer([t.encode() for t in picked["text"]], target) if len(picked) else np.zeros(BUCKETS + 1)
     shared = docs.sparkSession.sparkContext.broadcast((w, posterior))

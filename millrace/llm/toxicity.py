@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, carried, crc_mod, give_back_memory, mix64, rows_of, shortened, staged, text_blocks, word_hashes
+from .common import byte_blocks, carried, crc_mod, give_back_memory, mix64, staged, text_blocks, word_hashes
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -27,6 +27,8 @@ _C = np.random.default_rng(11).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uin
 _BITS = 22
 #: Words whose n-grams are hashed at once.
 _WORDS = 20_000
+#: Passes over the n-grams of the training words, by their leading bits.
+_PASSES = 8
 
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +43,9 @@ def words_in_parts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
     out, at = [], 0
     for a, b in byte_blocks([b"\0" * len(t or "") for t in texts], 1 << 20):
         h, doc, data, begin, end = words_of(texts[a:b])
-        out.append((h, doc + a, data, begin + at, end + at))
+        # Places and texts of a training sample fit 32 bits.
+        kind = np.int32 if at + len(data) < 1 << 31 else np.int64
+        out.append((h, (doc + a).astype(np.int32), data, (begin + at).astype(kind), (end + at).astype(kind)))
         at += len(data)
     return tuple(np.concatenate(x) for x in zip(*out)) if out else words_of([])
 
@@ -246,15 +250,19 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _vocabulary(h: np.ndarray, doc: np.ndarray, first: np.ndarray, ids: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the words, and of the n-grams, that occur in at least so many documents (n-grams: words times documents)."""
-    pairs = np.unique(ids * (int(doc[-1]) + 1) + doc) if len(h) else ids
+    pairs = np.unique(ids.astype(np.int64) * (int(doc[-1]) + 1) + doc) if len(h) else ids
     documents = np.bincount(pairs // (int(doc[-1]) + 1) if len(h) else pairs, minlength=len(first))
-    units, often = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for i in range(0, len(first), _WORDS):
-        some = first[i : i + _WORDS]
-        grams, owner = grams_of(data, begin[some], end[some])
-        units, inverse = np.unique(np.concatenate([units, grams]), return_inverse=True)
-        often = np.bincount(inverse, np.concatenate([often, documents[owner + i]]), len(units)).astype(np.int64)
-    return np.sort(h[first][documents >= least]), units[often >= least]
+    kept = []
+    for part in range(_PASSES):  # an eighth of all n-grams at a time
+        units, often = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for i in range(0, len(first), _WORDS):
+            some = first[i : i + _WORDS]
+            grams, owner = grams_of(data, begin[some], end[some])
+            own = grams >> np.uint64(61) == part
+            units, inverse = np.unique(np.concatenate([units, grams[own]]), return_inverse=True)
+            often = np.bincount(inverse, np.concatenate([often, documents[owner[own] + i]]), len(units)).astype(np.int64)
+        kept.append(units[often >= least])
+    return np.sort(h[first][documents >= least]), np.concatenate(kept)
 
 
 def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch: int = 32, rate: float = 0.01, table_rate: float = 3.0, decay: float = 1e-3, least: int = 3, seed: int = 5) -> Network:
@@ -275,6 +283,7 @@ def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch:
     texts, toxic = [t for t, a in zip(texts, aside) if not a], every[~aside]
     h, doc, data, begin, end = words_in_parts(texts)
     first, ids = distinct(h) if len(h) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    ids = ids.astype(np.int32)
     net = Network(Inputs(*_vocabulary(h, doc, first, ids, data, begin, end, least), rng), rng)
     word, owner, gram = net.inputs.known(h[first], data, begin[first], end[first])
     of, start, length = windows_of(np.bincount(doc, minlength=len(texts)))
@@ -302,9 +311,18 @@ def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch:
         out = np.empty(len(start), np.float32)
         for i in range(0, len(start), 4096):
             own, local, to, which = inputs_of(np.minimum(start[i : i + 4096, None] + step, len(ids) - 1))
-            out[i : i + 4096] = net.forward(net.inputs.vectors(word[own], to, which), local, step < length[i : i + 4096, None])
+            out[i : i + 4096] = net.forward(scale * net.inputs.vectors(word[own], to, which), local, step < length[i : i + 4096, None])
         return out
 
+    # The tables stand for scale times their numbers, so that a step touches the rows of its words only.
+    scale = np.float32(1)
+
+    def settle() -> None:
+        nonlocal scale
+        net.inputs.word_table *= scale
+        net.inputs.gram_table *= scale
+        scale = np.float32(1)
+
     epochs = min(20, -(-steps * batch // (2 * len(heads))))
     for epoch in range(epochs):
         # Before anything is learned, one window of a document is as good as another.
@@ -315,21 +333,23 @@ def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch:
         for i in range(0, len(chosen), batch):
             part = chosen[i : i + batch]
             own, local, to, which = inputs_of(np.minimum(start[part, None] + step, len(ids) - 1))
-            g = net.gradients(net.inputs.vectors(word[own], to, which), local, step < length[part, None], toxic[of[part]])
+            g = net.gradients(scale * net.inputs.vectors(word[own], to, which), local, step < length[part, None], toxic[of[part]])
             ticks += 1
             left = 1 - (epoch + i / len(chosen)) / epochs
             dx = g.pop("x")
-            net.inputs.word_table *= 1 - decay
-            net.inputs.gram_table *= 1 - decay
-            for k in range(SIZE):
-                net.inputs.word_table[:, k] -= left * table_rate * np.bincount(word[own], dx[:, k], len(net.inputs.word_table))
-                if len(which):
-                    net.inputs.gram_table[:, k] -= left * table_rate * np.bincount(which, dx[to, SIZE + k], len(net.inputs.gram_table))
+            scale *= 1 - decay
+            for table, rows, of_row, columns in ((net.inputs.word_table, word[own], slice(None), 0), (net.inputs.gram_table, which, to, SIZE)):
+                met, number = np.unique(rows, return_inverse=True)
+                for k in range(SIZE):
+                    table[met, k] -= left * table_rate / scale * np.bincount(number, dx[of_row, columns + k], len(met))
+            if scale < 1e-3:
+                settle()
             for k, grad in g.items():
                 m, v = moment[k]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 net.p[k] -= (left * rate * (m / (1 - 0.9**ticks)) / (np.sqrt(v / (1 - 0.99**ticks)) + 1e-8)).astype(np.float32)
+    settle()
     # Move the bias so that 0.5 parts the documents kept aside best, and is as far from them as it can be.
     top, y = (np.concatenate([net.scores(others[i : i + 100]) for i in range(0, len(others), 100)]), every[aside]) if others else (np.maximum.reduceat(scores(), heads), toxic[of[heads]])
     top, y = top[np.isfinite(top)], y[np.isfinite(top)]
@@ -359,21 +379,11 @@ def _scored(shared, carry: list[str]):
     return run
 
 
-def _shortened(most_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = pa.array([shortened(t, most_words, WINDOW) for t in rows_of(batch, "text")], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), short], ["label", "text"])
-
-    return run
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_per_label: tuple[int, int] = (3200, 1600), max_words: int = 400, carry: Sequence[str] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_per_label: tuple[int, int] = (3200, 1600), carry: Sequence[str] = ()) -> DataFrame:
     """Scores each whole text: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), then the columns named in carry.
 
     Trains on labelled rows outside the held-out fold: of label 0 and 1 at most max_per_label rows, those whose hash of id
-    and text is lowest, equal rows once. Of a text with more than max_words words the training sees that many, in random
-    stretches; scores are of whole texts. A text without words, null or empty, scores 0, as do all if there are no rows
+    and text is lowest, equal rows once. It sees their whole texts, and scores are of whole texts. A text without words, null or empty, scores 0, as do all if there are no rows
     of both labels to learn from. Null labels are left out; null ids are not held out; repeated rows stay; other columns
     are ignored; an empty table gives an empty result.
     """
@@ -391,9 +401,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for label, most in enumerate(max_per_label):
             part = met.filter(F.col("label") == label).orderBy("turn", "text").limit(most)
             sample = part if sample is None else sample.unionByName(part)
-        short = sample.select("label", "text").mapInArrow(_shortened(max_words), "label int, text string").toPandas().sort_values(["label", "text"])
-        texts, marks = short["text"].tolist(), short["label"].to_numpy()
-        del short
+        few = sample.select("label", "text").toPandas().sort_values(["label", "text"])
+        texts, marks = few["text"].tolist(), few["label"].to_numpy()
+        del few
         if len(set(marks.tolist())) == 2:
             net = train(texts, marks)
         del texts
