@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout as L
 from ..operators import serving as B
+from ..sources.archives import archived
 from ..sources.files import work_path
 from ..sources.versions import publish, read_current
 from .inputs import Inputs
@@ -67,3 +68,18 @@ def gr16(t: Inputs):
     dangling = lambda w: w["edges"].join(suppliers, "dst_blob", "left_anti").select(F.lit("dangling").alias("gate"), F.col("src_blob").cast("string").alias("id"))
     publish(t._spark, root, {"edges": edges}, {"edges": ["src_blob", "dst_blob", "relation"]}, dangling)
     return read_current(t._spark, root, "edges")
+
+
+@query("src5_archived_pages", "SELECT page_id, coalesce(strlen(html), 0) AS size, md5(coalesce(html, '')) AS digest FROM pages")
+def src5(t: Inputs):
+    pages = t.pages.select(F.concat(F.lit("2020 Brand Model/"), "page_id", F.lit(".html")).alias("name"), "html")
+    found = archived(pages, "name", "html")
+    return found.select(F.regexp_extract("name", "/(-?[0-9]+)\\.html", 1).cast("long").alias("page_id"), "size", F.md5("content").alias("digest"))
+
+
+@query("src7_archived_section", "SELECT page_id, md5(coalesce(html, '')) AS digest FROM pages WHERE page_id % 3 = 1")
+def src7(t: Inputs):
+    """One section's folder, chosen by name."""
+    section = F.concat(F.lit("section"), F.col("page_id") % 3, F.lit("/"), "page_id", F.lit(".html"))
+    found = archived(t.pages.select(section.alias("name"), "html"), "name", "html").filter("name like 'section1/%'")
+    return found.select(F.regexp_extract("name", "/(-?[0-9]+)\\.html", 1).cast("long").alias("page_id"), F.md5("content").alias("digest"))
