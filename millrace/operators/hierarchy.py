@@ -85,3 +85,10 @@ def resolved_titles(nodes: DataFrame, wanted: DataFrame, segments: int) -> DataF
         below = n.select(F.col("id").alias("_child"), F.col("parent_id").alias("id"), F.col("title").alias("_title"))
         at = at.join(below, "id").filter((F.col("_title") == seg) | (F.col("_title") == F.concat(before, F.lit(": "), seg))).select("path_id", "segments", F.col("_child").alias("id"))
     return at.select("path_id", "id")
+
+
+def path_counts(paths: DataFrame, path: str, separator: str = "/") -> DataFrame:
+    """Each path with the number of paths at it or below it (equal, or beginning with it and a separator); repeated paths count each."""
+    parts = F.split(path, separator)
+    heads = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), separator))).alias(path))
+    return heads.groupBy(path).agg(F.count("*").alias("n")).join(paths.select(path).distinct(), path)

@@ -178,6 +178,34 @@ def best_match(vectors: DataFrame, item: str, vector: str, queries: DataFrame, l
     return top.select("query_id", F.col("b.item").alias(item), F.col("b.sim").alias("sim"))
 
 
+def similar_pairs(vectors: DataFrame, item: str, vector: str, queries: DataFrame, least: float) -> DataFrame:
+    """All pairs of a stated set of queries (query_id, qvec) and other items with cosine (5 places) of at least `least`: query_id, item, sim.
+
+    Vectors and queries move as in nearest(); the result is as large as there are such pairs.
+    """
+    items = vectors.select(F.col(item).cast("long").alias("item"), F.col(vector).alias("v")).filter("v is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "qvec").filter("qvec is not null")
+    found = None
+    for part in _query_passes(asked):
+        ids = part.column("query_id").to_numpy()
+        shared = vectors.sparkSession.sparkContext.broadcast({n: (ids[at], x) for n, (at, x) in _unit_rows(part.column("qvec").to_pylist()).items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                numbers = batch.column(0).to_numpy()
+                for n, (at, v) in _unit_rows(batch.column(1).to_pylist()).items():
+                    ids, q = shared.value.get(n, (np.empty(0, np.int64), np.empty((0, n))))
+                    for a in range(0, len(ids) if len(at) else 0, _ROWS):
+                        some = ids[a : a + _ROWS]
+                        sim = np.round(q[a : a + _ROWS] @ v.T, 5)
+                        row, column = np.nonzero((sim >= least) & (some[:, None] != numbers[at][None]))
+                        yield pa.RecordBatch.from_arrays([pa.array(some[row]), pa.array(numbers[at][column]), pa.array(sim[row, column])], ["query_id", "item", "sim"])
+
+        own = items.mapInArrow(run, "query_id long, item long, sim double")
+        found = own if found is None else found.unionByName(own)
+    return found.withColumnRenamed("item", item)
+
+
 #: Weights of vector and keyword search by kind of query.
 KIND_WEIGHTS = {"code": (0.3, 1.0), "lexical": (0.6, 1.0), "semantic": (1.0, 0.5), "mixed": (1.0, 1.0)}
 

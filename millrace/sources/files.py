@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -107,3 +108,25 @@ def table_counts(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Checks a copy: rows and largest key of both sides, and whether they agree."""
     side = lambda df, s: df.agg(F.count("*").alias(f"rows_{s}"), F.max(key).alias(f"max_{s}")).withColumn("k", F.lit(1))
     return side(before, "before").join(side(after, "after"), "k").drop("k").withColumn("same", F.expr("rows_before = rows_after and max_before <=> max_after"))
+
+
+def caught_up(source: DataFrame, path: str, key: str) -> DataFrame:
+    """Appends to the copy at path the rows of source above the copy's high-water mark (its largest key); a first call copies all.
+
+    Returns mark (before; null at first), copied, rows_source, max_source, rows_copy, max_copy and same, which holds if
+    the copy now has as many rows and the same largest key. Keys grow: rows below the mark that came later are not seen but
+    leave same false. A source that is read twice must not change between.
+    """
+    spark = source.sparkSession
+    try:
+        mark = spark.read.schema(source.schema).parquet(path).agg(F.max(key)).first()[0]
+    except AnalysisException:
+        mark = None
+    new = source if mark is None else source.filter(F.col(key) > F.lit(mark))
+    n = new.count()
+    new.write.mode("append").parquet(path)
+    a = source.agg(F.count("*").alias("rows_source"), F.max(key).alias("max_source"))
+    b = spark.read.schema(source.schema).parquet(path).agg(F.count("*").alias("rows_copy"), F.max(key).alias("max_copy"))
+    both = a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    same = (F.col("rows_source") == F.col("rows_copy")) & F.col("max_source").eqNullSafe(F.col("max_copy"))
+    return both.select(F.lit(mark).cast(source.schema[key].dataType).alias("mark"), F.lit(n).cast("long").alias("copied"), "*", same.alias("same"))
