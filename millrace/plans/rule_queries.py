@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions.redaction import redacted
+from ..operators import components as C
 from ..operators import hierarchy as H
 from ..operators import retrieval as S
 from ..operators.ordered import top_k
@@ -68,3 +69,32 @@ def jn13(t: Inputs):
     links = M.anchors(pages, "html").filter("href is not null").select("src", "car", base.alias("base"))
     first = nodes.groupBy("car", "base").agg(F.min("id").alias("dst"))
     return links.join(first, ["car", "base"]).filter("dst <> src").select("src", "car", "dst", (F.col("dst") % 50).alias("blob")).distinct()
+
+
+#: Breadcrumbs of parts: system, side, component with its kind, action, page kind.
+_CRUMB = "concat('Engine › ', split_part(p_type, ' ', 1), CASE p_partkey % 3 WHEN 0 THEN ' Front' WHEN 1 THEN ' Rear' ELSE '' END, ' › ', p_name, ' ', {kind}, ' Assembly › ', {verb}, CASE WHEN p_partkey % 2 = 0 THEN ' › Procedure' ELSE '' END)"
+_KIND = "CASE p_partkey % 4 WHEN 0 THEN 'Sensor' WHEN 1 THEN 'Oil Pump' WHEN 2 THEN 'Hose Switch' ELSE 'Part' END"
+_VERB = "CASE p_partkey % 6 WHEN 0 THEN 'Removal' WHEN 1 THEN 'Overhaul' WHEN 2 THEN 'Bleeding' WHEN 3 THEN 'Inspection' WHEN 4 THEN 'Calibration' ELSE 'Parts Location' END"
+
+
+def _crumbs(t: Inputs):
+    sql = _CRUMB.format(kind=_KIND, verb=_VERB).replace("split_part(p_type, ' ', 1)", "split(p_type, ' ')[0]")
+    return t.part.select("p_partkey", "p_type", "p_name", "p_brand", F.expr(sql).alias("crumb"))
+
+
+@query("txt30_component_words", f"SELECT p_partkey, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(p_name || ' ' || {_KIND}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) > 2))) AS words, CASE p_partkey % 4 WHEN 0 THEN 'sensor' WHEN 1 THEN 'pump' WHEN 2 THEN 'switch' END AS kind FROM part")
+def txt30(t: Inputs):
+    return _crumbs(t).select("p_partkey", C.component_words(F.col("crumb")).alias("words"), C.part_kind(F.col("crumb")).alias("kind"))
+
+
+@query("txt31_fitting_actions", f"WITH a AS (SELECT p_partkey, p_brand, CASE p_partkey % 6 WHEN 0 THEN 'replace' WHEN 1 THEN 'overhaul' WHEN 2 THEN 'bleed' WHEN 3 THEN 'inspect' WHEN 4 THEN 'adjust' END AS class FROM part), c AS (SELECT DISTINCT p_brand, class FROM a) SELECT a.p_partkey, a.class, count(c.class) FILTER (a.class = c.class OR (a.class, c.class) IN (('replace', 'overhaul'), ('overhaul', 'replace')))::BIGINT AS fitting FROM a LEFT JOIN c USING (p_brand) GROUP BY 1, 2")
+def txt31(t: Inputs):
+    a = _crumbs(t).select("p_partkey", "p_brand", C.action_class(F.element_at(F.split(F.regexp_replace("crumb", " › Procedure$", ""), " › "), -1)).alias("class"))
+    classes = a.select("p_brand", F.col("class").alias("other")).distinct()
+    return a.join(classes, "p_brand").groupBy("p_partkey", "class").agg(F.count_if(C.actions_fit(F.col("class"), F.col("other"))).alias("fitting"))
+
+
+@query("txt42_topics", f"SELECT p_partkey, 'Engine' AS system, p_name || ' ' || {_KIND} || ' Assembly' AS component, lower({_VERB}) AS action FROM part WHERE p_partkey % 6 IN (0, 3, 5)")
+def txt42(t: Inputs):
+    found = _crumbs(t).select("p_partkey", C.topic(F.col("crumb")).alias("t")).filter("t is not null")
+    return found.select("p_partkey", "t.system", "t.component", "t.action")
