@@ -180,3 +180,22 @@ def weight_grid(scores: DataFrame, a: str, b: str, target: str, fold: str, weigh
     mean = best.groupBy(fold, "w").agg(F.round(F.avg("t"), 6).alias("mean"))
     chosen = mean.withColumn("r", F.row_number().over(Window.partitionBy(fold).orderBy(F.desc("mean"), "w"))).filter("r = 1").select((1 - F.col(fold)).alias(fold), "w")
     return chosen.join(mean, [fold, "w"]).select(fold, "w", "mean")
+
+
+def experiment_tests(rows: DataFrame, arm: str, metrics: dict[str, tuple[Column, Column]], enough: int = 100) -> DataFrame:
+    """A row per metric of an experiment: metric, on_rate, off_rate, p_value, answers_on, answers_off, untagged, enough_data.
+
+    arm is true, false, or null for rows without the flag. A metric is (hit, counted): its share of hits among the rows that
+    count, by arm; an arm in which none counts has no rate and no p. enough_data tells whether each arm has that many rows.
+    """
+    on, off = F.col(arm), ~F.col(arm)
+    sums = {}
+    for m, (hit, counted) in metrics.items():
+        for name, side in (("on", on), ("off", off)):
+            sums[f"{m}_{name}_x"], sums[f"{m}_{name}_n"] = F.count_if(side & hit & counted), F.count_if(side & counted)
+    all_ = rows.agg(F.count_if(on).alias("answers_on"), F.count_if(off).alias("answers_off"), F.count_if(F.col(arm).isNull()).alias("untagged"), *[c.alias(n) for n, c in sums.items()])
+    rate = lambda m, s: F.col(f"{m}_{s}_x") / F.nullif(F.col(f"{m}_{s}_n"), F.lit(0))
+    p = lambda m: two_proportions(*[F.nullif(F.col(f"{m}_{s}_n"), F.lit(0)) if k == "n" else F.col(f"{m}_{s}_x") for s in ("on", "off") for k in ("x", "n")])
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(rate(m, "on"), 6).alias("on_rate"), F.round(rate(m, "off"), 6).alias("off_rate"), F.round(p(m), 4).alias("p_value")) for m in metrics])
+    enough_data = F.least("answers_on", "answers_off") >= enough
+    return all_.select(F.explode(each).alias("t"), "answers_on", "answers_off", "untagged", enough_data.alias("enough_data")).select("t.*", "answers_on", "answers_off", "untagged", "enough_data")

@@ -89,3 +89,46 @@ def nearest_senior(paths: DataFrame, people: DataFrame) -> DataFrame:
     named = people.select("id").join(met, "id", "left").withColumn("_one", F.lit(1)).join(F.broadcast(tops), "_one")
     first = F.get(F.filter("tops", lambda t: t["id"] != F.col("id")), F.lit(0))["id"]
     return named.select("id", F.coalesce("supervisor", first).alias("supervisor"), F.col("supervisor").isNull().alias("fallback"))
+
+
+def section_gaps(vehicles: DataFrame, sections: DataFrame, rules: DataFrame) -> DataFrame:
+    """stem, missing, empty, optional_missing (sorted titles) of every vehicle.
+
+    vehicles: stem, electrified, pure_electric. sections: stem, title, leaves (with content). rules: title, requirement, one of
+    required, electrified (for such vehicles only), combustion (not for purely electric ones), optional. Titles compare in
+    lower case without double blanks. Only optional sections may be missing without being a gap; empty ones of them are none.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "\\s+", " "))
+    fits = (F.col("requirement") != "electrified") | F.col("electrified")
+    fits = fits & ((F.col("requirement") != "combustion") | ~F.col("pure_electric"))
+    # A few rules for each vehicle: they travel as one list.
+    listed = rules.agg(F.collect_list(F.struct(plain("title").alias("title"), "requirement")).alias("rules")).withColumn("_one", F.lit(1))
+    expected = vehicles.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one").select("stem", "electrified", "pure_electric", F.explode("rules").alias("r")).select("stem", "electrified", "pure_electric", "r.title", "r.requirement").filter(fits)
+    have = sections.groupBy("stem", plain("title").alias("title")).agg(F.sum("leaves").alias("leaves"))
+    met = expected.join(have, ["stem", "title"], "left")
+    of = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("title"))))
+    optional = F.col("requirement") == "optional"
+    gaps = met.groupBy("stem").agg(of(~optional & F.col("leaves").isNull()).alias("missing"), of(~optional & (F.col("leaves") == 0)).alias("empty"), of(optional & F.col("leaves").isNull()).alias("optional_missing"))
+    none = F.array().cast("array<string>")
+    return vehicles.select("stem").join(gaps, "stem", "left").select("stem", *[F.coalesce(c, none).alias(c) for c in ("missing", "empty", "optional_missing")])
+
+
+def exemplars(batches: DataFrame, dictionary: DataFrame, matched: int = 5, stable: int = 5) -> DataFrame:
+    """batch, id, kind, place: examples for each batch of terms (batch, words) out of a dictionary (id, words).
+
+    matched: the first rows by id that share a word with the batch; stable: rows at even distances over the dictionary by id
+    that are not among those. Of each word only the first rows are looked at, as no later one can be among a batch's first.
+    """
+    entry = dictionary.select("id", F.explode(F.array_distinct("words")).alias("word"))
+    first = entry.withColumn("k", F.row_number().over(Window.partitionBy("word").orderBy("id"))).filter(F.col("k") <= matched).select("word", "id")
+    words = batches.select("batch", F.explode("words").alias("word")).distinct()
+    near = words.join(first, "word").select("batch", "id").distinct()
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("id"))).filter(F.col("place") <= matched)
+    placed = numbered(dictionary.select("id"), ["id"], "n")
+    step = max(1, dictionary.count() // max(1, stable))
+    # As many as could be among the matched ones more than wanted.
+    even = placed.filter((F.col("n") - 1) % step == 0).orderBy("n").limit(stable + matched).select("id")
+    every = even.agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("_one", F.lit(1))
+    asked = batches.select("batch").distinct().withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one").select("batch", F.explode("ids").alias("id")).join(near.select("batch", "id"), ["batch", "id"], "left_anti")
+    rest = asked.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("id"))).filter(F.col("place") <= stable)
+    return near.select("batch", "id", F.lit("matched").alias("kind"), "place").unionByName(rest.select("batch", "id", F.lit("stable").alias("kind"), "place"))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..functions.redaction import redacted
 from ..operators import components as C
+from ..operators import evaluation as E
 from ..operators import hierarchy as H
+from ..operators import records as R
 from ..operators import retrieval as S
+from ..operators.aggregates import tokens
 from ..operators.ordered import top_k
 from ..sources.files import caught_up, work_path
 from .inputs import Inputs
@@ -98,3 +101,35 @@ def txt31(t: Inputs):
 def txt42(t: Inputs):
     found = _crumbs(t).select("p_partkey", C.topic(F.col("crumb")).alias("t")).filter("t is not null")
     return found.select("p_partkey", "t.system", "t.component", "t.action")
+
+
+_ERFC = "(SELECT t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) FROM (SELECT x, 1 / (1 + 0.3275911 * x) AS t FROM (SELECT abs(z) / sqrt(2.0) AS x)))"
+_METRICS = {"grounded": ("grounded", "true"), "degraded": ("degraded", "true"), "rephrased": ("id % 11 = 0", "true"), "copied": ("id % 13 = 0", "true"), "with_source_click": ("id % 4 = 0", "true"), "up": ("feedback = 1", "feedback <> 0")}
+
+
+@query("anl7_all_tests", "WITH r AS (SELECT *, CASE user_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS arm FROM chat), m AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, arm, count(*) FILTER ({h} AND {c})::DOUBLE AS x, nullif(count(*) FILTER ({c}), 0)::DOUBLE AS n FROM r WHERE arm IS NOT NULL GROUP BY arm" for m, (h, c) in _METRICS.items()) + f"), p AS (SELECT a.metric, a.x / a.n AS on_rate, b.x / b.n AS off_rate, (a.x / a.n - b.x / b.n) / nullif(sqrt((a.x + b.x) / (a.n + b.n) * (1 - (a.x + b.x) / (a.n + b.n)) * (1 / a.n + 1 / b.n)), 0) AS z FROM m a JOIN m b USING (metric) WHERE a.arm AND NOT b.arm), c AS (SELECT count(*) FILTER (arm) AS answers_on, count(*) FILTER (NOT arm) AS answers_off, count(*) FILTER (arm IS NULL) AS untagged FROM r) SELECT metric, round(on_rate, 6) AS on_rate, round(off_rate, 6) AS off_rate, round({_ERFC}, 4) AS p_value, answers_on, answers_off, untagged, least(answers_on, answers_off) >= 100 AS enough_data FROM p, c")
+def anl7(t: Inputs):
+    rows = t.chat.withColumn("arm", F.expr("case user_id % 4 when 0 then true when 1 then false when 2 then false end"))
+    return E.experiment_tests(rows, "arm", {m: (F.expr(h), F.expr(c)) for m, (h, c) in _METRICS.items()})
+
+
+_RULES = [("Automobile", "required"), ("Building", "electrified"), ("Furniture", "combustion"), ("Household", "optional"), ("Special", "optional"), ("Machinery", "required"), ("Wiring", "required")]
+
+
+@query("dq2_section_gaps", "WITH v AS (SELECT n_nationkey AS k, n_name AS stem FROM nation), r AS (SELECT * FROM (VALUES " + ", ".join(f"('{a.lower()}', '{b}')" for a, b in _RULES) + ") x(title, req)), s AS (SELECT c_nationkey AS k, lower(c_mktsegment) AS title, count(*) FILTER (c_custkey % 8 = 0) AS leaves FROM customer WHERE c_custkey % 3 > 0 GROUP BY 1, 2), e AS (SELECT v.*, r.*, s.leaves FROM v CROSS JOIN r LEFT JOIN s ON s.k = v.k AND s.title = r.title WHERE (req <> 'electrified' OR v.k % 3 = 0) AND (req <> 'combustion' OR v.k % 9 > 0)) SELECT stem, coalesce(list(title ORDER BY title) FILTER (req <> 'optional' AND leaves IS NULL), []) AS missing, coalesce(list(title ORDER BY title) FILTER (req <> 'optional' AND leaves = 0), []) AS empty, coalesce(list(title ORDER BY title) FILTER (req = 'optional' AND leaves IS NULL), []) AS optional_missing FROM e GROUP BY stem")
+def dq2(t: Inputs):
+    vehicles = t.nation.select(F.col("n_name").alias("stem"), (F.col("n_nationkey") % 3 == 0).alias("electrified"), (F.col("n_nationkey") % 9 == 0).alias("pure_electric"))
+    names = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("stem"))
+    sections = t.customer.filter("c_custkey % 3 > 0").join(names, "c_nationkey").groupBy("stem", F.col("c_mktsegment").alias("title")).agg(F.count_if(F.col("c_custkey") % 8 == 0).alias("leaves"))
+    return R.section_gaps(vehicles, sections, t._spark.createDataFrame(_RULES, "title string, requirement string"))
+
+
+@query("trm7_shared_and_even", r"""WITH w AS (SELECT p_partkey AS id, p_brand, list_filter(string_split(regexp_replace(lower(concat(p_type, ' ', p_name)), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM part),
+d AS (SELECT id, ws, row_number() OVER (ORDER BY id) - 1 AS i FROM w WHERE id % 5 = 0), b AS (SELECT p_brand AS batch, list_distinct(flatten(list(ws))) AS ws FROM w WHERE id % 35 = 1 GROUP BY 1),
+m AS (SELECT batch, id, row_number() OVER (PARTITION BY batch ORDER BY id) AS place FROM b JOIN d ON list_has_any(b.ws, d.ws) QUALIFY place <= 5),
+s AS (SELECT batch, id, row_number() OVER (PARTITION BY batch ORDER BY id) AS place FROM b, d WHERE i % greatest(1, (SELECT count(*) FROM d) // 5) = 0 AND (batch, id) NOT IN (SELECT batch, id FROM m) QUALIFY place <= 5)
+SELECT batch, id, 'matched' AS kind, place FROM m UNION ALL SELECT batch, id, 'stable', place FROM s""")
+def trm7(t: Inputs):
+    words = tokens(F.concat_ws(" ", "p_type", "p_name"))
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("batch"), words.alias("words"))
+    return R.exemplars(rows.filter("id % 35 = 1").select("batch", "words"), rows.filter("id % 5 = 0").select("id", "words"))
