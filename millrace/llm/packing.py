@@ -38,9 +38,9 @@ _ODD = "[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 #: The pre-tokenizer also splits between a letter and one of these.
 _WORD_END = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-@\\[-`{-~\n])"
 #: Chunks remembered by a worker.
-_CACHE_LIMIT = 1_000_000
+_CACHE_LIMIT = 300_000
 #: Bytes of text that are split into chunks at once; a longer text goes in parts cut between words.
-_BLOCK = 1 << 22
+_BLOCK = 1 << 21
 
 
 def _byte_length(token: str | None) -> int:
