@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 from .ordered import seconds
 
 
@@ -88,9 +89,13 @@ def token_subset_pairs(texts: DataFrame, doc: str, phrases: DataFrame, item: str
     """Pairs (doc, item) of which all of the phrase's words are in the text; words holds each row's distinct words.
 
     A phrase meets texts by its rarest word only, so that common words make no pairs; then the whole phrase is compared.
+    Only numbers and single words meet there: a text is moved once, for its comparisons, not once for each of its words.
     Phrases without a word meet nothing.
     """
-    wanted = phrases.select(item, F.col(words).alias("_all"), F.explode(words).alias("_word"))
-    counts = texts.select(F.explode(words).alias("_word")).join(wanted.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
-    rarest = wanted.join(counts, "_word", "left").groupBy(item).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word")).alias("_r"), F.first("_all").alias("_all")).select(item, "_all", F.col("_r._word").alias("_word"))
-    return texts.select(doc, F.col(words).alias("_text"), F.explode(words).alias("_word")).join(rarest, "_word").filter(F.size(F.array_except("_all", "_text")) == 0).select(doc, item)
+    wanted = phrases.select(item, F.explode(words).alias("_word"))
+    met = texts.select(doc, F.explode(words).alias("_word")).join(wanted.select("_word").distinct(), "_word", "left_semi")
+    counts = met.groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = wanted.join(counts, "_word", "left").groupBy(item).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word")).alias("_r")).select(item, F.col("_r._word").alias("_word"))
+    tried = written(texts.select(doc, F.explode(words).alias("_word")).join(written(rarest, "rarest"), "_word").select(doc, item), "tried")
+    whole = tried.join(phrases.select(item, F.col(words).alias("_all")), item)
+    return whole.join(texts.select(doc, F.col(words).alias("_text")), doc).filter(F.size(F.array_except("_all", "_text")) == 0).select(doc, item)
