@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from millrace.operators import keyword_index as K
 from millrace.operators import relations as R
+from millrace.operators.retrieval import bm25_search, boolean_search
 
 
 def shuffled(spark, run) -> int:
@@ -27,3 +29,20 @@ def test_a_text_is_not_moved_once_for_each_of_its_words(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {tuple(r) for r in found} == {(d, d % 2) for d in range(8)}
     assert 0 < moved < 10 * 8 * 400 * 32
+
+
+def test_copies_are_searched_once(spark, tmp_path):
+    docs = spark.range(0, 3000, 1, 4).select("id", F.when(F.col("id") % 2 == 0, "old brake pad").otherwise("brake hose").alias("a"))
+    asked = spark.range(0, 300, 1, 4).select(F.col("id").alias("query_id"), F.lit("Brake pad").alias("text"))
+    index = K.write_keyword_index(docs, "id", {"a": "a"}, f"file://{tmp_path}/copies", stems=False)
+    searches = [
+        (900_000, lambda: bm25_search(docs, "id", {"a": "a"}, {"a": 1}, asked)),
+        (450_000, lambda: boolean_search(docs, "id", "a", asked)),
+        (900_000, lambda: K.search_keywords(index, asked, {"a": 1})),
+        (450_000, lambda: K.search_phrases(index, asked, "a")),
+        (0, lambda: K.absent(index, asked)),
+    ]
+    for rows, search in searches:
+        found = []
+        assert shuffled(spark, lambda: found.append(search().count())) < 500_000
+        assert found == [rows]
