@@ -299,9 +299,7 @@ def misc27(t: Inputs):
 
 @query("jn12_constrained_pairs", "SELECT a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 5 QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY abs(a.p_size - b.p_size), b.p_partkey) <= 12")
 def jn12(t: Inputs):
-    b = t.part.select(F.col("p_partkey").alias("dst"), "p_brand", "p_type", F.col("p_size").alias("size"))
-    j = t.part.select(F.col("p_partkey").alias("src"), "p_brand", "p_type", "p_size").join(b, ["p_brand", "p_type"]).filter("src <> dst and abs(p_size - size) <= 5")
-    return O.top_k(j, ["src"], [F.abs(F.col("p_size") - F.col("size")), F.col("dst")], 12).select("src", "dst")
+    return O.first_others(t.part, "p_partkey", ["p_brand", "p_type"], 12, "p_size", 5).toDF("src", "dst")
 
 
 @query("jn18_deduped_searches", "SELECT id FROM (SELECT id, floor(epoch_us(created_at) / 1000000)::BIGINT - lag(floor(epoch_us(created_at) / 1000000)::BIGINT) OVER (PARTITION BY user_id, app_url ORDER BY created_at, id) AS g FROM activity) WHERE g IS NULL OR g > 60")
