@@ -244,6 +244,4 @@ def pipe4(t: Inputs):
 
 @query("trm7_exemplars", "WITH c AS (SELECT a.p_partkey AS term, b.p_partkey AS example FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey) SELECT term, example FROM c QUALIFY row_number() OVER (PARTITION BY term ORDER BY example) <= 5")
 def trm7(t: Inputs):
-    b = t.part.select(F.col("p_partkey").alias("example"), "p_brand", "p_size")
-    j = t.part.select(F.col("p_partkey").alias("term"), "p_brand", "p_size").join(b, ["p_brand", "p_size"]).filter("term <> example")
-    return O.top_k(j, ["term"], [F.col("example")], 5).select("term", "example")
+    return O.first_others(t.part, "p_partkey", ["p_brand", "p_size"], 5).toDF("term", "example")
