@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace import catalog
+from millrace.functions import markup
 from millrace.operators import keyword_index as K
 from millrace.operators import ordered as O
 from millrace.operators import relations as R
@@ -70,3 +71,10 @@ def test_side_lookup_words_end_at_letters_with_accents(spark, tmp_path):
     spark.createDataFrame([(7, 1, 2.0)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"file://{tmp_path}/part.parquet")
     found = catalog.queries()["ret25_side_lookups"](spark, f"file://{tmp_path}").collect()
     assert sorted((r.turn, r.p_partkey) for r in found) == [(0, 7), (1, 7), (3, 7), (6, 7)]
+
+
+def test_pages_of_one_small_file_are_read_by_many_tasks(spark):
+    pages = spark.range(0, 400, 1, 1).select("id", F.lit('<a href="x.html">x</a><ul><li>a</li></ul><table><tr><td>1</td></tr></table>').alias("html"))
+    for read in (markup.anchors, markup.table_rows):
+        tasks = read(pages, "html").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+        assert len(tasks) >= 4 and sum(r.n for r in tasks) == 400
