@@ -1,6 +1,7 @@
 """Page readers: grids by brute force over generated tables, lists by round trips, catalogue pages by cases."""
 
 import random
+import tracemalloc
 from itertools import product
 
 from millrace.functions import markup as M
@@ -118,3 +119,34 @@ def test_readers_on_edges(spark):
 def test_crawled_titles(spark):
     rows = spark.createDataFrame([("ADAS _ AD",), ("QT023A_ Multi  point",), (" ",), (None,), ("a/b",)], "t string")
     assert [r[0] for r in rows.select(P.crawled_title(rows.t)).collect()] == ["ADAS ⁄ AD", "QT023A: Multi point", "(untitled)", "(untitled)", "a⁄b"]
+
+
+def test_plain_pages_need_no_parser_and_read_the_same(monkeypatch):
+    plain = '<h2>A &amp; B</h2><table><tr><th>x</th></tr><tr><td rowspan="1">1</td><td><a href="p.html">o</a></td></tr></table>'
+    odd = plain.replace("<tr><td", "<TR ><td", 1)
+    assert list(M.grids(plain)) == list(M.grids(odd))
+    fed = []
+    monkeypatch.setattr(M._Builder, "feed", lambda self, rest: fed.append(rest))
+    assert [(title, len(cells)) for _, _, title, _, cells in M.grids(plain)] == [("A & B", 1), ("A & B", 2)] and not fed
+    list(M.grids(odd))
+    assert fed == [odd[odd.index("<TR") :]]
+
+
+def test_large_pages_are_not_held_as_trees():
+    def peak(read, page):
+        read(page)  # what is loaded once is not counted
+        tracemalloc.start()
+        try:
+            return read(page), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    tree = "<table>" + "".join(f'<tr class="treegrid-{i}"><td><a href="/g?gid={i}">n</a></td></tr>' for i in range(4000)) + "</table>"
+    whole = peak(M.page_tree, tree)[1]
+    rows, held = peak(lambda p: sum(1 for _ in M.tree_rows(p)), tree)
+    assert rows == 4000 and held < 0.5 * whole
+    row = '<tr class="part-search-tr"><td>1</td><td>n</td><td>c</td><td></td><td>2</td><td></td></tr>'
+    parts = "<title>E | x</title>" + "".join(f'<img data-container="zoom_container_{i}"><table>{HEAD}{row * 100}</table>' for i in range(40))
+    whole = peak(M.page_tree, parts)[1]
+    found, held = peak(lambda p: M.group_page(p, ["E"], M._packed_rows), parts)
+    assert sum(len(s["rows"]) for s in found["sections"]) == 4000 and held < 0.5 * whole
