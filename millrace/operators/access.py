@@ -23,7 +23,7 @@ def first_entry_wins(entries: DataFrame, keys: list[str], ordinal: str) -> DataF
 
 def pending(present: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Work that is there and not done."""
-    return present.select(key).distinct().join(done.select(key), key, "left_anti")
+    return present.select(key).distinct().join(done.select(key).distinct(), key, "left_anti")
 
 
 def registrations(packages: DataFrame, known: DataFrame) -> DataFrame:
