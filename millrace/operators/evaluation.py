@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import written
+from .ordered import dealt
+
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Per query (query_id): hit, reciprocal rank, recall, precision (by k) and binary nDCG at k; ranked has item, rank; relevant has item."""
@@ -175,9 +178,10 @@ def weight_grid(scores: DataFrame, a: str, b: str, target: str, fold: str, weigh
     A fold's w is the one with the highest mean target of each query's best item on the other fold, ties to the smaller
     weight; mean is what that weight reaches on the fold itself. fold is 0 or 1.
     """
-    tried = scores.withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
-    best = tried.groupBy(fold, "query_id", "w").agg(F.max_by(target, F.struct((F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b)).alias("s"), "item", target)).alias("t"))
-    mean = best.groupBy(fold, "w").agg(F.round(F.avg("t"), 6).alias("mean"))
+    rows = dealt(scores.select(fold, "query_id", "item", a, b, target), fold, "query_id")
+    best_of = lambda w: F.max_by(target, F.struct((w * F.col(a) + (1 - w) * F.col(b)).alias("s"), "item", target))
+    best = rows.groupBy(fold, "query_id").agg(F.array(*[F.struct(F.lit(float(w)).alias("w"), best_of(F.lit(float(w))).alias("t")) for w in weights]).alias("tried"))
+    mean = written(best.select(fold, F.inline("tried")).groupBy(fold, "w").agg(F.round(F.avg("t"), 6).alias("mean")), "grid")
     chosen = mean.withColumn("r", F.row_number().over(Window.partitionBy(fold).orderBy(F.desc("mean"), "w"))).filter("r = 1").select((1 - F.col(fold)).alias(fold), "w")
     return chosen.join(mean, [fold, "w"]).select(fold, "w", "mean")
 
