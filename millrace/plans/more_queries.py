@@ -160,7 +160,8 @@ def set11(t: Inputs):
 
 @query("set15_keep_first_conflicts", "SELECT l_orderkey, l_partkey, min(l_linenumber) AS kept, count(DISTINCT l_quantity) > 1 AS conflict FROM lineitem GROUP BY 1, 2")
 def set15(t: Inputs):
-    return t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("kept"), (F.countDistinct("l_quantity") > 1).alias("conflict"))
+    lines = O.dealt(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), "l_orderkey")
+    return lines.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("kept"), F.coalesce(F.min("l_quantity") < F.max("l_quantity"), F.lit(False)).alias("conflict"))
 
 
 @query("gr3_prefix_counts", "SELECT substr(p_type, 1, 5) AS prefix, count(*) AS n FROM part WHERE starts_with(p_type, substr(p_type, 1, 5)) GROUP BY 1")
