@@ -48,5 +48,7 @@ def over_fetched(ranked: DataFrame, keys: list[str], wanted: Column, k: int, fac
 
 def fused_phrasings(lists: DataFrame, k: int, damping: int = 60) -> DataFrame:
     """Reciprocal rank fusion of the ranked lists (query_id, phrasing, item, rank) of a question's phrasings: the k best."""
-    fused = lists.groupBy("query_id", "item").agg(F.round(F.sum(1.0 / (damping + F.col("rank"))), 8).alias("score"), F.countDistinct("phrasing").alias("phrasings"))
+    # In two steps by the same keys, as distinct counts would shuffle lists that are dealt by question again.
+    each = lists.groupBy("query_id", "item", "phrasing").agg(F.sum(1.0 / (damping + F.col("rank"))).alias("_s"))
+    fused = each.groupBy("query_id", "item").agg(F.round(F.sum("_s"), 8).alias("score"), F.count("phrasing").alias("phrasings"))
     return fused.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item"))).filter(F.col("place") <= k)

@@ -7,6 +7,8 @@ from millrace.functions import markup
 from millrace.operators import keyword_index as K
 from millrace.operators import ordered as O
 from millrace.operators import relations as R
+from millrace.operators.access import pending
+from millrace.operators.evaluation import weight_grid
 from millrace.operators.retrieval import bm25_search, boolean_search
 
 
@@ -78,3 +80,30 @@ def test_pages_of_one_small_file_are_read_by_many_tasks(spark):
     for read in (markup.anchors, markup.table_rows):
         tasks = read(pages, "html").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
         assert len(tasks) >= 4 and sum(r.n for r in tasks) == 400
+
+
+def test_tasks_grow_with_the_rows_and_rows_move_once(spark, tmp_path):
+    many = spark.range(0, 1000, 1, 1)
+    assert O.dealt(many, "id", rows_per_task=10).rdd.getNumPartitions() == 100 and O.dealt(many, "id").rdd.getNumPartitions() == 4
+    lines = spark.range(0, 4000, 1, 4).select((F.col("id") % 500).alias("l_orderkey"), (F.col("id") % 7).alias("l_partkey"), F.lit(1).alias("l_suppkey"), (F.col("id") / 500).cast("int").alias("l_linenumber"), (F.col("id") % 13).cast("double").alias("l_quantity"), (F.col("id") % 11).cast("double").alias("l_extendedprice"), F.lit(0.1).alias("l_discount"), F.lit(0.2).alias("l_tax"), F.when(F.col("id") % 2 == 0, "R").otherwise("A").alias("l_returnflag"))
+    lines.write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    for name in ("ret23_phrasings", "dia7_symptom_path", "set15_keep_first_conflicts"):
+        df = catalog.queries()[name](spark, f"file://{tmp_path}")
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1, name
+
+
+def test_pending_moves_keys_once(spark):
+    log = spark.range(0, 40_000, 1, 4).select((F.col("id") % 12).cast("string").alias("car"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        assert shuffled(spark, lambda: found.extend(pending(log, log.filter("car < '5'"), "car").collect())) < 20_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.car for r in found) == ["5", "6", "7", "8", "9"]
+
+
+def test_a_grid_of_weights_moves_each_row_once(spark):
+    scores = spark.range(0, 20_000, 1, 4).select((F.col("id") % 2).alias("fold"), F.col("id").alias("query_id"), F.lit(1).alias("item"), F.rand(1).alias("a"), F.rand(2).alias("b"), (F.col("id") % 3 == 0).cast("double").alias("target"))
+    moved = [shuffled(spark, lambda: weight_grid(scores, "a", "b", "target", "fold", weights).collect()) for weights in ([0.5], [k / 20 for k in range(21)])]
+    assert moved[1] < 1.5 * moved[0]
