@@ -55,17 +55,19 @@ def _after(last: int | None, upto: list[int], exits: list[int], fresh: int, gap:
     return exits[i] if i < len(exits) else last
 
 
-def spaced(df: DataFrame, keys: list[str], ts: Column, item: str, gap: int, inclusive: bool = False) -> DataFrame:
+def spaced(df: DataFrame, keys: list[str], ts: Column, item: str, gap: int, inclusive: bool = False, rows_per_range: int = 250_000) -> DataFrame:
     """The items kept when a row is kept only if it lies more than gap after the last kept row of its key.
 
     ts is a whole number (null rows are left out), ties go by item; inclusive keeps rows at exactly the gap as well. Rows
     are sorted into ranges, and a key's rows may fill many: each range gives, for every state that a chain may enter it
     with, the state that it leaves with; these steps are composed along the key, and then each range marks its own rows. So
-    a key of any size is split over tasks.
+    a key of any size is split over tasks. A task holds one range of about rows_per_range rows at a time, so there are
+    more ranges the more rows there are.
     """
     rows = df.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("k"), ts.cast("long").alias("t"), F.col(item).alias("item")).filter("t is not null")
     order = ["k", "t", "item"]
-    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "spaced")
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_per_range))
+    ranged = written(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "spaced")
 
     def sections(table: pa.Table) -> Iterator[tuple[str, int, int, np.ndarray]]:
         keys = table.column("k").combine_chunks().dictionary_encode()

@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 from millrace import catalog
 from millrace.functions import markup
+from millrace.operators import chains
 from millrace.operators import keyword_index as K
 from millrace.operators import ordered as O
 from millrace.operators import relations as R
 from millrace.operators.access import pending
 from millrace.operators.evaluation import weight_grid
 from millrace.operators.retrieval import bm25_search, boolean_search
+from millrace.sources.files import written
 
 
 def shuffled(spark, run) -> int:
@@ -107,3 +109,18 @@ def test_a_grid_of_weights_moves_each_row_once(spark):
     scores = spark.range(0, 20_000, 1, 4).select((F.col("id") % 2).alias("fold"), F.col("id").alias("query_id"), F.lit(1).alias("item"), F.rand(1).alias("a"), F.rand(2).alias("b"), (F.col("id") % 3 == 0).cast("double").alias("target"))
     moved = [shuffled(spark, lambda: weight_grid(scores, "a", "b", "target", "fold", weights).collect()) for weights in ([0.5], [k / 20 for k in range(21)])]
     assert moved[1] < 1.5 * moved[0]
+
+
+def test_ranges_of_a_chain_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    rows = spark.range(0, 4000, 1, 4).select((F.col("id") % 2).alias("key"), (F.col("id") * 3).alias("t"), "id")
+    made = []
+    monkeypatch.setattr(chains, "written", lambda df, label: made.append(written(df, label)) or made[-1])
+    kept = sorted(r.id for r in chains.spaced(rows, ["key"], F.col("t"), "id", 20, rows_per_range=100).collect())
+    want, last = [], {}
+    for i in range(4000):
+        if i % 2 not in last or 3 * i - last[i % 2] > 20:
+            want.append(i)
+            last[i % 2] = 3 * i
+    assert kept == want
+    sizes = [r.n for r in made[0].groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 30 and max(sizes) < 400
