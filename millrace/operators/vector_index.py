@@ -59,15 +59,16 @@ def with_cells(rows: DataFrame, vector: str, centres: np.ndarray, probes: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for batch in batches:
-            out: list = [None] * batch.num_rows
+        # In slices, and as Arrow lists: all cells of many rows would be a large number of Python objects.
+        for batch in (whole.slice(a, _ROWS) for whole in batches for a in range(0, whole.num_rows, _ROWS)):
             at, x = _unit_rows(batch.column(batch.schema.get_field_index(vector)).to_pylist()).get(c.shape[1], (np.empty(0, int), None))
-            for a in range(0, len(at), _ROWS):
-                sim = x[a : a + _ROWS] @ c.T
-                order = np.argsort(-sim, axis=1, kind="stable")[:, :probes]
-                for i, cells in zip(at[a : a + _ROWS].tolist(), order.tolist()):
-                    out[i] = cells
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+            sizes, order = np.zeros(batch.num_rows, np.int32), np.empty((0, 0), np.int32)
+            if len(at):
+                sizes[at] = probes
+                order = np.argsort(-(x[np.argsort(at)] @ c.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(order.ravel()), mask=pa.array(sizes == 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
 
     return rows.mapInArrow(run, ", ".join([*names, "cells array<int>"]))
 

@@ -70,3 +70,10 @@ def test_best_match(grouped):
 def test_queries(spark):
     found = catalog.queries()["evl12_index_recall"](spark, "/root/testdata/sf0.001").collect()
     assert np.mean([r.recall for r in found]) >= 0.9
+
+
+def test_cells_of_rows_go_on_in_slices(spark):
+    rows = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 3 > 0, F.array(F.col("id") % 5 + 1.0, F.lit(2.0))).alias("v"))
+    centres = np.array([[1.0, 0.0], [0.0, 1.0]])
+    found = V.with_cells(rows, "v", centres, 2).collect()
+    assert [(r.id, r.cells) for r in found] == [(i, None if i % 3 == 0 else [0, 1] if i % 5 + 1 >= 2 else [1, 0]) for i in range(3000)]
