@@ -11,6 +11,10 @@ Sets that are equal form one class, which takes part once. Index entries with th
 other at once: each class is first verified against the smallest class that it meets, the resulting components are
 found, and only entries of one key that are still in different components are paired, verified and linked. A group of
 m near copies thus costs about m verifications, and no link between different texts is lost.
+
+At keys that many classes share, pairs are told apart by bit maps before they become rows: a map holds the parity of the
+number of a set's shingles in each of 512 parts, so two maps differ in at most as many bits as the sets differ in
+shingles. Sets that share a passage but too little else make no rows there.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ _K = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uin
 _COUNT_BLOCK = 1 << 22
 #: Sets of so many representatives at most are looked up by broadcast (16 bytes each).
 _BROADCAST_IDS = 500_000
+#: Words of 64 bits of a set's bit map, and entries from which on a key's pairs are told apart by it.
+_MAP_WORDS = 8
+_CROWDED = 16
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
@@ -65,8 +72,14 @@ def _class_of(s: np.ndarray) -> int:
     return int(mix64(mix64(s ^ _K[40]).sum(keepdims=True) + np.full(1, len(s), np.uint64) * _K[41]).view(np.int64)[0])
 
 
+def parity_map(s: np.ndarray) -> np.ndarray:
+    """64-bit words whose bits are the parities of the number of hashes in each part: linear in the symmetric difference."""
+    odd = (np.bincount((s & np.uint64(64 * _MAP_WORDS - 1)).view(np.int64), minlength=64 * _MAP_WORDS) & 1).astype(bool)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _profile(words: int):
-    """Rows (kind 0: doc_id, class, set size) and (kind 1: shingle, sets of a block that hold it, if several)."""
+    """Rows (kind 0: doc_id, class, set size, bit map) and (kind 1: shingle, sets of a block that hold it, if several)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -79,14 +92,16 @@ def _profile(words: int):
             for k in range(8):  # an eighth of the hashes at a time
                 token, n = np.unique(every[part == k], return_counts=True)
                 token, n = token[n > 3], n[n > 3]
-                yield _batch([np.ones(len(n), np.int64), token.view(np.int64), n, np.zeros(len(n), np.int64)], "kind", "a", "b", "n")
+                none = pa.nulls(len(n), pa.list_(pa.int64()))
+                yield _batch([np.ones(len(n), np.int64), token.view(np.int64), n, np.zeros(len(n), np.int64), none], "kind", "a", "b", "n", "bits")
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for a, b, texts in text_blocks(batch):
                 sets = shingle_sets(texts, words)
                 classes = [_class_of(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int64()), ids.slice(a, b - a), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["kind", "a", "b", "n"])
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, _MAP_WORDS * len(sets) + 1, _MAP_WORDS), pa.int32()), pa.array(np.concatenate([parity_map(s) for s in sets])))
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int64()), ids.slice(a, b - a), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), maps], ["kind", "a", "b", "n", "bits"])
                 for c, s in zip(classes, sets):
                     if c is not None and c not in seen:
                         seen.add(c)
@@ -102,8 +117,8 @@ def _profile(words: int):
     return run
 
 
-def _batch(columns: list[np.ndarray], *names: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(names))
+def _batch(columns: list[np.ndarray | pa.Array], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], list(names))
 
 
 def prefix_keys(s: np.ndarray, often: np.ndarray, counts: np.ndarray, percent: int, most_pairs_of: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
@@ -247,7 +262,7 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         raise ValueError("star_rounds must be 1 or more")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = staged(docs.mapInArrow(_profile(words), "kind long, a long, b long, n long"), "profile")
+    profile = staged(docs.mapInArrow(_profile(words), "kind long, a long, b long, n long, bits array<long>"), "profile")
     rows = profile.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("class"))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     floor = max(frequent_from, total >> 20)
@@ -287,7 +302,7 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         marked = base.join(F.broadcast(roots) if roots.count() <= _BROADCAST_IDS else roots, "class", "left").select("key", "class", "meta", F.coalesce("root", "class").alias("root")).repartition("key")
         # Entries of a key whose classes are all in one component are done; of the others another class becomes the pivot.
         turn = F.struct(F.xxhash64("class", F.lit(r)).alias("turn"), "class", "meta", "root")
-        split = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(turn).alias("pivot")).filter("lo <> hi").select("key", "pivot")
+        split = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(turn).alias("pivot"), F.count("*").alias("entries")).filter("lo <> hi").select("key", "pivot", "entries")
         open_ = staged(marked.join(split, "key"), "open")
         base = open_.select("key", "class", "meta")
         if found.count() * 20 < star.count() or not star.count():
@@ -295,12 +310,26 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         met = open_.filter("root <> pivot.root").select("class", F.col("pivot.class").alias("pivot"), "meta", F.expr(_may_link_sql(percent).replace("x.meta", "meta").replace("y.meta", "pivot.meta")).alias("may"))
     # The rest: sets in different components that share a key. All shingles of the 1-prefixes are keys, so their common
     # ones are counted, and a pair that reaches the threshold has a least number of them. Sets of too different sizes never
-    # meet; the partitions of a key that very many sets share are split by adaptive execution.
+    # meet; the partitions of a key that very many sets share are split by adaptive execution. A pair that reaches the
+    # threshold passes the bit maps at every key, so its count stays whole.
     size, other = "(any_value(x.meta) >> 32)", "(any_value(y.meta) >> 32)"
     need = f"ceil({percent} * ({size} + {other}) / {100 + percent}.0D) - greatest(ceil({percent} * {size} / 100.0D), ceil({percent} * {other} / 100.0D)) + 1"
     alike = f"{percent} * (x.meta >> 32) <= 100 * (y.meta >> 32) and {percent} * (y.meta >> 32) <= 100 * (x.meta >> 32)"
-    pairs = open_.alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key and x.class < y.class and x.root <> y.root and {alike}"))
-    rest = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.expr("count_if((x.meta & 2L) = 0)").alias("common"), F.expr(f"bool_or({_may_link_sql(percent)})").alias("met"), F.expr(need).alias("need"))
+    crowded = open_.filter(F.col("entries") >= _CROWDED).select("key", "class", "meta", "root")
+    members = crowded.select("class").distinct()
+    maps = profile.filter("kind = 0 and a is not null").select(F.col("b").alias("class"), "bits").join(members, "class").groupBy("class").agg(F.any_value("bits").alias("bits"))
+    crowded = staged(crowded.join(maps, "class"), "crowded")
+    differ = " + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(_MAP_WORDS))
+    close = f"{100 + percent} * ({differ}) <= {100 - percent} * ((x.meta >> 32) + (y.meta >> 32))"
+    met_at = f"x.key = y.key and x.class < y.class and x.root <> y.root and {alike}"
+    sparse = open_.filter(F.col("entries") < _CROWDED).select("key", "class", "meta", "root")
+
+    def counts(side: DataFrame, on: str) -> DataFrame:
+        pairs = side.alias("x").join(side.alias("y"), F.expr(on))
+        return pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.expr("count_if((x.meta & 2L) = 0)").alias("common"), F.expr(f"bool_or({_may_link_sql(percent)})").alias("met"), F.expr(need).alias("need"))
+
+    both = counts(sparse, met_at).unionByName(counts(crowded, f"{met_at} and {close}"))
+    rest = both.groupBy("a", "b").agg(F.sum("common").alias("common"), F.bool_or("met").alias("met"), F.any_value("need").alias("need"))
     rest = rest.filter("met and common >= need").select("a", "b")
     links = links.unionByName(verified(rest, "rest"))
     roots = connected_components(links)
