@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, give_back_memory, rows_of, staged
+from .common import byte_blocks, give_back_memory, staged, text_blocks
 from .mixing import mix_sources
 
 #: A space between two characters that no tokenizer takes for white space: the pre-tokenizer always splits before it.
@@ -40,7 +40,7 @@ _WORD_END = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-@\\[-`{-~\n])"
 #: Chunks remembered by a worker.
 _CACHE_LIMIT = 300_000
 #: Bytes of text that are split into chunks at once; a longer text goes in parts cut between words.
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 
 
 def _byte_length(token: str | None) -> int:
@@ -62,11 +62,6 @@ class _Chunks:
         self.used = 0
         self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def rest(self) -> None:
-        """Between tasks a worker remembers less than half of what it may."""
-        if len(self.number) > _CACHE_LIMIT // 2:
-            self._forget()
-
     def _keep(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.number), self.used
         while n + len(chunks) > len(self.start):
@@ -152,7 +147,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text (unsigned 32-bit), in order."""
-        for a, b in byte_blocks([b"\0" * len(t) for t in texts], _BLOCK):
+        for a, b in byte_blocks(texts, _BLOCK):
             flat: list[str] = []
             layout: list[list[int | np.ndarray]] = []
             for t in texts[a:b]:
@@ -174,41 +169,46 @@ class ChunkEncoder:
                 yield found[0] if len(found) == 1 else np.concatenate(found)
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
 _PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
-    """One row per document: doc_id, source, pieces (an array of piece, start, length, ids_crc32).
-
-    Null text counts as empty (its only token is end_id). Null ids and sources stay null; repeated rows stay. Other columns
-    are ignored. An empty table gives an empty result. Without source_col all sources are null.
-    """
+def _pieced(tokenizer: str, capacity: int, end_id: int):
+    """Rows of document_pieces, for about _BLOCK bytes of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = ChunkEncoder(tokenizer)
+        encoder = ChunkEncoder(tokenizer)
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids, sources = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "source"))
+        for batch, (a, b, texts) in ((batch, block) for batch in batches for block in text_blocks(batch, _BLOCK)):
+            ids, sources = (batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in ("doc_id", "source"))
             ends, out = [0], ([], [], [], [])
-            for coded in _ENCODERS[tokenizer].encode([t or "" for t in rows_of(batch, "text")]):
+            for coded in encoder.encode([t.decode() for t in texts]):
                 coded = coded.astype("<u4", copy=False)
                 n = len(coded) + 1
                 first = (n - 1) % capacity + 1
-                for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity))):
-                    crc = zlib.crc32(np.ascontiguousarray(coded[a:b]))
-                    for to, x in zip(out, (piece, a, b - a, zlib.crc32(tail, crc) if b == n else crc)):
+                for piece, (start, end) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity))):
+                    crc = zlib.crc32(np.ascontiguousarray(coded[start:end]))
+                    for to, x in zip(out, (piece, start, end - start, zlib.crc32(tail, crc) if end == n else crc)):
                         to.append(x)
                 ends.append(len(out[0]))
             items = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(out, _PIECE)], fields=list(_PIECE))
             yield pa.RecordBatch.from_arrays([ids, sources, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["doc_id", "source", "pieces"])
-        _ENCODERS[tokenizer].chunks.rest()
+        # Workers live on: the next stage's may need the memory.
+        del encoder
         give_back_memory()
 
+    return run
+
+
+def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
+    """One row per document: doc_id, source, pieces (an array of piece, start, length, ids_crc32).
+
+    Null text counts as empty (its only token is end_id). Null ids and sources stay null; repeated rows stay. Other columns
+    are ignored. An empty table gives an empty result. Without source_col all sources are null.
+    """
+
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, source string, pieces array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
+    return named.mapInArrow(_pieced(tokenizer, capacity, end_id), "doc_id long, source string, pieces array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
