@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Sequence, Sized
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +75,8 @@ def give_back_memory() -> None:
         trim(0)
 
 
-def byte_blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Slices (from, to) of texts that hold about `limit` bytes each; a longer text is a block of its own."""
+def byte_blocks(texts: Sequence[Sized], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Slices (from, to) of texts, known by their lengths, that hold about `limit` bytes each; a longer text is a block of its own."""
     start = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > limit:

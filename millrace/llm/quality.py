@@ -122,13 +122,23 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, steps: int = 200, stre
 
 
 def train_scorer(texts: list[bytes], target: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the buckets (and the bias, last) of a logistic scorer of hashed()."""
-    row, column, value = hashed(texts)
+    """Weights of the buckets (and the bias, last) of a logistic scorer of hashed().
+
+    Buckets are held for some texts at a time, in 32-bit numbers, and each step goes over them in order.
+    """
+    parts = []
+    for a, b in byte_blocks(texts, 1 << 19):
+        row, column, value = hashed(texts[a:b])
+        parts.append((a, b, row.astype(np.int32), column.astype(np.int32), value))
     w, m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[column], len(texts)) + w[-1], -30, 30)))
-        d = (p - target) / len(texts)
-        g = np.append(np.bincount(column, value * d[row], BUCKETS), d.sum()) + decay * w
+        g, bias = np.zeros(BUCKETS), np.zeros(len(texts))
+        for a, b, row, column, value in parts:
+            column = column.astype(np.intp)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[column], b - a) + w[-1], -30, 30)))
+            bias[a:b] = (p - target[a:b]) / len(texts)
+            np.add.at(g, column, value * bias[a:b][row])
+        g = np.append(g, bias.sum()) + decay * w
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -197,6 +207,11 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lowest = patterns_.select("turn").distinct().orderBy("turn").limit(sample).agg(F.max("turn")).first()[0]
     picked = base.filter((F.col("turn") <= lowest) & (F.length("text") > 0)).dropDuplicates(["turn"]).select("text").mapInArrow(_examples, "pattern long, text string").toPandas().sort_values(["text", "pattern"])
     target = np.array([posterior.get(int(c), 0.5) for c in picked["pattern"]])
-    w = train_scorer([t.encode() for t in picked["text"]], target) if len(picked) else np.zeros(BUCKETS + 1)
+    texts = [t.encode() for t in picked["text"]]
+    del picked
+    w = train_scorer(texts, target) if texts else np.zeros(BUCKETS + 1)
+    # The driver lives on, and what training took may be needed elsewhere.
+    del texts
+    give_back_memory()
     shared = docs.sparkSession.sparkContext.broadcast((w, posterior))
     return rows.mapInArrow(_scored(shared, list(carry)), ", ".join(["doc_id long, weak_label double, score double, keep boolean", *fields]))

@@ -38,16 +38,36 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return h, doc, np.frombuffer(b"\n".join(raw) + b"\n", np.uint8), begin, end
 
 
-def words_in_parts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """words_of() of many texts, hashed a megabyte at a time; places are in all the bytes."""
-    out, at = [], 0
-    for a, b in byte_blocks([b"\0" * len(t or "") for t in texts], 1 << 20):
+def words_in_parts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of many texts, hashed a megabyte at a time: of each block only its different words are kept.
+
+    Returns the sorted hashes, the number of each word of the texts among them, the words of each text, the texts that have
+    each hash, and some joined bytes with each hash's place in them.
+    """
+    counts, parts, at = np.zeros(len(texts), np.int64), [], 0
+    for a, b in byte_blocks([range(len(t or "")) for t in texts], 1 << 20):
         h, doc, data, begin, end = words_of(texts[a:b])
-        # Places and texts of a training sample fit 32 bits.
-        kind = np.int32 if at + len(data) < 1 << 31 else np.int64
-        out.append((h, (doc + a).astype(np.int32), data, (begin + at).astype(kind), (end + at).astype(kind)))
-        at += len(data)
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else words_of([])
+        if not len(h):
+            continue
+        counts[a:b] = np.bincount(doc, minlength=b - a)
+        first, local = distinct(h)
+        met = np.bincount(np.unique(local * (b - a) + doc) // (b - a), minlength=len(first))
+        size = end[first] - begin[first]
+        to = np.cumsum(size)
+        own = data[np.repeat(begin[first] - (to - size), size) + np.arange(int(size.sum()))]
+        parts.append((h[first], local.astype(np.int32), met, own, to - size + at, to + at))
+        at += len(own)
+    if not parts:
+        e = np.empty(0, np.int64)
+        return e.astype(np.uint64), e.astype(np.int32), counts, e, e.astype(np.uint8), e, e
+    hashes = np.unique(np.concatenate([x[0] for x in parts]))
+    documents, begin, end, ids = np.zeros(len(hashes), np.int64), np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64), []
+    for h, local, met, _, first, last in parts:
+        number = np.searchsorted(hashes, h).astype(np.int32)
+        documents[number] += met
+        begin[number], end[number] = first, last
+        ids.append(number[local])
+    return hashes, np.concatenate(ids), counts, documents, np.concatenate([x[3] for x in parts]), begin, end
 
 
 def grams_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,21 +268,18 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], ids
 
 
-def _vocabulary(h: np.ndarray, doc: np.ndarray, first: np.ndarray, ids: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _vocabulary(hashes: np.ndarray, documents: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the words, and of the n-grams, that occur in at least so many documents (n-grams: words times documents)."""
-    pairs = np.unique(ids.astype(np.int64) * (int(doc[-1]) + 1) + doc) if len(h) else ids
-    documents = np.bincount(pairs // (int(doc[-1]) + 1) if len(h) else pairs, minlength=len(first))
     kept = []
     for part in range(_PASSES):  # an eighth of all n-grams at a time
         units, often = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for i in range(0, len(first), _WORDS):
-            some = first[i : i + _WORDS]
-            grams, owner = grams_of(data, begin[some], end[some])
+        for i in range(0, len(hashes), _WORDS):
+            grams, owner = grams_of(data, begin[i : i + _WORDS], end[i : i + _WORDS])
             own = grams >> np.uint64(61) == part
             units, inverse = np.unique(np.concatenate([units, grams[own]]), return_inverse=True)
             often = np.bincount(inverse, np.concatenate([often, documents[owner[own] + i]]), len(units)).astype(np.int64)
         kept.append(units[often >= least])
-    return np.sort(h[first][documents >= least]), np.concatenate(kept)
+    return hashes[documents >= least], np.concatenate(kept)
 
 
 def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch: int = 32, rate: float = 0.01, table_rate: float = 3.0, decay: float = 1e-3, least: int = 3, seed: int = 5) -> Network:
@@ -281,17 +298,18 @@ def train(texts: list[str | None], toxic: np.ndarray, steps: int = 2000, batch:
         aside[rng.permutation(of_label)[: len(of_label) // 5 if len(texts) >= 100 else 0]] = True
     others = [t for t, a in zip(texts, aside) if a]
     texts, toxic = [t for t, a in zip(texts, aside) if not a], every[~aside]
-    h, doc, data, begin, end = words_in_parts(texts)
-    first, ids = distinct(h) if len(h) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    ids = ids.astype(np.int32)
-    net = Network(Inputs(*_vocabulary(h, doc, first, ids, data, begin, end, least), rng), rng)
-    word, owner, gram = net.inputs.known(h[first], data, begin[first], end[first])
-    of, start, length = windows_of(np.bincount(doc, minlength=len(texts)))
-    del h, doc, data, begin, end, first
-    order = np.argsort(owner, kind="stable")
-    owner, gram = owner[order], gram[order]
-    grams_from = np.searchsorted(owner, np.arange(len(word) + 1, dtype=np.int32))
-    del owner, order
+    hashes, ids, counts, documents, data, begin, end = words_in_parts(texts)
+    net = Network(Inputs(*_vocabulary(hashes, documents, data, begin, end, least), rng), rng)
+    word, gram, many = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for i in range(0, len(hashes), _WORDS):
+        rows, owner, which = net.inputs.known(hashes[i : i + _WORDS], data, begin[i : i + _WORDS], end[i : i + _WORDS])
+        word.append(rows)
+        gram.append(which[np.argsort(owner, kind="stable")])
+        many.append(np.bincount(owner, minlength=len(rows)))
+    word, gram, grams_from = np.concatenate(word), np.concatenate(gram), np.cumsum(np.concatenate(many))
+    of, start, length = windows_of(counts)
+    del hashes, counts, documents, data, begin, end, many
+    give_back_memory()
     if not len(of):
         return net
     step = np.arange(WINDOW)
